@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op3_url_filter": url_filter.op3_url_filter,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op9_sharding": sharding.op9_sharding,
 }
 ORACLE = {
     "op6_quality_rules": quality_rules.SQL,
