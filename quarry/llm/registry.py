@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, sharding, url_filter
+from . import exact_dedup, packing, quality_rules, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLE = {
