@@ -17,6 +17,7 @@ SHARDS = 24
 SEED = 42
 ROWS_PER_BUCKET = 4096
 BYTES_PER_BUCKET = 32 << 20
+BROADCAST_BUCKETS = 1_000_000
 
 
 def sharded(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, text_col: str = "text") -> DataFrame:
@@ -40,7 +41,8 @@ def sharded(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, text_col:
     shuffled = materialize(shuffled, "shard-buckets")
     # A row for each bucket: the table of counts is thousands of times smaller than the input.
     starts = shuffled.select("bucket", (F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
-    placed = shuffled.join(starts, "bucket").select("start", F.posexplode("rows").alias("i", "row"))
+    small = buckets <= BROADCAST_BUCKETS  # 16 bytes a bucket; beyond that an ordinary join
+    placed = shuffled.join(F.broadcast(starts) if small else starts, "bucket").select("start", F.posexplode("rows").alias("i", "row"))
     at = F.col("start") + F.col("i")
     return placed.select("row", (at % n_shards).cast("int").alias("shard"), F.floor(at / n_shards).cast("long").alias("slot"))
 
