@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, sharding, simhash, toxicity, url_filter
+from . import exact_dedup, packing, quality_knn, quality_rules, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality_knn": quality_knn.op1_quality_knn,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_packing": packing.op5_packing,
