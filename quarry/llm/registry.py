@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_knn, quality_rules, sharding, simhash, toxicity, url_filter
+from . import exact_dedup, line_dedup, packing, quality_knn, quality_rules, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_knn": quality_knn.op1_quality_knn,
@@ -13,8 +13,10 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sharding": sharding.op9_sharding,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_quality_rules": quality_rules.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
