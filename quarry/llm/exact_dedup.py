@@ -95,7 +95,7 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame, digest=sha256) -> Data
     company = groups.where("n > 1").select("digest", "first")
     texts = materialize(every.select("doc_id", "digest", "text").join(company, "digest"), "company")
     model = texts.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).groupBy("digest").agg(F.first("text").alias("model"))
-    odd = materialize(texts.join(model, "digest").where("text <> model").select("digest").distinct(), "odd")
+    odd = materialize(texts.join(model, "digest").where("text <> model").select("digest"), "odd").distinct()
     out = rows.join(groups.join(odd, "digest", "left_anti"), "digest").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "digest", "incoming",
     )
