@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
-from quarry.llm import quality_rules
+from pyspark.sql import functions as F
+
+from quarry.llm import line_dedup, packing, quality_rules, simhash, toxicity
 from quarry.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def toxic(spark, docs, sf_dir):
+    """Documents that the toxicity model rejects go. The model learns from the labelled documents of the input table."""
+    model = toxicity.fit(toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return toxicity.accepted(docs, model).select(*COLUMNS)
+
+
 def quality(spark, docs, sf_dir):
-    return quality_rules.quality_filter(docs)
+    """Documents that fail the quality rules go."""
+    return quality_rules.quality_filter(docs).select(*COLUMNS)
+
+
+def lines(spark, docs, sf_dir):
+    """Later copies of repeated runs of lines go; all documents stay."""
+    out = line_dedup.line_dedup(docs).select("row.*", F.col("text").alias("_text"))
+    return out.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long")).select(*COLUMNS)
+
+
+def near(spark, docs, sf_dir):
+    """One document of each near-duplicate group stays: the one with the least doc_id."""
+    return simhash.one_of_each(docs).select(*COLUMNS)
+
+
+def pack(spark, docs, sf_dir):
+    """The documents' ids in sequences."""
+    return packing.packed(docs)
 
 
-STAGES = [("quality rules", quality)]
+STAGES = [("toxicity", toxic), ("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("packing", pack)]
 
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage{k}")

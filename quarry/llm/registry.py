@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, quality_knn, quality_rules, sharding, simhash, toxicity, url_filter
+from . import exact_dedup, line_dedup, packing, quality_knn, quality_rules, sentencepiece_wfst, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_knn": quality_knn.op1_quality_knn,
+    "op2_sentencepiece": sentencepiece_wfst.op2_sentencepiece,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_packing": packing.op5_packing,

@@ -101,6 +101,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, d
     return rows.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id (of repeated rows with that id, any one)."""
+    docs = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    ids = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_rid").alias("rid")).alias("doc_id"), "text")
+    found = near_duplicates(ids, **kw).where("doc_id = component_id").select(F.col("doc_id.rid").alias("_rid"))
+    return docs.join(found, "_rid", "left_semi").drop("_rid")
+
+
 def op7_simhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

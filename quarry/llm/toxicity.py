@@ -13,6 +13,7 @@ import re
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ PRIOR = 1.0
 LEAST_Z = 2.5
 DRIFT = 0.15
 SIGNIFICANT = 0.05
+THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -205,6 +207,20 @@ def fit(labelled: DataFrame) -> Model:
     return replace(judged, weights=model.weights)
 
 
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
+SPANS_SQL = "array<struct<first:int,last:int,score:double,expected:double>>"
+
+
+def _judged(texts, model: Model) -> tuple[pa.Array, pa.Array]:
+    scores, spans = [], []
+    for t in texts:
+        n, found = scan(t.as_py(), model)
+        scores.append(score(n, found, model))
+        e = [(s, a, b, model.k * max(n, 1) * math.exp(-model.lam * s)) for s, a, b in found]
+        spans.append([{"first": a, "last": b, "score": s, "expected": x} for s, a, b, x in e if x <= SIGNIFICANT])
+    return pa.array(scores, pa.float64()), pa.array(spans, SPANS)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and ``passages`` (first and last token, segment score, expected number in clean text; those up to SIGNIFICANT) of every document.
 
@@ -214,17 +230,21 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            scores, spans = [], []
-            for t in batch.column("text"):
-                n, found = scan(t.as_py(), model)
-                scores.append(score(n, found, model))
-                e = [(s, a, b, model.k * max(n, 1) * math.exp(-model.lam * s)) for s, a, b in found]
-                spans.append([{"first": a, "last": b, "score": s, "expected": x} for s, a, b, x in e if x <= SIGNIFICANT])
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_judged(batch.column("text"), model)], ["doc_id", "score", "passages"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<first:int,last:int,score:double,expected:double>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, passages {SPANS_SQL}")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below ``threshold``, with all their columns, in one pass."""
+
+    def run(batches):
+        for batch in batches:
+            scores, _ = _judged(batch.column("text"), model)
+            yield batch.filter(pc.less(scores, threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -233,9 +253,6 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(own.where(~held_out(F.col("doc_id"), 4, 2)), "doc_id")
 
 
-THRESHOLD = 0.3
-
-
 def op8_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(training_rows(docs, labels))
