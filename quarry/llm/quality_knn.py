@@ -67,11 +67,11 @@ def gathered(labelled: DataFrame, label: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column("y")], ["x", "y"])
+            rows = [features(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("y")], ["x", "y"])
 
     known = labelled.where(F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("int").alias("y"))
-    return known.select("text", "y").mapInArrow(run, "x array<float>, y int")
+    return known.select("text", "y").mapInArrow(run, "x binary, y int")
 
 
 def sample(labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -84,10 +84,10 @@ def sample(labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
 
 def fit(labelled: DataFrame, label: str = "quality", rank: int = RANK) -> Model | None:
     """Latent axes and vectors of ``labelled`` (doc_id, text, label), which the caller has bounded (see ``sample``); None without rows."""
-    got = gathered(labelled, label).toPandas()
-    if got.empty:
+    got = gathered(labelled, label).collect()  # 8 kB a row, at most 2 * TRAIN_ROWS of them
+    if not got:
         return None
-    x, y = np.stack(got["x"].to_numpy()).astype(np.float64), got["y"].to_numpy()
+    x, y = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got]).astype(np.float64), np.array([r["y"] for r in got])
     # The order of rows that Spark gathers varies; sums over them should not.
     order = np.lexsort((*x[:, :6].T, y))
     x, y = x[order], y[order]
