@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 
 #: Bound of the labelled documents of each class that the weights are fitted on, by a hash of the id.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 #: Bound of the table of weights, which every task gets.
 MAX_TOKENS = 20_000
 #: Weight of the prior of each token, in documents, and the least z-score of a token that counts.
@@ -180,15 +180,13 @@ def _logistic(bins: list[tuple[float, int, int]], base: float, ridge: float = 1.
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Weights and calibration from ``labelled`` (doc_id, text, toxic 0/1); nulls in ``toxic`` are left out.
+    """Weights and calibration from ``labelled`` (doc_id, text, toxic 0/1; see ``training_rows``); nulls in ``toxic`` are left out.
 
     The calibration is cross-fitted: weights of one half of the documents are judged on the other half. With no
     document of one class there are no weights, and every text gets the same low score.
     """
     known = labelled.where("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    both = known.where("toxic = 1").orderBy(*order).limit(TRAIN_ROWS).unionByName(known.where("toxic = 0").orderBy(*order).limit(TRAIN_ROWS))
-    train = both.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).cache()
+    train = known.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).cache()
     n = {(r["toxic"], r["half"]): r["count"] for r in train.groupBy("toxic", "half").count().collect()}
     n1, n0 = (sum(n.get((t, h), 0) for h in (0, 1)) for t in (1, 0))
     base = (n1 + 1) / (n1 + n0 + 10)
@@ -247,10 +245,13 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     return docs.mapInArrow(run, docs.schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out part; of a document's labels the highest counts."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """At most ``rows`` labelled documents of each class outside the held-out part, by a hash of the id; of a document's labels the highest counts."""
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(own.where(~held_out(F.col("doc_id"), 4, 2)), "doc_id")
+    own = own.where(~held_out(F.col("doc_id"), 4, 2))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = own.where("toxic = 1").orderBy(*order).limit(rows).unionByName(own.where("toxic = 0").orderBy(*order).limit(rows))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * TRAIN_ROWS ids and labels
 
 
 def op8_toxicity(spark, sf_dir):
