@@ -66,13 +66,15 @@ def _twice(pairs: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def intervals(lines: DataFrame) -> DataFrame:
-    """The windows of ``lines`` that hold enough words and occur more than once: doc, at, m (lines), place, and the interval (k, m, a, b) they lie in."""
-    place = F.struct("none", "doc_id", "doc")
-    ahead = lines.where("ahead IS NOT NULL").select("doc", F.col("no").alias("at"), F.col("ahead").alias("m"), place.alias("whose"))
-    behind = lines.where("behind IS NOT NULL").select("doc", (F.col("no") - F.col("behind") + 1).alias("at"), F.col("behind").alias("m"), place.alias("whose"))
+    """The windows of ``lines`` that hold enough words and occur more than once: none, doc_id, doc, at (their place), m (lines), and the interval (k, m, a, b) they lie in."""
+    # A window counts only if the line it was measured from occurs twice.
+    alive = lines.join(ranked(_twice(lines, ["h"]), ["h"]), "h").select("doc", "none", "doc_id", "no", "ahead", "behind", "rank")
+    alive = materialize(alive, "alive")
+    ahead = alive.where("ahead IS NOT NULL").select("doc", "none", "doc_id", F.col("no").alias("at"), F.col("ahead").alias("m"))
+    behind = alive.where("behind IS NOT NULL").select("doc", "none", "doc_id", (F.col("no") - F.col("behind") + 1).alias("at"), F.col("behind").alias("m"))
     windows = ahead.unionByName(behind)
-    longest = lines.agg(F.greatest(F.max("ahead"), F.max("behind"))).first()[0] or 0
-    suffixes = materialize(lines.select("doc", "no", "h").join(ranked(_twice(lines, ["h"]), ["h"]), "h").select("doc", "no", "rank"), "suffixes")
+    longest = alive.agg(F.greatest(F.max("ahead"), F.max("behind"))).first()[0] or 0
+    suffixes = alive.select("doc", "no", "rank")
     found, k = None, 0
     while 1 << k <= longest:
         step = 1 << k
@@ -80,7 +82,7 @@ def intervals(lines: DataFrame) -> DataFrame:
         first = suffixes.select("doc", F.col("no").alias("at"), F.col("rank").alias("a"))
         last = suffixes.select("doc", F.col("no").alias("to"), F.col("rank").alias("b"))
         hit = mine.join(first, ["doc", "at"]).withColumn("to", F.col("at") + F.col("m") - step).join(last, ["doc", "to"])
-        hit = hit.select(F.lit(k).alias("k"), "m", "a", "b", "doc", "at", "whose")
+        hit = hit.select(F.lit(k).alias("k"), "m", "a", "b", "none", "doc_id", "doc", "at")
         found = hit if found is None else found.unionByName(hit)
         if 2 << k > longest:
             break
@@ -100,8 +102,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if found is None:
         return lines.where("false").select("doc", F.array().cast("array<int>").alias("gone"))
     found = materialize(found, "windows")
-    place = F.struct("whose.none", "whose.doc_id", "whose.doc", "at")
-    first = found.groupBy("k", "m", "a", "b").agg(F.min(place).alias("first"))
+    first = found.groupBy("k", "m", "a", "b").agg(F.min(F.struct("none", "doc_id", "doc", "at")).alias("first"))
+    first = materialize(first, "first")  # so that Spark can split the join of a hot interval
     later = found.join(first, ["k", "m", "a", "b"]).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
     gone = later.select("doc", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("no")).distinct()
     return gone.groupBy("doc").agg(F.collect_list("no").alias("gone"))
@@ -116,9 +118,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``row``, so none can clash.
     """
     gone = materialize(repeated_lines(docs.select("doc_id", "text"), min_words), "gone")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("t"), F.col("doc_id"))
-    d = d.select("row", "t", _key(F.col("doc_id"), F.col("t")).alias("doc")).join(gone, "doc", "left")
-    d = d.withColumn("all", F.split("t", "\n"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("doc"))
+    d = d.join(gone.hint("merge"), "doc", "left")  # the same plan at every size
+    d = d.withColumn("all", F.split(F.coalesce("row.text", F.lit("")), "\n"))
     every = F.sequence(F.lit(0), F.size("all") - 1)
     d = d.withColumn("real", F.filter(every, lambda i: F.get("all", i).rlike(r"[^\x20\x09-\x0D]")))
     kept = F.array_except(every, F.transform("gone", lambda j: F.get("real", j)))
