@@ -46,41 +46,53 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it and wherever the optimizer copies it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def repeated_words(words: Column) -> Column:
+    """The number of words in three-word windows that occur twice or more. Equal windows lie side by side once sorted; texts without any skip the sort."""
+
+    def covered(places):
+        return F.aggregate(
+            places, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("sum")),
+            lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.least(F.lit(3), p - acc["last"])).alias("sum")),
+            lambda acc: acc["sum"],
+        )
+
+    def twice(pairs):
+        same = lambda p, q: F.coalesce(p["x"] == q["x"], F.lit(False))
+        again = F.filter(pairs, lambda p, j: same(F.get(pairs, j - 1), p) | same(F.get(pairs, j + 1), p))
+        return covered(F.sort_array(F.transform(again, lambda p: p["i"])))
+
+    def of_windows(win):
+        pairs = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(win)) < F.size(win), _let(pairs, twice)).otherwise(0)
+
+    def of_words(w):
+        win = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
+        return _let(win, of_windows)
+
+    return _let(words, of_words)
+
+
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per document: ``row`` (the document's own columns), the five counts and the ratios of the table."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     df = df.select(
-        "row", "t",
-        words_of(F.col("t")).alias("w"),
-        F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.size(F.filter(F.split(F.translate(F.lower("t"), PUNCTUATION, ""), WS), lambda x: x.isin(STOPS))).alias("stops"),
-    )
-    df = df.select(
-        "row", "stops",
-        F.size("w").cast("long").alias("n_words"),
+        "row",
+        F.size(words_of(F.col("t"))).cast("long").alias("n_words"),
         F.length(F.regexp_replace("t", WS, "")).cast("long").alias("word_chars"),
         _without(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         _without(F.col("t"), "!").alias("bangs"),
-        F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(
-            F.size("w") >= 3,
-            F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2))),
-        ).otherwise(F.array().cast("array<string>")).alias("windows"),
-    )
-    # Equal windows lie side by side once sorted; texts without any skip the sort.
-    pairs = F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    df = df.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), pairs).otherwise(F.array().cast("array<struct<x:string,i:int>>"))).drop("windows")
-    again = F.filter("sorted", lambda p, j: (F.coalesce(F.get("sorted", j - 1)["x"] == p["x"], F.lit(False))) | (F.coalesce(F.get("sorted", j + 1)["x"] == p["x"], F.lit(False))))
-    df = df.withColumn("at", F.sort_array(F.transform(again, lambda p: p["i"]))).drop("sorted")
-    covered = F.aggregate(
-        "at", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("sum")),
-        lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.least(F.lit(3), p - acc["last"])).alias("sum")),
-        lambda acc: acc["sum"],
-    )
+        _let(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
+        F.size(F.filter(F.split(F.translate(F.lower("t"), PUNCTUATION, ""), WS), lambda x: x.isin(STOPS))).alias("stops"),
+        repeated_words(words_of(F.col("t"))).cast("long").alias("n_repeat_words"),
+    ).withColumns({"n_dup_lines": F.col("lines.dup").cast("long"), "n_lines": F.col("lines.n")})
     n = F.greatest(F.col("n_words"), F.lit(1))
     return df.select(
-        "row", *[F.col(c) for c in COLUMNS[:-1]], covered.cast("long").alias("n_repeat_words"),
+        "row", *COLUMNS,
         (F.col("word_chars") / n).alias("word_length"), (F.col("n_symbols") / n).alias("symbol_ratio"), (F.col("bangs") / n).alias("bang_ratio"),
         (F.col("stops") / n).alias("stop_ratio"), (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_ratio"),
     )
@@ -109,8 +121,8 @@ def judged(docs: DataFrame, text_col: str = "text", rules=RULES, min_words: int
 
 def quality_filter(docs: DataFrame, **kw) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    # A filter is pushed through deterministic projections by copying their expressions into it, which here would grow
-    # with the number of projections as a power of two; it does not pass a row number.
+    # A filter is pushed through deterministic projections by copying their expressions, which would compute the counts
+    # twice; it does not pass a row number.
     return judged(docs, **kw).withColumn("at", F.monotonically_increasing_id()).where("kept AND at >= 0").select("row.*")
 
 

@@ -40,7 +40,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, as struct(rule, verdict), or null; ties go to the rule that sorts first."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"a list of rules is compiled into one expression; {len(rules)} are more than {MAX_RULES}")
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1:]), reverse=False):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
