@@ -106,7 +106,7 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     docs = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
     ids = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_rid").alias("rid")).alias("doc_id"), "text")
     found = near_duplicates(ids, **kw).where("doc_id = component_id").select(F.col("doc_id.rid").alias("_rid"))
-    return docs.join(found, "_rid", "left_semi").drop("_rid")
+    return docs.join(found.hint("merge"), "_rid", "left_semi").drop("_rid")  # the same plan at every size
 
 
 def op7_simhash(spark, sf_dir):
