@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-CONTENT_CHARS = 10_000
 
 
 def terms_of(text: Column) -> Column:
@@ -18,12 +17,12 @@ def terms_of(text: Column) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """term, id, tf for ``docs`` (id, text)."""
-    return docs.select("id", F.explode(terms_of(F.substring("text", 1, CONTENT_CHARS))).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    """term, id, tf for ``docs`` (id, text); whole texts are indexed, however long."""
+    return docs.select("id", F.explode(terms_of("text")).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("id", F.size(terms_of(F.substring("text", 1, CONTENT_CHARS))).alias("n"))
+    return docs.select("id", F.size(terms_of("text")).alias("n"))
 
 
 def stem_terms(index: DataFrame) -> DataFrame:

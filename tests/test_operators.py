@@ -85,6 +85,15 @@ def test_search_ties_and_empty(spark):
     assert [(r["query_id"], r["id"]) for r in got] == [(1, 1)]
 
 
+def test_terms_after_the_first_10_000_characters_are_found(spark):
+    docs = spark.createDataFrame([(1, "aa " * 4000 + "latecomer"), (2, "aa bb")], "id long, text string")
+    index, length = lexical.postings(docs), lexical.lengths(docs)
+    assert {(r["term"], r["id"], r["tf"]) for r in index.collect()} == {("aa", 1, 4000), ("latecomer", 1, 1), ("aa", 2, 1), ("bb", 2, 1)}
+    assert {(r["id"], r["n"]) for r in length.collect()} == {(1, 4001), (2, 2)}
+    q = spark.createDataFrame([(1, ["latecomer"])], "query_id long, terms array<string>")
+    assert [r["id"] for r in lexical.search(q, index, length, 5).collect()] == [1]
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [2.0, 0.0])], "id long, embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id long, vector array<float>")
