@@ -49,24 +49,28 @@ def tokens(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last token) of a text whose tokens score ``-drift`` but for ``scores`` (ascending positions)."""
-    stack: list[tuple[int, int, float, float]] = []  # first, last, total before, total after
+    """All maximal scoring segments (score, first, last token) of a text whose tokens score ``-drift`` but for ``scores`` (ascending positions).
+
+    Each segment on the stack knows the nearest one below it that began at a lower total, so that the scan is linear.
+    """
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, total before, total after, the nearest with less before
     total, at = 0.0, 0
     for pos, s in scores:
         total -= drift * (pos - at)
         at = pos + 1
         first, before, after = pos, total, total + s
         total = after
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][2] >= before:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= after:
-                stack.append((first, pos, before, after))
+                stack.append((first, pos, before, after, j))
                 break
-            first, before = stack[j][0], stack[j][2]
+            first, _, before, _, below = stack[j]
             del stack[j:]
-    return [(after - before, first, last) for first, last, before, after in stack]
+            j = below
+    return [(after - before, first, last) for first, last, before, after, _ in stack]
 
 
 def scan(text: str | None, model: Model) -> tuple[int, list[tuple[float, int, int]]]:
@@ -80,23 +84,27 @@ def scan(text: str | None, model: Model) -> tuple[int, list[tuple[float, int, in
     return len(found), segments(hits) if hits else []
 
 
-def _tail(mean: float, r: int) -> float:
-    """The chance of at least ``r`` events where ``mean`` are expected."""
+def _tail(mean: float, r: int, enough: float = math.inf) -> float:
+    """The chance of at least ``r`` events where fewer than ``r`` are expected; a lower bound of it where that is already ``enough``."""
     if r == 1:
         return -math.expm1(-mean)
-    below, term = 0.0, math.exp(-mean)
-    for i in range(r):
-        below += term
-        term *= mean / (i + 1)
-    exact = 1 - below
-    return exact if exact > 1e-12 else math.exp(min(0.0, r * math.log(max(mean, 1e-300)) - math.lgamma(r + 1)))
+    if mean <= 0:
+        return 0.0
+    total = term = math.exp(r * math.log(mean) - mean - math.lgamma(r + 1))
+    while term > 1e-17 * total and total < enough:
+        r += 1
+        term *= mean / r
+        total += term
+    return min(1.0, total)
 
 
 def p_value(n: int, found: list[tuple[float, int, int]], model: Model) -> float:
-    """How likely a clean text of ``n`` tokens has segments as good as these: the best of the r best, corrected for the choice of r."""
+    """How likely a clean text of ``n`` tokens has segments as good as these: the best of the r best, over all r, corrected for the choice of r."""
     best = 1.0
-    for r, s in enumerate(sorted((x[0] for x in found), reverse=True)[:20], 1):
-        best = min(best, r * (r + 1) * _tail(model.k * max(n, 1) * math.exp(-model.lam * s), r))
+    for r, s in enumerate(sorted((x[0] for x in found), reverse=True), 1):
+        mean = model.k * max(n, 1) * math.exp(-model.lam * s)
+        if mean < r:  # else at least r events have a chance of a half and more, and r * (r + 1) times that is no evidence
+            best = min(best, r * (r + 1) * _tail(mean, r, best / (r * (r + 1))))
     return best
 
 

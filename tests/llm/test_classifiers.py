@@ -1,3 +1,5 @@
+import decimal
+import math
 import random
 
 import pytest
@@ -54,6 +56,23 @@ def test_segments_are_the_maximal_ones(seed):
     assert [(round(s, 6), a, b) for s, a, b in got] == [(round(s, 6), a, b) for s, a, b in want]
 
 
+def test_all_passages_of_a_long_text_count():
+    model = toxicity.Model({}, 0.1)  # lam = k = 1: of 15,000 clean tokens, 15 segments of this score are expected
+    at = math.log(1000)
+    assert toxicity.p_value(15_000, [(at, 0, 0)] * 20, model) == 1.0
+    assert toxicity.p_value(15_000, [(at, 0, 0)] * 60, model) == pytest.approx(6.5495e-15, rel=1e-3)
+    assert toxicity.p_value(15_000, [(at, 0, 0)] * 100_000, model) < 1e-300
+
+
+@pytest.mark.parametrize("mean,r", [(0.5, 1), (0.01, 3), (15, 20), (15, 60), (900, 1000)])
+def test_poisson_tail(mean, r):
+    with decimal.localcontext() as c:
+        c.prec = 60
+        m = decimal.Decimal(mean)
+        below = sum((-m).exp() * m**i / math.factorial(i) for i in range(r))
+        assert toxicity._tail(mean, r) == pytest.approx(float(1 - below), rel=1e-9)
+
+
 def planted(rnd, bad):
     words = [rnd.choice("one two three four five six seven eight nine ten".split()) + rnd.choice("abcdefgh") for _ in range(60)]
     if bad:
