@@ -74,13 +74,9 @@ def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tupl
 
 
 def scan(text: str | None, model: Model) -> tuple[int, list[tuple[float, int, int]]]:
-    """The number of tokens and the maximal segments. The k-th time that a text uses a token counts a k-th of its weight."""
+    """The number of tokens and the maximal segments. Every use of a token counts its whole weight."""
     found = TOKEN.findall((text or "").lower())
-    hits, times = [], {}
-    for i, w in enumerate(found):
-        if w in model.weights:
-            times[w] = times.get(w, 0) + 1
-            hits.append((i, model.weights[w] / times[w]))
+    hits = [(i, model.weights[w]) for i, w in enumerate(found) if w in model.weights]
     return len(found), segments(hits) if hits else []
 
 

@@ -2,6 +2,7 @@ import decimal
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from quarry.llm import quality_knn, toxicity
@@ -64,6 +65,17 @@ def test_all_passages_of_a_long_text_count():
     assert toxicity.p_value(15_000, [(at, 0, 0)] * 100_000, model) < 1e-300
 
 
+def test_a_repeated_passage_counts_each_time():
+    model = toxicity.Model({"vilex": 6.0, "nastyx": 6.0}, 0.1)
+    rest = ["word"] * 900
+    text = " ".join([*rest, "vilex", "and", "nastyx", *rest, "vilex", "and", "nastyx", *rest])
+    scores, (spans,) = toxicity._judged(pa.array([text]), model)
+    assert [(x["first"], x["last"]) for x in spans.as_py()] == [(900, 902), (1803, 1805)]
+    assert {round(x["score"], 6) for x in spans.as_py()} == {12 - toxicity.DRIFT}
+    once, _ = toxicity._judged(pa.array([" ".join([*rest, "vilex", "and", "nastyx", *rest, *rest])]), model)
+    assert scores[0].as_py() > once[0].as_py()
+
+
 @pytest.mark.parametrize("mean,r", [(0.5, 1), (0.01, 3), (15, 20), (15, 60), (900, 1000)])
 def test_poisson_tail(mean, r):
     with decimal.localcontext() as c:
