@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, packing, quality_rules, simhash, toxicity
+from quarry.llm import line_dedup, near_dedup, packing, quality_rules, toxicity
 from quarry.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def lines(spark, docs, sf_dir):
 
 
 def near(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays: the one with the least doc_id."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """One document of each group of texts of similarity 0.8 and more over five-word shingles stays: the one with the least doc_id."""
+    return near_dedup.one_of_each(docs).select(*COLUMNS)
 
 
 def pack(spark, docs, sf_dir):

@@ -20,17 +20,24 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash of a whole text; zero without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """A hash for each shingle of a whole text, in order; a text of fewer words is one shingle, and one without words has none."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[: len(words) - k] + 1)).tolist()
     stops = ends[k - 1 :].tolist()
-    h = np.fromiter((xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, stops)), dtype="<u8", count=len(stops))
+    return np.fromiter((xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, stops)), dtype="<u8", count=len(stops))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit SimHash of a whole text; zero without words."""
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
