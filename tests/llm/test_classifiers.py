@@ -132,3 +132,75 @@ def test_vote_is_exact():
         sims = sorted(((float(row @ v / np.linalg.norm(row)), float(w)) for v, w in zip(z, votes)), reverse=True)[:7]
         w = [(np.exp(quality_knn.SHARPNESS * s) * abs(v), v > 0) for s, v in sims]
         assert abs(got - sum(a for a, up in w if up) / sum(a for a, _ in w)) < 1e-4
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_segments_of_falling_totals(seed):
+    rnd = random.Random(100 + seed)
+    hits = [(8 * i, rnd.choice((0.5, 0.6, 1.1, 2.0))) for i in range(8)]
+    want = brute_segments([dict(hits).get(i, -0.15) for i in range(60)])
+    assert [(round(s, 6), a, b) for s, a, b in toxicity.segments(hits)] == [(round(s, 6), a, b) for s, a, b in want]
+
+
+def test_segments_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        assert len(toxicity.segments([(8 * i, 1.0 - 1e-7 * i) for i in range(n)])) == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(160_000) < 40 * max(took(16_000), 1e-3)
+
+
+def test_words_share_their_beginnings(spark):
+    """A made-up language: no toxic word of the new texts occurs among the labelled ones, but its beginning does; an innocent word shares another's beginning."""
+    rnd = random.Random(5)
+    ends = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+
+    def text(bad, own):
+        words = [rnd.choice(ends) + rnd.choice(ends) for _ in range(120)]
+        words[7] = "wortel"  # shares four letters with a toxic word
+        for at in rnd.sample(range(10, 120), 3 * bad):
+            words[at] = rnd.choice(["zzyxo" + rnd.choice(own), "worthless"])
+        return " ".join(words)
+
+    train = spark.createDataFrame([(i, text(i % 4 == 0, ends[:75]), int(i % 4 == 0)) for i in range(400)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(train)
+    assert "worthless" in model.weights and any("zzyxo".startswith(s) for s in model.starts) and model.seen["wortel"] is None
+    new = spark.createDataFrame([(i, text(i % 2 == 0, ends[75:])) for i in range(200)], "doc_id long, text string")
+    assert [r["doc_id"] for r in toxicity.scored(new, model).where("score < 0.3").orderBy("doc_id").collect()] == list(range(1, 200, 2))
+
+
+def test_copies_count_once_and_hot_ids_are_bounded(spark):
+    rows = [(i, planted(random.Random(i), False)) for i in range(100)]
+    docs = spark.createDataFrame(rows + [(7, f"text {k}") for k in range(500)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in range(100)] + [(7, 0), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, rows=40)
+    assert rows.count() == rows.select("doc_id").distinct().count() <= 41
+    assert {r["toxic"] for r in rows.where("doc_id = 7").collect()} <= {1}
+    # One clean text many times over, that a label calls toxic: its words get no weight.
+    copies = spark.createDataFrame([(i, "alpha beta gamma delta epsilon " * 3, 1) for i in range(300)] + [(1000 + i, planted(random.Random(i), False), 0) for i in range(300)], "doc_id long, text string, toxic int")
+    assert not toxicity.fit(copies).weights
+
+
+def test_toxicity_end_to_end_against_plain_python(spark):
+    """Scores, passages and kept rows of a whole table, against the definition of each step in plain Python."""
+    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(toxicity.training_rows(docs, labels))
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, m).collect()}
+    assert len(got) == docs.count() and m.weights and m.drift > 0
+    for r in docs.where("length(text) < 1500").orderBy("doc_id").limit(150).collect():
+        words = toxicity.TOKEN.findall(r["text"].lower())
+        own = [max((w for f, w in [*((x, y) for x, y in m.weights.items() if x == t), *((x, y) for x, y in m.starts.items() if t != x and t.startswith(x) and len(x) in toxicity.BEGINNINGS)]), default=None) for t in words]
+        want = brute_segments([-m.drift if w is None else w for w in own])
+        p = 1.0
+        for k, s in enumerate(sorted((s for s, _, _ in want), reverse=True), 1):
+            mean = m.k * len(words) * math.exp(-m.lam * s)
+            if mean < k:
+                p = min(p, k * (k + 1) * (1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k))))
+        x = m.shift - m.slope * math.log(max(p, 1e-13))
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-x)), rel=0.02, abs=1e-4)
+        spans = [(a, b) for s, a, b in want if m.k * max(len(words), 1) * math.exp(-m.lam * s) <= toxicity.SIGNIFICANT]
+        assert [(q["first"], q["last"]) for q in got[r["doc_id"]]["passages"]] == spans
