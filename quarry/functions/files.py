@@ -8,25 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Languages by ending or name, categories, MIME types, binary endings, ignored paths.
-ENDINGS = {
-    "javascript": ".js .mjs .cjs .jsx", "typescript": ".ts .tsx .mts .cts", "python": ".py .pyw .pyi", "csharp": ".cs .csx", "java": ".java",
-    "go": ".go", "rust": ".rs", "c": ".c .h", "cpp": ".cpp .cxx .cc .hpp .hxx", "php": ".php", "kotlin": ".kt .kts", "swift": ".swift",
-    "ruby": ".rb .rake", "bash": ".sh .bash .zsh .fish", "sql": ".sql", "json": ".json", "yaml": ".yaml .yml", "toml": ".toml", "xml": ".xml",
-    "csv": ".csv", "html": ".html .htm", "css": ".css .scss .sass .less", "markdown": ".md .mdx", "rst": ".rst", "text": ".txt", "asciidoc": ".adoc",
-    "env": ".env", "ini": ".ini .cfg .conf", "terraform": ".tf", "hcl": ".hcl", "dockerfile": "Dockerfile .dockerfile", "pdf": ".pdf",
-    "docx": ".docx", "odt": ".odt", "pptx": ".pptx", "xlsx": ".xlsx", "log": ".log",
+LANGUAGE_OF = {
+    ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript",
+    ".mts": "typescript", ".cts": "typescript", ".py": "python", ".pyw": "python", ".pyi": "python", ".cs": "csharp", ".csx": "csharp",
+    ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cxx": "cpp", ".cc": "cpp", ".hpp": "cpp", ".hxx": "cpp",
+    ".php": "php", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".rb": "ruby", ".rake": "ruby", ".sh": "bash", ".bash": "bash",
+    ".zsh": "bash", ".fish": "bash", ".sql": "sql", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".xml": "xml", ".csv": "csv",
+    ".html": "html", ".htm": "html", ".css": "css", ".scss": "css", ".sass": "css", ".less": "css", ".md": "markdown", ".mdx": "markdown",
+    ".rst": "rst", ".txt": "text", ".adoc": "asciidoc", ".env": "env", ".ini": "ini", ".cfg": "ini", ".conf": "ini", ".tf": "terraform",
+    ".hcl": "hcl", "Dockerfile": "dockerfile", ".dockerfile": "dockerfile", ".pdf": "pdf", ".docx": "docx", ".odt": "odt", ".pptx": "pptx",
+    ".xlsx": "xlsx", ".log": "log",
 }
-CATEGORIES = {
-    "code": "javascript typescript python csharp java go rust c cpp php kotlin swift ruby bash sql",
-    "documentation": "markdown rst text asciidoc html",
-    "data": "pdf docx odt pptx xlsx csv",
-    "config": "json yaml toml xml env ini terraform hcl dockerfile",
+CATEGORY_OF = {
+    "javascript": "code", "typescript": "code", "python": "code", "csharp": "code", "java": "code", "go": "code", "rust": "code", "c": "code",
+    "cpp": "code", "php": "code", "kotlin": "code", "swift": "code", "ruby": "code", "bash": "code", "sql": "code", "markdown": "documentation",
+    "rst": "documentation", "text": "documentation", "asciidoc": "documentation", "html": "documentation", "pdf": "data", "docx": "data",
+    "odt": "data", "pptx": "data", "xlsx": "data", "csv": "data", "json": "config", "yaml": "config", "toml": "config", "xml": "config",
+    "env": "config", "ini": "config", "terraform": "config", "hcl": "config", "dockerfile": "config",
 }
-OFFICE = "application/vnd.openxmlformats-officedocument."
 MIME = {
     "javascript": "application/javascript", "typescript": "application/typescript", "python": "text/x-python", "json": "application/json",
     "yaml": "application/yaml", "html": "text/html", "css": "text/css", "markdown": "text/markdown", "pdf": "application/pdf",
-    "docx": OFFICE + "wordprocessingml.document", "xlsx": OFFICE + "spreadsheetml.sheet", "pptx": OFFICE + "presentationml.presentation", "csv": "text/csv",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "csv": "text/csv",
 }
 BINARY = (
     ".png .jpg .jpeg .gif .bmp .ico .svg .mp3 .mp4 .wav .avi .mov .zip .tar .gz .bz2 .xz .7z .rar .exe .dll .so .dylib .a .lib "
@@ -36,8 +39,6 @@ IGNORED = (
     "node_modules/** .git/** dist/** build/** bin/** obj/** coverage/** .cache/** venv/** __pycache__/** *.pyc *.pyo *.class *.o *.a *.so "
     "*.dll *.exe *.bin *.lock package-lock.json yarn.lock pnpm-lock.yaml *.min.js *.min.css *.map"
 ).split()
-LANGUAGE_OF = {e: lang for lang, ends in ENDINGS.items() for e in ends.split()}
-CATEGORY_OF = {lang: cat for cat, langs in CATEGORIES.items() for lang in langs.split()}
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:

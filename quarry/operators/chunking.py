@@ -77,14 +77,18 @@ def line_blocks(docs: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:
 
 def greedy_batches(sizes: Column, budget: int) -> Column:
     """The batch number of each element: a batch closes before the element that would take it over ``budget``."""
-    zero = F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("b"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("starts"))
 
     def fold(acc, n):
-        new = (acc["b"] < 0) | (acc["sum"] + n > budget) & (acc["sum"] > 0)
-        b = F.when(new, acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(F.when(new, n).otherwise(acc["sum"] + n).cast("int").alias("sum"), b.alias("b"), F.concat(acc["out"], F.array(b)).alias("out"))
+        new = (acc["i"] == 0) | (acc["sum"] + n > budget) & (acc["sum"] > 0)
+        starts = F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"])  # boundaries only
+        return F.struct((acc["i"] + 1).alias("i"), F.when(new, n).otherwise(acc["sum"] + n).cast("int").alias("sum"), starts.alias("starts"))
 
-    return F.aggregate(sizes, zero, fold, lambda acc: acc["out"])
+    def numbered(acc):
+        ends = F.transform(acc["starts"], lambda s, k: F.coalesce(F.get(acc["starts"], k + 1), acc["i"]) - s)
+        return F.flatten(F.transform(ends, lambda n, k: F.array_repeat(k, n)))
+
+    return F.aggregate(sizes, zero, fold, numbered)
 
 
 def token_batches(docs: DataFrame, budget: int, content: str = "content") -> DataFrame:
@@ -169,6 +173,26 @@ def code_chunks(docs: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:
     return found.unionByName(blocks)
 
 
+def chunk_documents(docs: DataFrame, symbols: DataFrame | None = None, sections: DataFrame | None = None, cfg: Chunking = CHUNKING) -> DataFrame:
+    """Chunks of ``docs`` (document_id, type, content) by their type: document_id, pos, part, kind, title, content, start_line, end_line.
+
+    Code is cut by ``symbols`` (document_id, symbols), documentation, config and data by ``sections`` (document_id,
+    type, pos, title, level, content, start_line, end_line), anything else (a null type too) by line blocks. A document
+    whose symbols or sections are missing yields what its chunker makes of none.
+    """
+    kind = F.coalesce("type", F.lit("unknown"))
+    out = line_blocks(docs.where(~kind.isin("code", "documentation", "config", "data")), cfg)
+    out = out.select("document_id", F.col("idx").alias("pos"), F.lit(0).alias("part"), F.lit("fallback").alias("kind"), "title", "content", "start_line", "end_line")
+    if symbols is not None:
+        code = docs.where(kind == "code").join(symbols, "document_id", "left").select("document_id", "content", "symbols")
+        out = out.unionByName(code_chunks(code, cfg))
+    if sections is not None:
+        own = sections.join(docs.where(kind.isin("documentation", "config", "data")).select("document_id").distinct(), "document_id", "left_semi")
+        lines = own.select("document_id", "pos", "start_line", "end_line")
+        out = out.unionByName(section_chunks(own.drop("start_line", "end_line"), cfg).join(lines, ["document_id", "pos"]).select(*out.columns))
+    return out
+
+
 def fallback_segments(docs: DataFrame, min_chars: int = 50, max_chars: int = 2000) -> DataFrame:
     """Segments of plain text (document_id, content): closed at a blank line after more than three lines, or beyond ``max_chars``; short ones go.
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import rules
 from ..functions.text import estimate_tokens, strip, truncate_tokens
 
+# What counts as a branch, and the names of entry points.
 BRANCHES = r"\bif\b|\belse\b|\bswitch\b|\bcase\b|\bwhile\b|\bfor\b|\bcatch\b|\?\s"
 ENTRY = r"^(index|main|app|server)\.(ts|js|py|go|rs)$"
 PROJECT_ENTRY = r"^(index|main|app|server|cmd)\.(ts|js|py|go|rs|java)$"
@@ -73,15 +74,16 @@ def file_summary(files: DataFrame, max_tokens: int = 150) -> DataFrame:
     )
 
 
-def _in_order(summaries: DataFrame, field: str, cap: int) -> DataFrame:
-    """The first ``cap`` distinct values of an array column in a module, in the order of paths and places.
+def _in_order(summaries: DataFrame, field: str, cap: int | None) -> DataFrame:
+    """The first ``cap`` distinct values (all without one) of an array column in a module, in the order of paths and places.
 
     Each value is reduced to its first place before anything is collected, so what is collected is the module's
     vocabulary, not its files.
     """
     seen = summaries.select("module", "path", F.posexplode(field).alias("i", "x")).groupBy("module", "x").agg(F.min(F.struct("path", "i")).alias("at"))
     rank = F.row_number().over(Window.partitionBy("module").orderBy("at", "x"))
-    top = seen.withColumn("k", rank).where(F.col("k") <= cap)
+    top = seen.withColumn("k", rank)
+    top = top.where(F.col("k") <= cap) if cap else top
     return top.groupBy("module").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias(field))
 
 
@@ -90,7 +92,7 @@ def module_summary(summaries: DataFrame, max_tokens: int = 200) -> DataFrame:
     counts = summaries.groupBy("module", "domain").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
     domain = counts.groupBy("module").agg(F.min_by("domain", F.struct(-F.col("n"), "first")).alias("domain"))
     out = summaries.groupBy("module").agg(F.count(F.lit(1)).alias("files"), F.min_by("purpose", "path").alias("purpose")).join(domain, "module")
-    for field, cap in (("dependencies", 30), ("exports", 30), ("tags", 1000)):
+    for field, cap in (("dependencies", 30), ("exports", 30), ("tags", None)):
         out = out.join(_in_order(summaries, field, cap), "module", "left").withColumn(field, F.coalesce(field, F.array().cast("array<string>")))
     text = F.concat(F.lit("Module '"), "module", F.lit("': "), "files", F.lit(" files. Purpose: "), "purpose", F.lit(". Exports: "), F.array_join(F.slice("exports", 1, 5), ", "), F.lit("."))
     return out.withColumn("summary", truncate_tokens(text, max_tokens))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import RETRIEVAL
+from . import vectors
+
 # The weights of the three scores, and the graph's boost.
 WEIGHTS = (0.6, 0.3, 0.1)
 GRAPH_SCORE = 0.1
@@ -58,6 +61,18 @@ def rerank(candidates: DataFrame, k: int, scorer=None) -> DataFrame:
     return ranked(candidates.withColumn("rerank_score", F.round(scorer(F.col("query"), F.col("text")), 6)), k, "rerank_score")
 
 
-def pruned(vectors: DataFrame, groups: DataFrame, group: str) -> DataFrame:
-    """``vectors`` whose ``group`` is among the query-independent ``groups`` (id)."""
-    return vectors.join(groups.select(F.col("id").alias(group)), group, "left_semi")
+def hierarchical(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVAL.final_top_k, levels=(("module", 3), ("file", 10))) -> DataFrame:
+    """query_id, id, score and rank of the best ``k`` ``chunks`` (id, embedding and a column for each level) of each of ``queries`` (query_id, vector).
+
+    Each level takes the best groups by their mean vector, but only among groups inside what the level above chose for
+    that query; at last the chunks of the chosen groups are ranked, all of them. Without levels the search is flat.
+    """
+    outer = None
+    for level, best in levels:
+        groups = vectors.centroids(chunks, level).select(F.col("id").alias(level), "embedding")
+        if outer is not None:
+            groups = groups.join(chunks.select(level, outer).distinct(), level)
+        found = vectors.top_k(queries, groups.select("*", F.col(level).alias("id")).drop(level), best, by=outer)
+        queries = queries.select("query_id", "vector").distinct().join(found.select("query_id", F.col("id").alias(level)), "query_id")
+        outer = level
+    return vectors.top_k(queries, chunks, k, by=outer)

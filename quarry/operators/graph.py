@@ -69,6 +69,14 @@ def neighbours(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int,
     return found.orderBy("depth", "id").limit(max_nodes) if max_nodes else found
 
 
+def edges_around(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] | None = None) -> DataFrame:
+    """The edges that a walk of ``depth`` undirected steps from ``seeds`` (id) passes: those at any node that is fewer steps away, each once."""
+    own = edges.where(F.col("kind").isin(kinds)) if kinds else edges
+    ends = own.select(F.col("source_id").alias("id")).unionByName(own.select(F.col("target_id").alias("id"))).distinct()
+    inner = neighbours(ends, own, seeds, depth - 1).select("id") if depth else seeds.select("id").where("false")
+    return edges_at(own, inner, "source_id").unionByName(edges_at(own, inner, "target_id")).dropDuplicates(["id"])
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int = 5) -> DataFrame:
     """source_id, target_id and path (array of ids) of the shortest directed path of at most ``max_nodes`` nodes; of equal ones the first in order."""
     out = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).distinct()

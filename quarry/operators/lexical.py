@@ -1,28 +1,81 @@
-"""Full-text search: an inverted index as tables, and BM25 over it."""
+"""Full-text search: an inverted index as tables, kept in a store and updated, and BM25 over it."""
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scan import Snapshots
+
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
+def _folds() -> tuple[str, str]:
+    """Latin letters with marks, and the letters without."""
+    pairs = ((chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+    own = [(x, y) for x, y in pairs if y.isascii() and y.isalpha()]
+    return "".join(x for x, _ in own), "".join(y for _, y in own)
+
+
+def fold(text: Column) -> Column:
+    """``text`` with Latin letters in place of the same letters with diacritics."""
+    return F.translate(F.regexp_replace(text, r"\p{Mn}", ""), *_folds())
+
+
 def terms_of(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, id, tf for ``docs`` (id, text); whole texts are indexed, however long."""
-    return docs.select("id", F.explode(terms_of("text")).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+def asked_of(queries: DataFrame) -> DataFrame:
+    """query_id and asked, a row for each distinct term of ``queries`` (query_id, terms)."""
+    return queries.select("query_id", F.explode(F.array_distinct("terms")).alias("asked"))
+
+
+def postings(docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """term, id, tf for ``docs`` (id, text); whole texts are indexed, however long. With ``queries``, only the terms that they ask for."""
+    every = docs.select("id", F.explode(terms_of(F.col("text"))).alias("term"))
+    if queries is not None:
+        every = every.join(asked_of(queries).select(F.col("asked").alias("term")).distinct(), "term", "left_semi")
+    return every.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("id", F.size(terms_of("text")).alias("n"))
+    return docs.select("id", F.size(terms_of(F.col("text"))).alias("n"))
+
+
+class Index:
+    """Postings and lengths as versioned tables of a store; a changed document replaces its postings, a deleted one loses them."""
+
+    def __init__(self, store: Snapshots, name: str = "fts"):
+        self.store, self.name = store, name
+
+    def write(self, docs: DataFrame) -> Index:
+        self.store.write(f"{self.name}-postings", postings(docs).repartition("term").sortWithinPartitions("term"))
+        self.store.write(f"{self.name}-lengths", lengths(docs))
+        return self
+
+    def upsert(self, docs: DataFrame) -> Index:
+        """Documents with no term left are in the lengths alone."""
+        self.delete(docs.select("id"))
+        for part, rows in (("postings", postings(docs)), ("lengths", lengths(docs))):
+            stored = self.store.read(f"{self.name}-{part}")
+            self.store.write(f"{self.name}-{part}", rows if stored is None else stored.unionByName(rows))
+        return self
+
+    def delete(self, ids: DataFrame) -> Index:
+        for part in ("postings", "lengths"):
+            self.store.delete(f"{self.name}-{part}", ids.select("id").distinct(), ["id"])
+        return self
+
+    def search(self, queries: DataFrame, top_k: int | None = None, prefix: bool = False) -> DataFrame:
+        """See ``search``. Of the postings only row groups that may hold an asked term are read, as they lie in the order of terms."""
+        return search(queries, self.store.read(f"{self.name}-postings"), self.store.read(f"{self.name}-lengths"), top_k, prefix)
 
 
 def stem_terms(index: DataFrame) -> DataFrame:
@@ -37,9 +90,13 @@ def search(queries: DataFrame, index: DataFrame, length: DataFrame, top_k: int |
     ``queries`` has query_id and ``terms`` (array). A document matches if any term does.
     """
     stats = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("asked"))
+    asked = asked_of(queries)
     if prefix:
-        hits = asked.join(index, F.startswith(index["term"], asked["asked"])).groupBy("query_id", "asked", "id").agg(F.sum("tf").alias("tf"))
+        # Equal beginnings of the lengths that occur (a few small numbers) are joined, with the distinct terms first.
+        sizes = sorted(r["n"] for r in asked.select(F.length("asked").alias("n")).distinct().collect())
+        starts = index.select("term").distinct().withColumn("asked", F.explode(F.array(*[F.substring("term", 1, n) for n in sizes])) if sizes else F.lit(None).cast("string"))
+        starts = starts.join(asked, "asked").select("query_id", "asked", "term").distinct()
+        hits = starts.join(index, "term").groupBy("query_id", "asked", "id").agg(F.sum("tf").alias("tf"))
     else:
         hits = asked.join(index, F.col("asked") == F.col("term")).select("query_id", "asked", "id", "tf")
     df = hits.groupBy("query_id", "asked").agg(F.count(F.lit(1)).alias("df"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from .chunking import fallback_segments
 
 IMPORT = r"(?m)^\s*((?:import|from|use|package|require|#include)\b[^\n]*)"
 
@@ -135,8 +136,17 @@ _FUNCTIONS = r"^\s*(?:export\s+)?(?:default\s+)?(?:pub\s+)?(?:public\s+|private\
 _METHODS = r"^\s+(?:public\s+|private\s+|static\s+|async\s+)*(\w+)\s*\([^)]*\)\s*(?::\s*[^{]+)?\{"
 
 
+#: What may hold braces that open and close nothing: block comments, then strings and line comments of one line.
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_BARE = re.compile(r"""//.*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`""")
+
+
 def symbols_of(language: str | None, text: str) -> list[tuple]:
-    """(name, kind, start_line, end_line, doc) of a file's symbols: by Python's own parser, else by declarations and braces."""
+    """(name, kind, start_line, end_line, doc) of a file's symbols: by Python's own parser, else by the patterns of declarations and by braces.
+
+    Braces in comments and in strings of one line do not count. Outside Python a declaration that is spread over
+    several lines before its name is not found, and a string over several lines may hide the end of a symbol.
+    """
     lines = text.split("\n")
 
     def doc(at: int):
@@ -152,10 +162,12 @@ def symbols_of(language: str | None, text: str) -> list[tuple]:
         found = [(n.name, kinds[type(n)], n.lineno, n.end_lineno, doc(n.lineno)) for n in ast.walk(tree) if type(n) in kinds]
         return sorted(found, key=lambda s: s[2])
 
+    bare = [_BARE.sub(lambda m: " " * len(m[0]), x) for x in _COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text).split("\n")]
+
     def end(at: int) -> int:
         depth, seen = 0, False
         for i in range(at, len(lines)):
-            for c in lines[i]:
+            for c in bare[i]:
                 depth += (c == "{") - (c == "}")
                 seen = seen or c == "{"
             if seen and depth <= 0 or not seen and lines[i].rstrip().endswith(";"):
@@ -184,10 +196,58 @@ def symbols(files: DataFrame) -> DataFrame:
     return files.select("id", "language", "content").mapInPandas(run, "id long, pos int, name string, kind string, start_line int, end_line int, doc string")
 
 
-#: Language to the parser of its sections; others are cut as plain text. ``register`` adds to it.
-PARSERS = {"markdown": markdown_sections, "dockerfile": dockerfile_blocks, "json": json_sections, "yaml": tree_sections, "toml": tree_sections, "ini": blank_line_blocks, "env": blank_line_blocks, "xml": blank_line_blocks}
+def _sections(found: DataFrame, type_: str) -> DataFrame:
+    has = lambda c, d: (F.col(c) if c in found.columns else d).alias(c)
+    null = F.lit(None).cast("int")
+    return found.select("id", F.lit(type_).alias("type"), F.col("pos").cast("int").alias("pos"), has("title", F.concat(F.lit("block_"), "pos")), has("level", F.lit(1)), has("content", F.lit(None).cast("string")), has("start_line", null), has("end_line", null))
+
+
+def csv_sections(files: DataFrame) -> DataFrame:
+    """Two sections of a CSV file: its schema and a sample."""
+    facts = csv_facts(files).select("id", F.posexplode(F.array(F.struct(F.lit("Schema").alias("title"), F.col("schema").alias("content")), F.struct(F.lit("Sample Data").alias("title"), F.col("sample").alias("content")))).alias("pos", "s"))
+    return facts.select("id", "pos", "s.*")
+
+
+def code_sections(files: DataFrame) -> DataFrame:
+    """A section for each symbol."""
+    s = symbols(files)
+    text = F.array_join(F.slice(F.split("content", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    return s.join(files.select("id", "content"), "id").select("id", "pos", F.concat("kind", F.lit(": "), "name").alias("title"), text.alias("content"), "start_line", "end_line")
+
+
+def plain_sections(files: DataFrame) -> DataFrame:
+    found = fallback_segments(files.select(F.col("id").alias("document_id"), "content"))
+    return found.select(F.col("document_id").alias("id"), F.col("idx").alias("pos"), F.concat(F.lit("segment_"), "idx").alias("title"), "content", "start_line", "end_line")
+
+
+CODE = tuple("javascript typescript python csharp java go rust c cpp php kotlin swift ruby bash sql".split())
+#: (languages, type of the document, parser of its sections): the first entry with a file's language takes it.
+PARSERS: list[tuple[tuple[str, ...], str, object]] = [
+    (CODE, "code", code_sections),
+    (("markdown",), "documentation", markdown_sections),
+    (("json",), "config", json_sections),
+    (("yaml", "toml"), "config", tree_sections),
+    (("dockerfile",), "config", dockerfile_blocks),
+    (("ini", "env", "xml", "hcl", "terraform"), "config", blank_line_blocks),
+    (("csv",), "data", csv_sections),
+]
+
+
+def register(languages: tuple[str, ...], type_: str, parser) -> None:
+    """``parser`` (files to sections) goes before those that are there."""
+    PARSERS.insert(0, (languages, type_, parser))
 
 
-def register(language: str, parser) -> None:
-    PARSERS[language] = parser
+def parse(files: DataFrame) -> DataFrame:
+    """Sections of ``files`` (id, path, language, is_binary, content) by the first parser that takes their language: id, language, type, pos, title, level, content, start_line, end_line.
 
+    Binary files have none. A language that no parser takes, and a null one, is cut as plain text of type ``unknown``.
+    """
+    files = files.where("NOT coalesce(is_binary, false)").withColumn("language", F.coalesce("language", F.lit("")))
+    left, out = F.lit(True), None
+    for languages, type_, parser in [*PARSERS, (None, "unknown", plain_sections)]:
+        own = files.where(left & F.col("language").isin(*languages) if languages else left)
+        part = _sections(parser(own), type_)
+        out = part if out is None else out.unionByName(part)
+        left = left & ~F.col("language").isin(*languages) if languages else left
+    return out.join(files.select("id", "language"), "id")

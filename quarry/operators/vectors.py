@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from ..config import CACHE, RETRIEVAL
 from ..functions.text import short_hash
 
-#: Rows of queries that one task may hold: 1024 doubles each make 80 MB. Beyond it the queries are taken in blocks.
-QUERY_ROWS = 10_000
+#: Queries and vectors that one task multiplies at a time: their scores make 80 MB.
+QUERY_ROWS, VECTOR_ROWS = 500, 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,62 +25,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, by: str | None = None) -> DataFrame:
     """query_id, id, ``score`` (cosine to 6 places) and rank of the ``k`` best ``vectors`` (id, embedding) of each of ``queries`` (query_id, vector).
 
-    Queries are a stated set, taken in blocks that fit a task; each task multiplies a block with its own vectors as
-    one matrix and passes on only its own best k, so what is shuffled does not grow with the number of vectors.
-    Ties go to the smaller id.
+    With ``by``, a column of both, a query is compared only with vectors of an equal value (a query may have several
+    rows). Queries and vectors are dealt into blocks by their place, so that a hot value fills none; each task
+    multiplies a block of one with a block of the other and passes on only the best k of each query, so what is
+    shuffled next does not grow with the number of vectors. Ties go to the smaller id. A null vector and one of
+    another length than the queries' is skipped; a null or zero query scores 0 with everything.
     """
-    numbered = _blocks(queries)
-    blocks = [r["block"] for r in numbered.select("block").distinct().collect()]
-    out = None
-    for block in blocks:
-        part = _best(numbered.where(F.col("block") == block).select("query_id", "vector").collect(), vectors, k, min_score)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = _best([], vectors, k, min_score)
+    group = [F.col(by).alias("_by")] if by else [F.lit(0).alias("_by")]
+    asked, rows = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first(), vectors.count()
+    width, n_blocks, n_parts = asked[1], max(1, -(-asked[0] // QUERY_ROWS)), max(1, -(-rows // VECTOR_ROWS))
+    place = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias
+    q = queries.select(*group, place(n_blocks)("_block"), "query_id", "vector").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)).cast("array<long>")))
+    v = vectors.where(F.size("embedding") == width).select(*group, place(n_parts)("_part"), "id", "embedding")
+    v = v.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        out = np.zeros((len(column), width))
+        for i, x in enumerate(column):
+            if x.is_valid and len(x.values) == width and (n := np.linalg.norm(own := x.values.to_numpy(zero_copy_only=False).astype(np.float64))) > 0:
+                out[i] = own / n
+        return out
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("id")
+        scores = np.round(unit(a.column("vector")) @ unit(b.column("embedding")).T, 6) + 0.0 if len(a) and len(b) else np.zeros((len(a), len(b)))
+        n = min(k, len(b))
+        least = np.partition(scores, len(b) - n, axis=1)[:, len(b) - n] if n else np.zeros(len(a))
+        row, col = np.nonzero(scores >= (least if min_score is None else np.maximum(least, min_score))[:, None])
+        order = np.lexsort((col, -scores[row, col], row))
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, np.arange(len(a)))
+        keep = np.arange(len(row)) - first[row] < n
+        row, col = row[keep], col[keep]
+        return pa.table({"query_id": a.column("query_id").take(pa.array(row)), "id": b.column("id").take(pa.array(col)), "score": pa.array(scores[row, col])})
+
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
+    keys = ("_by", "_block", "_part")
+    out = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> DataFrame:
-    if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
-        return queries.withColumn("block", F.lit(0))
-    n = -(-queries.count() // (QUERY_ROWS // 2))
-    return queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-
-
-def _best(rows: list, vectors: DataFrame, k: int, min_score: float | None) -> DataFrame:
-    ids = [r["query_id"] for r in rows]
-    asked = [np.asarray(r["vector"] if r["vector"] is not None else [], dtype=np.float64) for r in rows]
-    width = max(map(len, asked), default=0)
-    matrix = np.zeros((len(asked), width))
-    for i, v in enumerate(asked):
-        if len(v) == width and (n := np.linalg.norm(v)) > 0:
-            matrix[i] = v / n
-
-    def run(batches):
-        best = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
-        for batch in batches:
-            keep = [i for i, v in enumerate(batch.column("embedding")) if v.is_valid and len(v.values) == width]
-            if not keep or not ids:
-                continue
-            taken = batch.take(pa.array(keep))
-            x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in taken.column("embedding")]).astype(np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            scores = np.round(matrix @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T, 6) + 0.0
-            own = taken.column("id").to_numpy(zero_copy_only=False)
-            for i in range(len(ids)):
-                s, d = np.concatenate([best[i][0], scores[i]]), np.concatenate([best[i][1], own])
-                order = np.lexsort((d, -s))[:k]
-                best[i] = s[order], d[order]
-        flat = [(q, d, s) for q, (ss, ds) in zip(ids, best) for s, d in zip(ss.tolist(), ds.tolist()) if min_score is None or s >= min_score]
-        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
-
-    return vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, score double")
-
-
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
     """The mean vector of each group, by position."""
     parts = vectors.select(F.col(by).alias("id"), F.posexplode("embedding").alias("at", "x")).groupBy("id", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunking, lexical
+from ..sources.scan import Snapshots
 from .basics import ASKED, questions
-from .common import literal, table
+from .common import literal, shared_dir, table
 
 
 def _docs(spark, sf_dir):
@@ -50,19 +53,29 @@ def term_postings(spark, sf_dir):
     return lexical.postings(_indexed(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-def _ask(spark, sf_dir):
-    return questions(spark, sf_dir).select("query_id", lexical.terms_of(F.col("query")).alias("terms"))
+def _ask(spark, sf_dir, fold=lambda c: c):
+    return questions(spark, sf_dir).select("query_id", lexical.terms_of(fold(F.col("query"))).alias("terms"))
 
 
 def bm25_topk(spark, sf_dir):
     docs = _indexed(spark, sf_dir)
     one = literal(spark, [(0, ["the", "and", "with", "est", "und"])], "query_id long, terms array<string>")
-    return lexical.search(one, lexical.postings(docs), lexical.lengths(docs), 20).select("id", "score", "rank")
+    return lexical.search(one, lexical.postings(docs, one), lexical.lengths(docs), 20).select("id", "score", "rank")
 
 
 def bm25_multi_query(spark, sf_dir):
     docs = _indexed(spark, sf_dir)
-    return lexical.search(_ask(spark, sf_dir), lexical.postings(docs), lexical.lengths(docs), 20).select("query_id", "id", "score", "rank")
+    asked = _ask(spark, sf_dir)
+    return lexical.search(asked, lexical.postings(docs, asked), lexical.lengths(docs), 20).select("query_id", "id", "score", "rank")
+
+
+def fts_stored(spark, sf_dir):
+    """A stored index: three quarters of the documents indexed, then the rest and changed ones added, and some deleted."""
+    docs = _indexed(spark, sf_dir)
+    index = lexical.Index(Snapshots(spark, f"{shared_dir(spark)}/quarry-index-{uuid.uuid4().hex}"))
+    index.write(docs.where("id % 4 > 0").withColumn("text", F.when(F.col("id") % 3 == 0, F.lit("an old text")).otherwise(F.col("text"))))
+    index.upsert(docs.where("id % 4 = 0 OR id % 3 = 0")).delete(docs.where("id % 10 = 7").select("id"))
+    return index.search(_ask(spark, sf_dir), 20).select("query_id", "id", "score", "rank")
 
 
 def fts_prefix(spark, sf_dir):
@@ -72,12 +85,12 @@ def fts_prefix(spark, sf_dir):
 
 
 def fts_porter(spark, sf_dir):
-    docs = _indexed(spark, sf_dir)
-    asked = _ask(spark, sf_dir).select("query_id", F.explode("terms").alias("term")).withColumn("stem", lexical.stem("term")).groupBy("query_id").agg(F.collect_set("stem").alias("terms"))
+    docs = _indexed(spark, sf_dir).withColumn("text", lexical.fold(F.col("text")))
+    asked = _ask(spark, sf_dir, lexical.fold).select("query_id", F.explode("terms").alias("term")).withColumn("stem", lexical.stem("term")).groupBy("query_id").agg(F.collect_set("stem").alias("terms"))
     return lexical.search(asked, lexical.stem_terms(lexical.postings(docs)), lexical.lengths(docs), 20)
 
 
-QUERIES = {f.__name__: f for f in (line_block_chunks, chunk_ids, token_batches, fallback_segments, section_chunks, term_postings, bm25_topk, bm25_multi_query, fts_prefix, fts_porter)}
+QUERIES = {f.__name__: f for f in (line_block_chunks, chunk_ids, token_batches, fallback_segments, section_chunks, term_postings, bm25_topk, bm25_multi_query, fts_stored, fts_prefix, fts_porter)}
 
 # A walk over the lines of each document: s is where the open block begins, t its tokens, f the reported first line.
 WALK = """RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -90,7 +103,7 @@ g AS (SELECT doc_id, b, array_to_string(l[b[1] + 1 : b[2]], chr(10)) AS c FROM e
 k AS (SELECT doc_id, b, c, CAST(ceil(length(c) / 4) AS BIGINT) AS tokens FROM g WHERE ceil(length(c) / 4) >= 20),
 o AS (SELECT doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b[2]) - 1 AS INT) AS idx, tokens, b[3] AS start_line, b[2] AS end_line, b[1] + 1 AS block_start, md5(c) AS md5 FROM k)"""
 TERMS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-INDEX = f"""t AS (SELECT doc_id AS id, {TERMS.format('substr(text, 1, 10000)')} AS l FROM documents),
+INDEX = f"""t AS (SELECT doc_id AS id, {TERMS.format('text')} AS l FROM documents),
 len AS (SELECT id, len(l) AS n FROM t), post AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(l) AS term FROM t) GROUP BY ALL),
 st AS (SELECT count(*) AS docs, avg(n) AS mean FROM len)"""
 SCORE = """dfs AS (SELECT query_id, asked, count(*) AS df FROM hit GROUP BY ALL),
@@ -125,5 +138,6 @@ UNION ALL SELECT document_id, pos, part, 'paragraph', title || ' (part ' || (par
     "term_postings": f"WITH {INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY term",
     "bm25_topk": f"WITH {INDEX}, ask AS (SELECT 0 AS query_id, unnest(['the', 'and', 'with', 'est', 'und']) AS asked), {HIT}, {SCORE} SELECT id, score, rank FROM top",
     "bm25_multi_query": f"WITH {INDEX}, {ASKED}, ask AS (SELECT DISTINCT query_id, unnest({TERMS.format('query')}) AS asked FROM q), {HIT}, {SCORE} SELECT query_id, id, score, rank FROM top",
+    "fts_stored": f"WITH {INDEX.replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 7)')}, {ASKED}, ask AS (SELECT DISTINCT query_id, unnest({TERMS.format('query')}) AS asked FROM q), {HIT}, {SCORE} SELECT query_id, id, score, rank FROM top",
     "fts_prefix": f"WITH {INDEX}, ask AS (SELECT CAST(i AS BIGINT) AS query_id, a AS asked FROM (VALUES (1, 'tho'), (2, 'zu'), (3, 'zzzz')) AS t(i, a)), hit AS (SELECT query_id, asked, id, CAST(sum(tf) AS BIGINT) AS tf FROM ask JOIN post ON starts_with(term, asked) GROUP BY ALL), {SCORE} SELECT query_id, id, score, rank FROM top",
 }

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import RETRIEVAL
 from ..functions import rules
 from ..functions.text import estimate_tokens
-from ..operators import compress, enrich
+from ..operators import chunking, compress, enrich
 from .common import literal, table, values
 from .fixtures import CODE
+from .retrieval import WALK
+
+BUDGET = 8000
 
 
 def _chunks(spark, sf_dir):
@@ -113,22 +117,25 @@ def compression_totals(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    """Fifty candidates of each source, longest first, as if a query had ranked them."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), rank.alias("rank"), F.col("doc_id").alias("id"), F.substring("text", 1, 600).alias("body"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.concat("source", F.lit("/"), "doc_id").alias("path"))
-    return d.where(F.col("rank") <= 50).withColumn("tokens", estimate_tokens(F.col("body"))).withColumn("title", F.concat(F.lit("t"), "id")).withColumn("score", 1 / (F.col("rank") + 1.0))
+    """As many chunks of each source as retrieval keeps candidates, longest first, as if a query had ranked them."""
+    d = table(spark, sf_dir, "documents")
+    c = chunking.line_blocks(d.select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")))
+    c = c.join(d.select(F.col("doc_id").alias("document_id"), "source"), "document_id")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("tokens"), "document_id", "end_line"))
+    c = c.select(F.col("source").alias("query_id"), rank.alias("rank"), F.concat_ws(":", "document_id", "end_line").alias("id"), F.col("content").alias("body"), "start_line", "end_line", F.concat("source", F.lit("/"), "document_id").alias("path"), "tokens", "title")
+    return c.where(F.col("rank") <= RETRIEVAL.candidates).withColumn("score", 1 / (F.col("rank") + 1.0))
 
 
 def token_budget_context(spark, sf_dir):
-    return compress.within_budget(_ranked(spark, sf_dir), 1000).select("query_id", "rank", "id", "used")
+    return compress.within_budget(_ranked(spark, sf_dir), BUDGET).select("query_id", "rank", "id", "used")
 
 
 def assemble_context(spark, sf_dir):
-    return compress.assemble(_ranked(spark, sf_dir), 1000)
+    return compress.assemble(_ranked(spark, sf_dir), BUDGET)
 
 
 def context_package(spark, sf_dir):
-    return compress.package(_ranked(spark, sf_dir), 1000).select("query_id", F.array_join("ids", ",").alias("ids"), F.col("kept").cast("long").alias("kept"), "tokens", "truncated", "omitted")
+    return compress.package(_ranked(spark, sf_dir), BUDGET).select("query_id", F.array_join("ids", ",").alias("ids"), F.col("kept").cast("long").alias("kept"), "tokens", "truncated", "omitted")
 
 
 def serialize_context(spark, sf_dir):
@@ -162,8 +169,8 @@ tg AS (SELECT *, len(p) AS n, CAST(ceil(len(p) * 0.6::DOUBLE) AS INT) AS target
 kp AS (SELECT *, list_concat([0, n - 1], list_transform(range(1, greatest(target - 1, 2)), lambda i: CAST(floor(i * (n / CAST(greatest(target - 2, 1) AS DOUBLE)) + 0.5) AS INT))) AS keep FROM tg),
 ct AS (SELECT id, content, language, code, CASE WHEN n <= target OR n <= 3 THEN content ELSE array_to_string(list_filter(p, lambda x, i: list_contains(keep, i - 1)), ' ') END AS txt FROM kp),
 cx AS (SELECT id, content, {_S("regexp_replace(CASE WHEN language IN ('" + "', '".join(compress.CODE) + r"') THEN code ELSE txt END, '\n{3,}', chr(10) || chr(10), 'g')")} AS compressed FROM ct)"""
-RANKED = """rk AS (SELECT source AS query_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INT) AS rank, doc_id AS id, substr(text, 1, 600) AS body, source || '/' || doc_id AS path FROM documents QUALIFY rank <= 50),
-rt AS (SELECT *, CAST(ceil(length(body) / 4) AS BIGINT) AS tokens, 't' || id AS title, 1 / (rank + 1) AS score FROM rk), ru AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM rt)"""
+RANKED = f"""{WALK}, rt AS (SELECT source AS query_id, CAST(row_number() OVER (PARTITION BY source ORDER BY tokens DESC, k.doc_id, b[2]) AS INT) AS rank, k.doc_id || ':' || b[2] AS id, c AS body, b[3] AS start_line, b[2] AS end_line, source || '/' || k.doc_id AS path, tokens,
+'lines ' || b[3] || '-' || b[2] AS title, 1 / (rank + 1) AS score FROM k JOIN documents ON documents.doc_id = k.doc_id QUALIFY rank <= {RETRIEVAL.candidates}), ru AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM rt)"""
 _SIG = [r"function\s+\w+\s*\(([^)]*)\)", r"(?:const|let)\s+\w+\s*=\s*(?:async\s*)?\(([^)]*)\)", r"(?:async\s+)?\w+\s*\(([^)]*)\)"]
 _PAR = "CASE " + " ".join(f"WHEN regexp_matches(f, '{p}') THEN regexp_extract(f, '{p}', 1)" for p in _SIG) + " ELSE '' END"
 ORACLE = {
@@ -191,8 +198,8 @@ SELECT files, modules, coalesce(e, '') AS entry_points, purpose, 'Project ''corp
     "compress_text": f"WITH {PACKED} SELECT id, txt AS compressed FROM ct",
     "compress_chunk": f"WITH {PACKED} SELECT id, compressed, CAST(ceil(length(content) / 4) AS BIGINT) AS before, CAST(ceil(length(compressed) / 4) AS BIGINT) AS after FROM cx",
     "compression_totals": f"WITH {PACKED}, t AS (SELECT CAST(ceil(length(content) / 4) AS BIGINT) AS b, CAST(ceil(length(compressed) / 4) AS BIGINT) AS a FROM cx) SELECT CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after, CAST(sum(b - a) AS BIGINT) AS saved FROM t",
-    "token_budget_context": f"WITH {RANKED} SELECT query_id, rank, id, used FROM ru WHERE used <= 1000",
-    "assemble_context": f"WITH {RANKED} SELECT query_id, string_agg('### ' || title || chr(10) || '// ' || path || ':1-9' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM ru WHERE used <= 1000 GROUP BY query_id",
-    "context_package": f"WITH {RANKED} SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (used <= 1000) AS ids, count(*) FILTER (used <= 1000) AS kept, CAST(coalesce(sum(tokens) FILTER (used <= 1000), 0) AS BIGINT) AS tokens, count(*) > count(*) FILTER (used <= 1000) AS truncated, count(*) - count(*) FILTER (used <= 1000) AS omitted FROM ru GROUP BY query_id",
-    "serialize_context": f"WITH {RANKED} SELECT query_id, '# Context for: about ' || query_id || chr(10) || chr(10) || '## Relevant Code' || chr(10) || string_agg('### ' || rank || '. ' || path || ':1 [score: ' || printf('%.2f', score) || ']' || chr(10) || body || chr(10), chr(10) ORDER BY rank) || chr(10) || '## Relations' || chr(10) || string_agg('- ' || path || ' --[contains]--> ' || title, chr(10) ORDER BY '- ' || path || ' --[contains]--> ' || title) || chr(10) AS text FROM ru WHERE rank <= 3 GROUP BY query_id",
+    "token_budget_context": f"WITH {RANKED} SELECT query_id, rank, id, used FROM ru WHERE used <= {BUDGET}",
+    "assemble_context": f"WITH {RANKED} SELECT query_id, string_agg('### ' || title || chr(10) || '// ' || path || ':' || start_line || '-' || end_line || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM ru WHERE used <= {BUDGET} GROUP BY query_id",
+    "context_package": f"WITH {RANKED} SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (used <= {BUDGET}) AS ids, count(*) FILTER (used <= {BUDGET}) AS kept, CAST(coalesce(sum(tokens) FILTER (used <= {BUDGET}), 0) AS BIGINT) AS tokens, count(*) > count(*) FILTER (used <= {BUDGET}) AS truncated, count(*) - count(*) FILTER (used <= {BUDGET}) AS omitted FROM ru GROUP BY query_id",
+    "serialize_context": f"WITH {RANKED} SELECT query_id, '# Context for: about ' || query_id || chr(10) || chr(10) || '## Relevant Code' || chr(10) || string_agg('### ' || rank || '. ' || path || ':' || start_line || ' [score: ' || printf('%.2f', score) || ']' || chr(10) || body || chr(10), chr(10) ORDER BY rank) || chr(10) || '## Relations' || chr(10) || string_agg('- ' || path || ' --[contains]--> ' || title, chr(10) ORDER BY '- ' || path || ' --[contains]--> ' || title) || chr(10) AS text FROM ru WHERE rank <= 3 GROUP BY query_id",
 }

@@ -8,17 +8,33 @@ from pyspark.sql import functions as F
 from ..functions import files, text
 
 MAX_BYTES = 10 << 20
+IGNORE_FILES = (".gitignore", ".ragignore")
 
 
 def scan_directory(spark: SparkSession, root: str, extra_ignored: list[str] = (), max_bytes: int = MAX_BYTES, include_binary: bool = False) -> DataFrame:
-    """A row for each file under ``root``: path, relative_path, content, hash, size, language and the rest of its fingerprint."""
+    """A row for each file under ``root`` that neither its ignore files nor the fixed and extra patterns leave out: path, relative_path, content, hash, size, language and the rest of its fingerprint."""
     base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
     raw = raw.withColumn("relative_path", F.expr(f"substring(path, {len(base) + 2})"))
-    raw = raw.where(~files.ignored(F.col("relative_path"), [*files.IGNORED, *extra_ignored]))
+    raw = raw.where(~files.ignored(F.col("relative_path"), [*ignore_lines(spark, root), *files.IGNORED, *extra_ignored]))
     return fingerprints(raw.withColumn("modified_time", F.unix_millis("modificationTime").cast("double")), include_binary)
 
 
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the root's own ignore files. Spark's readers pass over names with a leading dot, so the driver opens these two."""
+    jvm, out = spark.sparkContext._jvm, []
+    for name in IGNORE_FILES:
+        path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + name)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                out += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            finally:
+                stream.close()
+    return out
+
+
 def fingerprints(raw: DataFrame, include_binary: bool = False) -> DataFrame:
     """``raw`` has relative_path, content (binary) and modified_time."""
     lang = files.language_of(F.col("relative_path"))
@@ -38,8 +54,17 @@ def delta(current: DataFrame, previous: DataFrame) -> DataFrame:
     return c.join(p, "path", "full_outer").select("path", status.alias("status"))
 
 
-def upsert(stored: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
-    """``stored`` with the rows of ``changed`` in place of those with the same keys."""
+def last_of(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row for each key: the last by ``order``, else the greatest by all columns that can be compared."""
+    comparable = [c for c, t in rows.dtypes if "map<" not in t and t != "variant"]
+    by = F.struct(*([F.col(order)] if order else []), *[F.col(c) for c in comparable])
+    row = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), by).alias("row")
+    return rows.groupBy(*keys).agg(row).select("row.*")
+
+
+def upsert(stored: DataFrame, changed: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``stored`` with the rows of ``changed`` in place of those with the same keys; of several with one key the last counts (see ``last_of``)."""
+    changed = last_of(changed, keys, order)
     return stored.join(changed.select(*keys), keys, "left_anti").unionByName(changed)
 
 
@@ -75,9 +100,9 @@ class Snapshots:
         versions = self.versions(name)
         return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]}") if versions else None
 
-    def upsert(self, name: str, changed: DataFrame, keys: list[str]) -> DataFrame:
+    def upsert(self, name: str, changed: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
         stored = self.read(name)
-        return self.write(name, changed if stored is None else upsert(stored, changed, keys))
+        return self.write(name, last_of(changed, keys, order) if stored is None else upsert(stored, changed, keys, order))
 
     def delete(self, name: str, gone: DataFrame, keys: list[str]) -> DataFrame | None:
         stored = self.read(name)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from ..sources.scan import Snapshots
+from ..sources.scan import Snapshots, last_of
 
 
 def debounce(events: DataFrame, gap_ms: int) -> DataFrame:
@@ -46,14 +46,16 @@ def debounce_stream(events: DataFrame, gap_ms: int, delay: str = "10 minutes") -
     )
 
 
-def apply_changes(store: Snapshots, name: str, key: str = "path"):
+def apply_changes(store: Snapshots, name: str, key: str = "path", order: str | None = None):
     """A ``foreachBatch`` function: changed rows replace those with their key, rows of kind ``unlink`` take them away.
 
+    Of several rows with one key in a batch the last by ``order`` counts (see ``last_of``), be it a change or not.
+
     A batch that is delivered twice leaves the same table.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
+        batch = last_of(batch, [key], order).persist()
         changed = batch.where("kind <> 'unlink'")
         stored = store.read(name)
         left = changed if stored is None else stored.join(batch.select(key), key, "left_anti").unionByName(changed.select(*stored.columns))

@@ -19,6 +19,16 @@ def test_scan_directory(spark, tmp_path):
     assert "img.png" not in {r["relative_path"] for r in scan.scan_directory(spark, str(tmp_path)).collect()}
 
 
+def test_ignore_files_of_the_tree(spark, tmp_path):
+    """Patterns that the fixed list lacks, from both ignore files."""
+    for path, body in {"src/a.ts": "x", "secret/b.ts": "x", "src/notes.tmp": "x", "src/keep.tmp": "x", "private/c.md": "x", ".gitignore": "secret/\n# note\n*.tmp\n!keep.tmp\n", ".ragignore": "private\n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(body)
+    got = {r["relative_path"] for r in scan.scan_directory(spark, str(tmp_path)).collect()}
+    assert {x for x in got if not x.startswith(".")} == {"src/a.ts", "src/keep.tmp"}
+    assert "src/a.ts" not in {r["relative_path"] for r in scan.scan_directory(spark, str(tmp_path), ["*.ts"]).collect()}
+
+
 def test_ignore_negation(spark):
     df = spark.createDataFrame([("a/x.log",), ("keep.log",), ("b/c.txt",)], "path string")
     got = {r["path"] for r in df.where(~files.ignored(F.col("path"), ["*.log", "!keep.log", "# note", "b/"])).collect()}
@@ -192,3 +202,96 @@ def test_debounce_stream_and_apply(spark, tmp_path):
     apply(spark.createDataFrame([(1, "unlink", None), (2, "change", "c")], changes.schema), 1)
     apply(spark.createDataFrame([(1, "unlink", None), (2, "change", "c")], changes.schema), 1)
     assert [(r["key"], r["v"]) for r in store.read("t").collect()] == [(2, "c")]
+
+
+def test_top_k_in_blocks_against_brute_force(spark, monkeypatch):
+    """Many blocks of both sides, ties, groups and text ids."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 3)
+    monkeypatch.setattr(vectors, "VECTOR_ROWS", 7)
+    rnd = random.Random(2)
+    vec = lambda: [float(rnd.randint(-2, 2)) for _ in range(3)]
+    v = [(f"v{i:02}", vec(), i % 4) for i in range(60)]
+    q = [(f"q{i}", vec(), g) for i in range(11) for g in rnd.sample(range(4), 2)]
+    q = [(i, next(x for j, x, _ in q if j == i), g) for i, _, g in q]
+
+    def brute(k, by):
+        out = set()
+        for i in {i for i, _, _ in q}:
+            groups, a = {g for j, _, g in q if j == i}, np.array(next(x for j, x, _ in q if j == i))
+            cos = lambda b: 0.0 if not a.any() or not b.any() else round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+            best = sorted((-cos(np.array(b)), n) for n, b, g in v if not by or g in groups)[:k]
+            out |= {(i, n, r + 1) for r, (_, n) in enumerate(best)}
+        return out
+
+    vs, qs = spark.createDataFrame(v, "id string, embedding array<float>, g int"), spark.createDataFrame(q, "query_id string, vector array<float>, g int")
+    assert {(r["query_id"], r["id"], r["rank"]) for r in vectors.top_k(qs, vs, 5, by="g").collect()} == brute(5, True)
+    assert {(r["query_id"], r["id"], r["rank"]) for r in vectors.top_k(qs.select("query_id", "vector").distinct(), vs, 70).collect()} == brute(70, False)
+
+
+def test_hierarchy_with_many_modules(spark):
+    """The nearest vectors of all lie in a module whose mean points elsewhere: only the chosen modules' and files' chunks come back, and all of them can."""
+    rows = [(i, [1.0, 0.01 * i, 0.0], "hot", "hot/a") for i in range(300)] + [(1000 + i, [-9.0, 0.0, 0.0], "hot", "hot/b") for i in range(300)]
+    rows += [(2000 + 10 * m + j, [1.0, 0.5 + 0.01 * m, 0.1 * j], f"m{m:02}", f"m{m:02}/{j % 2}") for m in range(40) for j in range(6)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>, module string, file string")
+    q = spark.createDataFrame([(7, [1.0, 0.0, 0.0])], "query_id long, vector array<float>")
+    got = [r["id"] for r in fusion.hierarchical(q, chunks).orderBy("rank").collect()]
+    assert len(got) == 10 and all(2000 <= i < 2030 for i in got)
+    assert [r["id"] for r in fusion.hierarchical(q, chunks, levels=()).orderBy("rank").collect()] == list(range(10))
+
+
+def test_stored_index(spark, tmp_path):
+    index = lexical.Index(scan.Snapshots(spark, str(tmp_path)))
+    ask = lambda *terms, prefix=False: [r["id"] for r in index.search(spark.createDataFrame([(1, list(terms))], "query_id long, terms array<string>"), 5, prefix).orderBy("rank").collect()]
+    docs = lambda *rows: spark.createDataFrame(rows, "id long, text string")
+    index.write(docs((1, "function testFn returns the answer to everything"), (2, "nothing here"), (3, None)))
+    assert ask("testfn") == [1] and ask("xyznonexistent") == [] and ask("ans", "not", prefix=True) == [2, 1]
+    index.upsert(docs((1, "changed"), (4, "testFn again")))
+    assert ask("testfn") == [4] and ask("changed") == [1]
+    index.delete(docs((4, "")))
+    assert ask("testfn") == [] and index.store.read("fts-lengths").count() == 3
+
+
+def test_no_cartesian_product_in_searches(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab")], "id long, text string")
+    q = spark.createDataFrame([(1, ["a"])], "query_id long, terms array<string>")
+    plan = lexical.search(q, lexical.postings(docs), lexical.lengths(docs), 5, prefix=True)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") <= 1  # the one row of totals
+
+
+def test_folded_diacritics(spark):
+    words = ["Ação", "müßig", "école", "ÅNGSTRÖM", "plain", "e\u0301tude"]
+    got = [r["x"] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(F.lower(lexical.fold(F.col("w"))).alias("x")).collect()]
+    assert got == ["acao", "mußig", "ecole", "angstrom", "plain", "etude"]
+
+
+def test_parse_and_chunk_by_type(spark):
+    files_ = spark.createDataFrame([
+        (1, "a.ts", "typescript", False, "class A {\n  // a brace } in a comment\n  go() { return '}'; }\n}\nfunction f() {\n}"), (2, "b.md", "markdown", False, "# T\n" + "word " * 40),
+        (3, "c.csv", "csv", False, "id,name\n1,x"), (4, "d.json", "json", False, '{"k": 1}'), (5, "e.zzz", None, False, "plain text " * 30), (6, "f.png", None, True, "x"), (7, "g.ini", "ini", False, "a=1\n\nb=2"),
+    ], "id long, path string, language string, is_binary boolean, content string")
+    got = parsers.parse(files_).collect()
+    assert {(r["id"], r["type"], r["title"]) for r in got} == {
+        (1, "code", "class: A"), (1, "code", "method: go"), (1, "code", "function: f"), (2, "documentation", "T"), (3, "data", "Schema"), (3, "data", "Sample Data"),
+        (4, "config", "k"), (5, "unknown", "segment_0"), (7, "config", "block_0"), (7, "config", "block_1"),
+    }
+    assert {(r["start_line"], r["end_line"]) for r in got if r["title"] == "class: A"} == {(1, 4)}
+    docs = files_.select(F.col("id").alias("document_id"), F.when(F.col("id") == 2, "documentation").alias("type"), "content")
+    sections = parsers.parse(files_).where("id = 2").withColumnRenamed("id", "document_id")
+    assert {(r["document_id"], r["kind"]) for r in chunking.chunk_documents(docs, sections=sections).collect()} == {(1, "fallback"), (2, "section"), (5, "fallback")}
+
+
+def test_last_row_of_a_key_wins(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k long, v string, at int")
+    got = scan.upsert(rows.limit(0), rows, ["k"], "at")
+    assert sorted((r["k"], r["v"]) for r in got.collect()) == [(1, "b"), (2, "c")]
+
+
+def test_changes_of_one_key_in_a_batch(spark, tmp_path):
+    store = scan.Snapshots(spark, str(tmp_path))
+    apply = feed.apply_changes(store, "t", "key", "at")
+    apply(spark.createDataFrame([(1, "change", "a", 1), (1, "unlink", None, 2), (2, "unlink", None, 1), (2, "change", "b", 2)], "key long, kind string, v string, at int"), 0)
+    assert [(r["key"], r["v"]) for r in store.read("t").collect()] == [(2, "b")]
