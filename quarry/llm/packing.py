@@ -8,7 +8,6 @@ from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,26 +157,24 @@ def fill_windows(sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, n
 
 
 def pack(cut: DataFrame, window: int = WINDOW, pool: int = POOL) -> DataFrame:
-    """``cut`` (any columns, with ``length`` up to ``window``) with sequence_id and offset.
+    """``cut`` (any columns, with ``length`` up to ``window``) with sequence_id and offset, which take the place of columns of these names.
 
-    Pools take pieces by their place in a written table, so no value that many pieces share can fill a pool. An empty
-    table gives no rows.
+    Pools take pieces by their place in a written table, so no value that many pieces share can fill a pool. A piece's
+    own columns travel inside one struct and stay as they are. An empty table gives no rows.
     """
-    schema = cut.schema
-    cut = materialize(cut, "pieces")
+    own = [f for f in cut.schema if f.name not in ("sequence_id", "offset")]
+    cut = materialize(cut.select(F.struct(*[F.col(f"`{f.name}`") for f in own]).alias("row"), F.col("length").cast("long").alias("size")), "pieces")
     pools = max(1, -(-cut.count() // pool))
-    dealt = cut.withColumn("_at", F.monotonically_increasing_id()).withColumn("_pool", F.pmod(F.xxhash64("_at"), F.lit(pools)))
-    names = [f.name for f in schema]
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        seq, off = fill_windows(pdf["length"].to_numpy(), window)
-        out = pdf[names].copy()
-        out["sequence_id"], out["offset"] = int(pdf["_pool"].iloc[0]) * (1 << 24) + seq, off
-        return out
+    dealt = cut.withColumn("at", F.monotonically_increasing_id()).withColumn("pool", F.pmod(F.xxhash64("at"), F.lit(pools)))
+
+    def fill(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        seq, off = fill_windows(t.column("size").to_numpy(), window)
+        first = t.column("pool")[0].as_py() << 24
+        return pa.table({"row": t.column("row"), "sequence_id": pa.array(first + seq), "offset": pa.array(off)})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return dealt.groupBy("_pool").applyInPandas(fill, f"{fields}, sequence_id long, offset long")
+    out = dealt.groupBy("pool").applyInArrow(fill, f"row {cut.schema['row'].dataType.simpleString()}, sequence_id long, offset long")
+    return out.select("row.*", "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:

@@ -80,3 +80,22 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c", "", "")] * 50 + [(7, "q", "", "")] * 50, SCHEMA)
     rows = packing.packed(df).collect()
     assert len(rows) == 100 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 100
+
+
+def test_large_ids_beside_nulls_and_clashing_columns(spark):
+    docs = [(2**60 + 1, "a b"), (2**60 + 3, "c d e"), (None, "f")]
+    rows = packing.packed(spark.createDataFrame([(i, t, "s", "i") for i, t in docs], SCHEMA)).collect()
+    assert {r["doc_id"] for r in rows} == {2**60 + 1, 2**60 + 3, None}
+    cut = spark.createDataFrame([(2**60 + 1, 5, 7, 8, 9, 1), (None, 6, 7, 8, None, 2)], "doc_id long, length long, at long, pool long, sequence_id long, row long")
+    got = packing.pack(cut)
+    assert got.columns == ["doc_id", "length", "at", "pool", "row", "sequence_id", "offset"]
+    assert {(r["doc_id"], r["length"], r["at"], r["pool"], r["row"]) for r in got.collect()} == {(2**60 + 1, 5, 7, 8, 1), (None, 6, 7, 8, 2)}
+
+
+def test_ids_of_odd_texts_equal_the_library():
+    rnd = random.Random(11)
+    ids = packing.Ids(packing.tokenizer_path())
+    parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'LL", "12345", "é", "ß", "漢字", "\U0001f600", "é", " ", "​", "...", "<|endoftext|>", "<|", "x" * 40, "\r\n", "_", "A1b2", "\x1c", "ΑΒ", "ї"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        assert np.frombuffer(ids.of(text), dtype="<u4").tolist() == ids.whole.encode(text, add_special_tokens=False).ids, repr(text)
