@@ -31,18 +31,23 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def _keys(digests: pd.Series) -> np.ndarray:
-    return np.array([int(x[:16], 16) for x in digests], dtype=np.uint64)
+def _key(digest: Column) -> Column:
+    """The first 64 bits of a digest, as a signed long."""
+    return F.conv(F.substring(F.rpad(digest, 64, "0"), 1, 16), 16, -10).cast("long")
+
+
+def _unsigned(keys: pd.Series) -> np.ndarray:
+    return keys.to_numpy().astype(np.int64).view(np.uint64)
 
 
 def build_filters(groups: DataFrame) -> DataFrame:
     """A filter for each bucket of distinct digests."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed, segment, span, cells = fuse.build(_keys(pdf["digest"]))
+        seed, segment, span, cells = fuse.build(_unsigned(pdf["key"]))
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "seed": [seed], "segment": [segment], "span": [span], "cells": [cells]})
 
-    return groups.select("bucket", "digest").groupBy("bucket").applyInPandas(build, "bucket long, seed int, segment int, span long, cells binary")
+    return groups.select("bucket", _key(F.col("digest")).alias("key")).groupBy("bucket").applyInPandas(build, "bucket long, seed int, segment int, span long, cells binary")
 
 
 def screened(groups: DataFrame, filters: DataFrame) -> DataFrame:
@@ -52,10 +57,10 @@ def screened(groups: DataFrame, filters: DataFrame) -> DataFrame:
         hit = np.zeros(len(batch), dtype=bool)
         if len(own) and len(batch):
             f = own.iloc[0]
-            hit = fuse.contains(_keys(batch["digest"]), int(f["seed"]), int(f["segment"]), int(f["span"]), f["cells"])
+            hit = fuse.contains(_unsigned(batch["key"]), int(f["seed"]), int(f["segment"]), int(f["span"]), f["cells"])
         return pd.DataFrame({"digest": batch["digest"], "maybe": hit})
 
-    marks = groups.select("bucket", "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen, "digest string, maybe boolean")
+    marks = groups.select("bucket", "digest", _key(F.col("digest")).alias("key")).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen, "digest string, maybe boolean")
     return groups.join(marks, "digest")
 
 
@@ -94,7 +99,8 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame, digest=sha256) -> Data
     # Byte checks: the texts of all rows whose digest has company, against the text of the row that stays.
     company = groups.where("n > 1").select("digest", "first")
     texts = materialize(every.select("doc_id", "digest", "text").join(company, "digest"), "company")
-    model = texts.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).groupBy("digest").agg(F.first("text").alias("model"))
+    model = texts.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).groupBy("digest").agg(F.min("text").alias("model"))
+    model = materialize(model, "models")  # the join with it reads two written tables, so that Spark can split a hot digest
     odd = materialize(texts.join(model, "digest").where("text <> model").select("digest"), "odd").distinct()
     out = rows.join(groups.join(odd, "digest", "left_anti"), "digest").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "digest", "incoming",
