@@ -74,6 +74,11 @@ def gathered(labelled: DataFrame, label: str) -> DataFrame:
     return known.select("text", "y").mapInArrow(run, "x binary, y int")
 
 
+def of_sample(docs: DataFrame, known: DataFrame, label: str) -> DataFrame:
+    """The documents of ``known`` (see ``sample``) with their labels; of rows with one id the least text."""
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))  # 2 * TRAIN_ROWS ids
+
+
 def sample(labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
     """Ids and labels of at most ``rows`` documents of each class. Of a document's labels the lowest counts."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
@@ -111,14 +116,14 @@ def fit(labelled: DataFrame, label: str = "quality", rank: int = RANK) -> Model
 
 
 def vote(x: np.ndarray, model: Model, k: int = NEIGHBOURS) -> np.ndarray:
-    """Scores of a block of feature rows: the exact cosine products with all labelled vectors, the k nearest weighted."""
+    """Scores of a block of feature rows: the exact cosine products with all labelled vectors, the k nearest weighted; all that are as near as the k-th count."""
     z = (x - model.mean) @ model.axes
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     near = z @ model.vectors.T
     k = min(k, near.shape[1])
-    at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    w = np.exp(SHARPNESS * np.take_along_axis(near, at, 1)) * np.abs(model.votes[at])
-    return (w * (model.votes[at] > 0)).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-9)
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    w = np.where(near >= least, np.exp(SHARPNESS * near) * np.abs(model.votes), 0)
+    return w[:, model.votes > 0].sum(axis=1) / np.maximum(w.sum(axis=1), 1e-9)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -145,7 +150,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 def op1_quality_knn(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     known = sample(labels.where(~held_out(F.col("doc_id"), 5, 0)), "quality")
-    model = fit(docs.join(F.broadcast(known), "doc_id"))  # 2 * TRAIN_ROWS ids
+    model = fit(of_sample(docs, known, "quality"))
     return scored(docs, model).select(
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -204,3 +204,57 @@ def test_toxicity_end_to_end_against_plain_python(spark):
         assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-x)), rel=0.02, abs=1e-4)
         spans = [(a, b) for s, a, b in want if m.k * max(len(words), 1) * math.exp(-m.lam * s) <= toxicity.SIGNIFICANT]
         assert [(q["first"], q["last"]) for q in got[r["doc_id"]]["passages"]] == spans
+
+
+def test_quality_end_to_end_against_plain_python(spark):
+    """Features, axes and votes of a whole table, each by its definition."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    known = quality_knn.of_sample(docs, quality_knn.sample(labels, "quality"), "quality")
+    m = quality_knn.fit(known)
+
+    def plain(text):
+        raw = text.encode()
+        out = np.zeros(quality_knn.BUCKETS + quality_knn.EXTRA)
+        low = raw.lower()
+        for i in range(len(low) - 2):
+            out[((low[i] << 16 ^ low[i + 1] << 8 ^ low[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 21] += 1
+        out = np.log1p(out)
+        out /= np.linalg.norm(out) or 1
+        words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+        n, size = max(len(words), 1), len(raw)
+        out[quality_knn.BUCKETS :] = (
+            len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, sum(65 <= c <= 90 for c in raw) / size, len(set(lines)) / max(len(lines), 1),
+            sum(c in b"#*$%&|<>!{}[]=~^" for c in raw) / size, math.log1p(n) / 10, min(1.0, size / n / 20), sum(48 <= c <= 57 for c in raw) / size,
+        )
+        return out
+
+    rows = known.orderBy("doc_id").collect()
+    x, y = np.stack([plain(r["text"]) for r in rows]), np.array([r["quality"] for r in rows])
+    spread = np.concatenate([np.ones(quality_knn.BUCKETS), 1 / (x[:, quality_knn.BUCKETS :].std(axis=0) + 0.05) / 4])
+    _, _, axes = np.linalg.svd((x - x.mean(axis=0)) * spread, full_matrices=False)
+    axes = (axes[: quality_knn.RANK] * spread).T
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    z, weight = unit((x - x.mean(axis=0)) @ axes), np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum()))
+    some = docs.where("text <> ''").orderBy("doc_id").limit(200).collect()
+    got = {r["doc_id"]: r["score"] for r in quality_knn.scored(docs, m).collect()}
+    near = unit((np.stack([plain(r["text"]) for r in some]) - x.mean(axis=0)) @ axes) @ z.T
+    for r, s in zip(some, near):
+        best = np.argsort(-s)[: quality_knn.NEIGHBOURS]
+        w = np.exp(quality_knn.SHARPNESS * s[best]) * weight[best]
+        assert got[r["doc_id"]] == pytest.approx(w[y[best] == 1].sum() / w.sum(), abs=5e-3)
+
+
+def test_quality_ties_and_bounds(spark):
+    import numpy as np
+
+    z = np.eye(2, dtype=np.float32)[[0, 0, 0, 1]]
+    m = quality_knn.Model(np.zeros(2, np.float32), np.eye(2, dtype=np.float32), z, np.array([1, -1, -1, 1], np.float32), 0.5)
+    assert quality_knn.vote(np.array([[2.0, 0.0]], np.float32), m, k=1)[0] == pytest.approx(1 / 3)  # all three at the same distance count
+    docs = spark.createDataFrame([(1, "a")] * 3000 + [(1, "b"), (2, "c " * 100_000), (3, None)], "doc_id long, text string")
+    known = quality_knn.of_sample(docs, spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int"), "quality")
+    assert known.count() == 3
+    scores = quality_knn.scored(docs, quality_knn.fit(known)).collect()
+    assert len(scores) == 3003 and all(0 <= r["score"] <= 1 for r in scores)
+    assert quality_knn.scored(docs.limit(0), quality_knn.fit(known)).count() == 0
