@@ -90,7 +90,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     a, b = sig.select(F.col("fp").alias("u"), "key"), sig.select(F.col("fp").alias("v"), F.col("key").alias("key2"))
     x = F.col("u").bitwiseXOR(F.col("v"))
     near = (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.bit_count(x) <= distance) & (F.shiftright(F.col("key"), 24) == _first_key(x))
-    return a.join(b, near).select("u", "v")
+    return a.join(b.hint("merge"), near).select("u", "v")  # Spark underestimates what the keys' explosion makes, and would broadcast it
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:

@@ -90,3 +90,9 @@ def test_components(spark):
     want = {x: find(x) for x in list(up)}
     rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert len(rows) == len(want) and {r["u"]: r["root"] for r in rows} == want
+
+
+def test_links_never_broadcast(spark):
+    fps = spark.range(200_000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
