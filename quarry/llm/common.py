@@ -44,6 +44,11 @@ def forget(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def settle(df: DataFrame) -> None:
+    """Let Spark delete the shuffles of rounds that are over: it does so once the driver has collected their plans."""
+    df.sparkSession._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -59,13 +59,28 @@ def _ones(x: Column, low: int, bits: int) -> Column:
     return F.bit_count(F.shiftright(x, low).bitwiseAND(F.lit((1 << bits) - 1)))
 
 
-def _signatures(fps: DataFrame) -> DataFrame:
-    """(key, fp): for each segment and each of its bits, the segment without that bit."""
+def signatures(fps: DataFrame, of: str = "fp") -> DataFrame:
+    """``fps`` with ``key``, a row for each segment of column ``of`` and each of its bits: the segment without that bit."""
     keys = []
     for low, bits in SEGMENTS:
-        part = F.shiftright("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
+        part = F.shiftright(of, low).bitwiseAND(F.lit((1 << bits) - 1))
         keys += [part.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << b))).bitwiseOR(F.lit((low + b) << 24)) for b in range(bits)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return fps.select("*", F.explode(F.array(*keys)).alias("key"))
+
+
+def paired(keyed: DataFrame, node: str, of: str, distance: int, also=None) -> DataFrame:
+    """(u, v): the pairs of ``node`` that share a key and differ in up to ``distance`` bits of column ``of``, u < v, each once.
+
+    The distance (and ``also``, of two functions from a column's name to that side's column) is checked inside the
+    join, so a bucket's candidates are never rows, and a pair that shares several keys is made at the first of them
+    only. Both sides are one shuffle. Spark underestimates what the keys' explosion makes, and would broadcast a side
+    of any size; the hint forbids it.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    x = a(of).bitwiseXOR(b(of))
+    on = (a("key") == b("key")) & (a(node) < b(node)) & (F.bit_count(x) <= distance) & (F.shiftright(a("key"), 24) == _first_key(x))
+    on = on & also(a, b) if also else on
+    return keyed.alias("a").join(keyed.alias("b").hint("merge"), on).select(a(node).alias("u"), b(node).alias("v"))
 
 
 def _first_key(x: Column) -> Column:
@@ -79,18 +94,10 @@ def _first_key(x: Column) -> Column:
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(u, v): all pairs of distinct fingerprints at up to ``distance`` (at most 4) differing bits, u < v, each once.
-
-    The distance is checked inside the join, so a bucket's candidates are never rows, and a pair that shares several
-    keys is made at the first of them only.
-    """
+    """(u, v): all pairs of distinct fingerprints at up to ``distance`` (at most 4) differing bits, u < v, each once (see ``paired``)."""
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"three segments with one bit left out find up to {DISTANCE} differing bits")
-    sig = _signatures(fps)
-    a, b = sig.select(F.col("fp").alias("u"), "key"), sig.select(F.col("fp").alias("v"), F.col("key").alias("key2"))
-    x = F.col("u").bitwiseXOR(F.col("v"))
-    near = (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.bit_count(x) <= distance) & (F.shiftright(F.col("key"), 24) == _first_key(x))
-    return a.join(b.hint("merge"), near).select("u", "v")  # Spark underestimates what the keys' explosion makes, and would broadcast it
+    return paired(signatures(fps.select("fp")), "fp", "fp", distance)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:
@@ -108,14 +115,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, d
     return rows.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id (of repeated rows with that id, any one)."""
-    docs = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-    ids = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_rid").alias("rid")).alias("doc_id"), "text")
-    found = near_duplicates(ids, **kw).where("doc_id = component_id").select(F.col("doc_id.rid").alias("_rid"))
-    return docs.join(found.hint("merge"), "_rid", "left_semi").drop("_rid")  # the same plan at every size
-
-
 def op7_simhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

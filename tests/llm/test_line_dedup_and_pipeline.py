@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import exact_dedup, line_dedup, quality_rules, registry, simhash, toxicity
+from quarry.llm import exact_dedup, line_dedup, near_dedup, quality_rules, registry, toxicity
 
 SCHEMA = "doc_id long, text string, no int, doc string, rank long"
 
@@ -81,7 +81,7 @@ def test_sql(spark, name):
 def test_pipeline_stage_by_stage(spark, tmp_path):
     from tests.llm.test_packing import check
     from tests.llm.test_rules_urls_shards import brute_rules
-    from tests.llm.test_simhash import roots
+    from tests.llm.test_near_dedup import brute as near_brute
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -99,14 +99,14 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert set(texts[1]) <= set(texts[0]) and all(not brute_rules(t)[5] for t in texts[1].values())
     lines = {i: t for i, t, _, _ in brute(list(texts[1].items()), line_dedup.MIN_WORDS)}
     assert texts[2] == lines
-    assert set(texts[3]) == {c for _, _, c in roots(list(texts[2].items()))}
+    assert sorted(texts[3]) == near_brute(list(texts[2].items()))
     check(outs[4].collect(), list(texts[3].items()))
     assert outs[2].where(F.col("n_chars") != F.length("text")).count() == 0
 
 
 def test_one_of_each_with_nulls(spark):
     df = spark.createDataFrame([(None, "a b c d", 1, "x", None), (2, "a b c d", 1, "x", None), (2, "a b c d", 1, "x", None), (None, "other words here now", 1, "x", None), (5, None, 1, "x", None), (6, "", 1, "x", None)], SCHEMA)
-    out = simhash.one_of_each(df)
+    out = near_dedup.one_of_each(df)
     assert out.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == [(2, "a b c d"), (5, None), (None, "other words here now")]
 
 
