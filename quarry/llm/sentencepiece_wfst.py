@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted transducer.
 
-The transducer is compiled from a model file: the normaliser (a space in front, spaces as U+2581), an arc for each
-piece, and byte arcs for characters without a piece. Composed with a text, its states are (place, last piece), and
-the encoding is the shortest path in the tropical semiring. A unigram model's arcs weigh minus the piece's score. A
+The transducer is compiled from a model file: the normaliser (the model's character map, white space joined if the
+model says so, a space in front, spaces as U+2581), an arc for each piece, and byte arcs for characters without a piece.
+Composed with a text, its states are (place, last piece), and the encoding is the shortest path in the tropical semiring. A unigram model's arcs weigh minus the piece's score. A
 BPE model's arcs weigh nothing where merging the two neighbouring pieces by rank gives just those two, and are
 infinite otherwise: a sequence of pieces is a text's BPE encoding exactly if each adjacent pair is the encoding of its
 own text, so one path remains, and each place has a single last piece. The pieces' automaton drives the composition.
@@ -73,41 +73,95 @@ class Chunks(dict):
         return out
 
 
+class Rewriter:
+    """The character map of a model: at each place the longest source that matches is replaced by its target.
+
+    The map is stored as a double array of bytes with the targets behind it. Its arcs are followed as a text asks for
+    them; a character that begins no source stays as it is.
+    """
+
+    def __init__(self, blob: bytes):
+        size = struct.unpack("<I", blob[:4])[0] if blob else 0
+        self.units = struct.unpack(f"<{size // 4}I", blob[4 : 4 + size]) if blob else ()
+        self.targets = blob[4 + size :]
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, bytes]:
+        """The length of the longest source at a place, and its target; (0, b"") without one."""
+        units, found = self.units, (0, b"")
+        node = self._offset(units[0])
+        for i in range(at, len(raw)):
+            node ^= raw[i]
+            if node >= len(units) or units[node] & 0x800000FF != raw[i]:
+                break
+            unit = units[node]
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                begin = units[node] & 0x7FFFFFFF
+                found = (i + 1 - at, self.targets[begin : self.targets.index(b"\0", begin)])
+        return found
+
+    def __call__(self, text: str) -> str:
+        if not self.units:
+            return text
+        raw, out, i = text.encode(), [], 0
+        while i < len(raw):
+            n, target = self.longest(raw, i)
+            if not n:
+                n = 1 if raw[i] < 0x80 else 2 if raw[i] < 0xE0 else 3 if raw[i] < 0xF0 else 4
+                target = raw[i : i + n]
+            out.append(target)
+            i += n
+        return b"".join(out).decode()
+
+
 class Transducer:
     """A compiled model. What it remembers of words and pairs is bounded."""
 
     def __init__(self, path: str):
-        self.kind, self.prefix, self.pieces = UNIGRAM, True, []
+        self.kind, self.prefix, self.joined, self.rewrite, self.pieces = UNIGRAM, True, True, Rewriter(b""), []
         for number, value in _fields(open(path, "rb").read()):
             if number == 1:
                 f = dict(_fields(value))
                 self.pieces.append((f[1].decode(), struct.unpack("<f", f[2])[0] if 2 in f else 0.0, f.get(3, NORMAL)))
             elif number == 2:
-                self.kind = dict(_fields(value)).get(3, UNIGRAM)
+                f = dict(_fields(value))
+                self.kind = f.get(3, UNIGRAM)
+                if self.kind not in (UNIGRAM, BPE) or f.get(24):
+                    raise ValueError("only unigram and BPE models with the mark in front of words are supported")
             elif number == 3:
                 f = dict(_fields(value))
-                self.prefix = bool(f.get(3, 1))
-                if f.get(2) or f.get(4, 1):
-                    raise ValueError("only the identity normaliser without removal of white space is supported")
+                self.prefix, self.joined, self.rewrite = bool(f.get(3, 1)), bool(f.get(4, 1)), Rewriter(f.get(2, b""))
+                if not f.get(5, 1):
+                    raise ValueError("only models that write spaces as the mark are supported")
         self.arcs = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         self.scores = [s for _, s, _ in self.pieces]
+        normal = [s for _, s, kind in self.pieces if kind == NORMAL] or [0.0]
+        # Weights of a unigram model's arcs, in the model's own precision, which decides between paths that weigh the same but for rounding.
+        self.strange = np.float32(10) - np.float32(min(normal))  # of a character without a piece
+        self.weights = [np.float32(0.1 - len(p.encode()) * max(normal) if kind == USER else -s) for p, s, kind in self.pieces]
         # The input side of the arcs as one automaton, which reads a text once and names every piece that ends at each place.
         self.automaton = ahocorasick.Automaton()
         for p, i in self.arcs.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         # Words can be encoded one by one where no piece has the mark inside or at its end.
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.arcs):
-            raise ValueError("a piece reaches over the end of a word")
+        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.arcs) and not (self.kind == UNIGRAM and any(p.startswith(SPACE + SPACE) for p in self.arcs))
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next(i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN)
-        self.out = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
+        self.out = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
         self.chunks = Chunks(self.shortest)
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
 
     def normalised(self, text: str) -> str:
-        return (SPACE * self.prefix + text).replace(" ", SPACE) if text else ""
+        out = self.rewrite(text)
+        if self.joined:
+            out = " ".join(x for x in out.split(" ") if x)
+        return (SPACE * self.prefix + out).replace(" ", SPACE) if out or text and not self.joined else ""
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by its definition: the best-scored pair first, then the leftmost."""
@@ -213,18 +267,20 @@ class Transducer:
         return [self.bytes.get(b, self.unknown) for b in reversed(char.encode())] if self.bytes else [self.unknown]
 
     def cheapest(self, chunk: str) -> list[int]:
-        """The shortest path where each arc weighs minus its piece's score."""
-        n = len(chunk)
-        cost, back = [0.0] + [math.inf] * n, [(-1, 0)] * (n + 1)
-        ends = [[] for _ in range(n + 1)]
-        for end, arc in self.automaton.iter(chunk):
-            ends[end + 1].append(arc)
+        """The shortest path where each arc weighs minus its piece's score; a character without a piece of its own has an arc too."""
+        n, weights = len(chunk), self.weights
+        cost, back = [np.float32(0)] + [np.float32(math.inf)] * n, [(-1, 0)] * (n + 1)
+        ends, single = [[] for _ in range(n + 1)], [False] * n
+        for end, (length, piece) in self.automaton.iter(chunk):
+            ends[end + 1].append((length, piece))
+            if length == 1:
+                single[end] = True
         for j in range(1, n + 1):
-            for length, piece in ends[j]:
-                if cost[j - length] - self.scores[piece] < cost[j]:
-                    cost[j], back[j] = cost[j - length] - self.scores[piece], (piece, j - length)
-            if cost[j] == math.inf:
-                cost[j], back[j] = cost[j - 1] + 10 - min(self.scores), (-1, j - 1)
+            for length, piece in sorted(ends[j], reverse=True):
+                if cost[j - length] + weights[piece] < cost[j]:
+                    cost[j], back[j] = cost[j - length] + weights[piece], (piece, j - length)
+            if not single[j - 1] and cost[j - 1] + self.strange < cost[j]:
+                cost[j], back[j] = cost[j - 1] + self.strange, (-1, j - 1)
         ids, j = [], n
         while j:
             piece, i = back[j]
@@ -235,7 +291,10 @@ class Transducer:
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian 32-bit numbers."""
         marked = self.normalised(text)
-        if not marked.startswith(SPACE):
+        if not self.bytes:  # a run of characters without a piece is one unknown
+            ids = self.shortest(marked)
+            return np.array([x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x], dtype="<u4").tobytes()
+        if not self.by_word or not marked.startswith(SPACE):
             return np.array(self.shortest(marked), dtype="<u4").tobytes()
         if SPACE + SPACE in marked or marked.endswith(SPACE):
             words = [c[1:] for c in _CHUNK.findall(marked)]
@@ -246,7 +305,7 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "each_byte")
         first = next((i for i in ids if self.pieces[i][2] != CONTROL), None)
-        return text[1:] if self.prefix and first is not None and self.pieces[first][0].startswith(SPACE) else text
+        return text[1:] if (self.prefix or self.joined) and first is not None and self.pieces[first][0].startswith(SPACE) else text
 
 
 _compiled: dict[str, Transducer] = {}
