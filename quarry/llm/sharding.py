@@ -26,16 +26,15 @@ def sharded(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, text_col:
     Nulls in any column, repeated rows and equal texts make no difference: a record's bucket comes from its place in
     the input, never from a value that many records share. An empty table gives no rows. Counts of the shards are at
     most one apart. A very long text makes buckets fewer rows long, as their number follows the bytes too.
-    There are as many tasks as buckets, dealt by a hash, so a task holds one bucket and rarely more than a few. The
-    order follows the seed and the split of the input into files.
+    Each bucket has a task of its own. The order follows the seed and the split of the input into files.
     """
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 64
     n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, -(-n // ROWS_PER_BUCKET), -(-total // BYTES_PER_BUCKET))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    scattered = docs.select(row, F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    scattered = docs.select(row, F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     shuffled = (
-        scattered.repartition(buckets, "bucket").sortWithinPartitions("bucket", "h")
+        scattered.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "h")
         .groupBy("bucket").agg(F.collect_list("row").alias("rows"))
         .select("bucket", F.size("rows").alias("n"), F.shuffle("rows", F.lit(seed)).alias("rows"))
     )
