@@ -46,7 +46,7 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _let(value: Column, f) -> Column:
+def let(value: Column, f) -> Column:
     """``f`` of a value that is computed once, however often ``f`` uses it and wherever the optimizer copies it."""
     return F.get(F.transform(F.array(value), f), 0)
 
@@ -68,13 +68,13 @@ def repeated_words(words: Column) -> Column:
 
     def of_windows(win):
         pairs = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(win)) < F.size(win), _let(pairs, twice)).otherwise(0)
+        return F.when(F.size(F.array_distinct(win)) < F.size(win), let(pairs, twice)).otherwise(0)
 
     def of_words(w):
         win = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
-        return _let(win, of_windows)
+        return let(win, of_windows)
 
-    return _let(words, of_words)
+    return let(words, of_words)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -86,7 +86,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.length(F.regexp_replace("t", WS, "")).cast("long").alias("word_chars"),
         _without(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         _without(F.col("t"), "!").alias("bangs"),
-        _let(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
+        let(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
         F.size(F.filter(F.split(F.translate(F.lower("t"), PUNCTUATION, ""), WS), lambda x: x.isin(STOPS))).alias("stops"),
         repeated_words(words_of(F.col("t"))).cast("long").alias("n_repeat_words"),
     ).withColumns({"n_dup_lines": F.col("lines.dup").cast("long"), "n_lines": F.col("lines.n")})
