@@ -116,3 +116,21 @@ def test_queries_are_registered():
     names = set(e.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
     assert quality_rules and exact_dedup
+
+
+def test_stages_with_nulls_empty_tables_and_clashing_columns(spark, tmp_path):
+    """Every stage on null texts and ids, repeated rows, a very long text, no rows at all, and columns named like its own."""
+    d = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, root long, at long, kept boolean, place long, words string, score double, gone long"
+    good = " ".join(r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en' AND n_chars > 900").orderBy("doc_id").limit(3).collect())
+    rest = ("en", "s", 1, "r", 2, 3, 4, True, 5, "w", 0.5, 6)
+    rows = [(1, good, *rest), (1, good, *rest), (2, None, *rest), (None, good + " end", *rest), (None, None, *[None] * 12), (3, "", *rest), (4, (good + " ") * 40, *rest)]
+    for k, table in enumerate((rows, [])):
+        docs = spark.createDataFrame(table, schema)
+        for j, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, d).write.parquet(str(tmp_path / f"{k}-{j}"))
+            out = spark.read.parquet(str(tmp_path / f"{k}-{j}"))
+            assert name == "packing" or out.columns == docs.columns
+            assert not table or name != "toxicity" or out.count() == len(rows)
+            docs = out if out.count() or not table else docs
+        assert bool(table) == bool(docs.count())
