@@ -11,12 +11,12 @@ from ..functions.text import estimate_tokens, make_id, strip
 BLOCKS = "array<struct<begin:int,end:int,nominal:int>>"
 
 
-def _fold_lines(lines: Column, sums: Column, max_tokens: int, overlap: int) -> Column:
+def _fold_lines(lines: Column, max_tokens: int, overlap: int) -> Column:
     """Blocks of ``lines`` as array<struct<begin, end, nominal>> (0-based, end exclusive).
 
     A block is always a run of lines, so the state is where it begins and its tokens: lines count one by one, each
-    rounded up, and a carried overlap counts as one text. ``sums[i]`` is the number of characters before line i, each
-    line with its end. ``nominal`` is the first line that is reported, which supposes a full overlap.
+    rounded up, and a carried overlap (of a few lines) counts as one text. ``nominal`` is the first line that is
+    reported, which supposes a full overlap.
     """
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("begin"), F.lit(0).alias("tokens"), F.lit(1).alias("nominal"), F.array().cast(BLOCKS).alias("out"))
 
@@ -25,7 +25,8 @@ def _fold_lines(lines: Column, sums: Column, max_tokens: int, overlap: int) -> C
         tokens = F.ceil(F.length(line) / 4).cast("int")
         flush = (acc["tokens"] + tokens > max_tokens) & (i > acc["begin"])
         begin = F.greatest(acc["begin"], i - overlap)
-        kept = F.when(begin >= i, 0).otherwise(F.ceil((F.get(sums, i) - F.get(sums, begin) - 1) / 4)).cast("int")
+        chars = lambda: F.aggregate(F.slice(lines, begin + 1, i - begin), F.lit(-1), lambda n, x: n + F.length(x) + 1)
+        kept = F.when(~flush | (begin >= i), 0).otherwise(F.ceil(chars() / 4)).cast("int")
         block = F.struct(acc["begin"].alias("begin"), i.alias("end"), acc["nominal"].alias("nominal"))
         return F.struct(
             (i + 1).alias("i"), F.when(flush, begin).otherwise(acc["begin"]).alias("begin"),
@@ -42,14 +43,7 @@ def _fold_lines(lines: Column, sums: Column, max_tokens: int, overlap: int) -> C
 
 
 def _with_lines(df: DataFrame, content: str) -> DataFrame:
-    df = df.withColumn("_lines", F.split(content, "\n"))
-    # Characters before each line by one running sum.
-    run = F.aggregate(
-        "_lines", F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct((acc["sum"] + F.length(x) + 1).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return df.withColumn("_sums", run)
+    return df.withColumn("_lines", F.split(content, "\n"))
 
 
 def _joined(begin: Column, end: Column) -> Column:
@@ -63,7 +57,7 @@ def line_blocks(docs: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:
     """
     overlap = -(-cfg.overlap_tokens // 4)
     df = _with_lines(docs.select("document_id", F.coalesce("content", F.lit("")).alias("content")), "content")
-    df = df.withColumn("b", F.explode(_fold_lines(F.col("_lines"), F.col("_sums"), cfg.max_tokens, overlap)))
+    df = df.withColumn("b", F.explode(_fold_lines(F.col("_lines"), cfg.max_tokens, overlap)))
     df = df.select("document_id", "b", _joined(F.col("b.begin"), F.col("b.end")).alias("content"))
     df = df.withColumn("tokens", estimate_tokens(F.col("content"))).where(F.col("tokens") >= cfg.min_tokens)
     # The chunk's number counts the blocks that stay.
@@ -112,19 +106,20 @@ def pack_paragraphs(sections: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:
 
 
 def greedy_parts(paras: Column, sizes: Column, budget: int) -> Column:
-    """``paras`` joined by blank lines into parts of at most ``budget`` tokens; empty text never closes a part."""
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit("").alias("text"), F.array().cast("array<string>").alias("out"))
+    """``paras`` joined by blank lines into parts of at most ``budget`` tokens; empty text never closes a part, and none begins with it."""
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("begin"), F.lit(False).alias("full"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
 
     def fold(acc, para):
-        n = F.get(sizes, acc["i"])
-        close = (acc["sum"] + n > budget) & (F.length(acc["text"]) > 0)
-        glued = F.when(F.length(acc["text"]) > 0, F.concat(acc["text"], F.lit("\n\n"), para)).otherwise(para)
+        n, i = F.get(sizes, acc["i"]), acc["i"]
+        close = (acc["sum"] + n > budget) & acc["full"]
+        part = F.struct(acc["begin"].alias("begin"), i.alias("end"))
         return F.struct(
-            (acc["i"] + 1).alias("i"), F.when(close, n).otherwise(acc["sum"] + n).alias("sum"),
-            F.when(close, para).otherwise(glued).alias("text"), F.when(close, F.concat(acc["out"], F.array(acc["text"]))).otherwise(acc["out"]).alias("out"),
+            (i + 1).alias("i"), F.when(close, n).otherwise(acc["sum"] + n).alias("sum"), F.when(close | ~acc["full"], i).otherwise(acc["begin"]).alias("begin"),
+            ((F.length(para) > 0) | (acc["full"] & ~close)).alias("full"), F.when(close, F.concat(acc["out"], F.array(part))).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(paras, zero, fold, lambda acc: F.concat(acc["out"], F.array(acc["text"])))
+    last = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["begin"].alias("begin"), acc["i"].alias("end"))))
+    return F.transform(F.aggregate(paras, zero, fold, last), lambda p: F.array_join(F.slice(paras, p["begin"] + 1, p["end"] - p["begin"]), "\n\n"))
 
 
 def section_chunks(sections: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:
@@ -165,7 +160,7 @@ def code_chunks(docs: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:
     kind = F.when(F.col("s.kind").isin("class", "interface"), F.col("s.kind")).otherwise("function")
     whole = rest.where(F.col("tokens").between(cfg.min_tokens, cfg.max_tokens)).select(*row, F.lit(0).alias("part"), kind.alias("kind"), F.col("s.name").alias("title"), F.col("text").alias("content"), "s.start_line", "s.end_line")
     long = _with_lines(rest.where(F.col("tokens") > cfg.max_tokens).select(*row, "s", "text"), "text")
-    long = long.select(*row, "s", "_lines", F.posexplode(_fold_lines(F.col("_lines"), F.col("_sums"), cfg.max_tokens, overlap)).alias("part", "b"))
+    long = long.select(*row, "s", "_lines", F.posexplode(_fold_lines(F.col("_lines"), cfg.max_tokens, overlap)).alias("part", "b"))
     long = long.select(*row, "part", F.lit("function").alias("kind"), F.concat("s.name", F.lit(" (part "), F.col("part") + 1, F.lit(")")).alias("title"), _joined(F.col("b.begin"), F.col("b.end")).alias("content"), "s.start_line", "s.end_line")
     found = small.unionByName(whole).unionByName(long)
     bare = docs.join(found.select("document_id").distinct(), "document_id", "left_anti").select("document_id", "content")

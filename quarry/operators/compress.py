@@ -84,12 +84,21 @@ def assemble(ranked: DataFrame, budget: int) -> DataFrame:
     return within_budget(ranked, budget).groupBy("query_id").agg(_in_rank_order(head, "\n\n---\n\n").alias("context"))
 
 
-def package(ranked: DataFrame, budget: int = 8000) -> DataFrame:
-    """query_id, kept chunks (ids in order), their tokens, whether some were cut off and how many."""
+def package(ranked: DataFrame, budget: int = 8000, relations: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """query_id, kept chunks (ids in order), their tokens, whether some were cut off and how many.
+
+    ``relations`` (query_id, source_id, kind, target_id) and ``summaries`` (query_id, summary) come along as sorted
+    lists; to switch either off, leave it out.
+    """
     every = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     kept = within_budget(ranked, budget).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"), F.sum("tokens").alias("tokens"))
     out = every.join(kept, "query_id", "left").withColumn("kept", F.coalesce(F.size("ids"), F.lit(0)))
-    return out.select("query_id", "ids", "kept", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("kept") < F.col("n")).alias("truncated"), (F.col("n") - F.col("kept")).alias("omitted"))
+    out = out.select("query_id", "ids", "kept", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("kept") < F.col("n")).alias("truncated"), (F.col("n") - F.col("kept")).alias("omitted"))
+    for name, rows, value in (("relations", relations, F.concat_ws(" ", "source_id", "kind", "target_id")), ("summaries", summaries, F.col("summary"))):
+        if rows is not None:
+            lists = rows.groupBy("query_id").agg(F.sort_array(F.collect_set(value)).alias(name))
+            out = out.join(lists, "query_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
 
 
 def serialize(query: DataFrame, ranked: DataFrame, relations: DataFrame | None = None) -> DataFrame:

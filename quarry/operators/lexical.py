@@ -73,6 +73,12 @@ class Index:
             self.store.delete(f"{self.name}-{part}", ids.select("id").distinct(), ["id"])
         return self
 
+    def prune(self, keep: int = 1) -> Index:
+        """Delete old versions."""
+        for part in ("postings", "lengths"):
+            self.store.prune(f"{self.name}-{part}", keep)
+        return self
+
     def search(self, queries: DataFrame, top_k: int | None = None, prefix: bool = False) -> DataFrame:
         """See ``search``. Of the postings only row groups that may hold an asked term are read, as they lie in the order of terms."""
         return search(queries, self.store.read(f"{self.name}-postings"), self.store.read(f"{self.name}-lengths"), top_k, prefix)

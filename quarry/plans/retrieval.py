@@ -74,7 +74,7 @@ def fts_stored(spark, sf_dir):
     docs = _indexed(spark, sf_dir)
     index = lexical.Index(Snapshots(spark, f"{shared_dir(spark)}/quarry-index-{uuid.uuid4().hex}"))
     index.write(docs.where("id % 4 > 0").withColumn("text", F.when(F.col("id") % 3 == 0, F.lit("an old text")).otherwise(F.col("text"))))
-    index.upsert(docs.where("id % 4 = 0 OR id % 3 = 0")).delete(docs.where("id % 10 = 7").select("id"))
+    index.upsert(docs.where("id % 4 = 0 OR id % 3 = 0")).delete(docs.where("id % 10 = 7").select("id")).prune()
     return index.search(_ask(spark, sf_dir), 20).select("query_id", "id", "score", "rank")
 
 

@@ -138,6 +138,13 @@ def context_package(spark, sf_dir):
     return compress.package(_ranked(spark, sf_dir), BUDGET).select("query_id", F.array_join("ids", ",").alias("ids"), F.col("kept").cast("long").alias("kept"), "tokens", "truncated", "omitted")
 
 
+def context_toggles(spark, sf_dir):
+    """The package with relations switched on and summaries off."""
+    r = _ranked(spark, sf_dir)
+    rel = r.where(F.col("rank") <= 3).select("query_id", F.col("path").alias("source_id"), F.lit("contains").alias("kind"), F.col("title").alias("target_id"))
+    return compress.package(r, BUDGET, relations=rel).select("query_id", F.col("kept").cast("long").alias("kept"), F.array_join("relations", "|").alias("relations"))
+
+
 def serialize_context(spark, sf_dir):
     q = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.concat(F.lit("about "), "source").alias("query")).distinct()
     r = _ranked(spark, sf_dir).where(F.col("rank") <= 3)
@@ -148,7 +155,7 @@ def serialize_context(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     enrich_domain, enrich_complexity, enrich_tags, enrich_patterns, side_effects, public_api_flags, responsibilities, signature_info, chunk_summary, file_summary,
     module_summary, frameworks_detect, project_languages, project_summary, compress_code, compress_text, compress_chunk, compression_totals,
-    token_budget_context, assemble_context, context_package, serialize_context,
+    token_budget_context, assemble_context, context_package, context_toggles, serialize_context,
 )}
 
 _S = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -201,5 +208,6 @@ SELECT files, modules, coalesce(e, '') AS entry_points, purpose, 'Project ''corp
     "token_budget_context": f"WITH {RANKED} SELECT query_id, rank, id, used FROM ru WHERE used <= {BUDGET}",
     "assemble_context": f"WITH {RANKED} SELECT query_id, string_agg('### ' || title || chr(10) || '// ' || path || ':' || start_line || '-' || end_line || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM ru WHERE used <= {BUDGET} GROUP BY query_id",
     "context_package": f"WITH {RANKED} SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (used <= {BUDGET}) AS ids, count(*) FILTER (used <= {BUDGET}) AS kept, CAST(coalesce(sum(tokens) FILTER (used <= {BUDGET}), 0) AS BIGINT) AS tokens, count(*) > count(*) FILTER (used <= {BUDGET}) AS truncated, count(*) - count(*) FILTER (used <= {BUDGET}) AS omitted FROM ru GROUP BY query_id",
+    "context_toggles": f"WITH {RANKED}, rl AS (SELECT DISTINCT query_id, path || ' contains ' || title AS r FROM ru WHERE rank <= 3), rj AS (SELECT query_id, string_agg(r, '|' ORDER BY r) AS relations FROM rl GROUP BY query_id), kp AS (SELECT query_id, count(*) FILTER (used <= {BUDGET}) AS kept FROM ru GROUP BY query_id) SELECT query_id, kept, relations FROM kp JOIN rj USING (query_id)",
     "serialize_context": f"WITH {RANKED} SELECT query_id, '# Context for: about ' || query_id || chr(10) || chr(10) || '## Relevant Code' || chr(10) || string_agg('### ' || rank || '. ' || path || ':' || start_line || ' [score: ' || printf('%.2f', score) || ']' || chr(10) || body || chr(10), chr(10) ORDER BY rank) || chr(10) || '## Relations' || chr(10) || string_agg('- ' || path || ' --[contains]--> ' || title, chr(10) ORDER BY '- ' || path || ' --[contains]--> ' || title) || chr(10) AS text FROM ru WHERE rank <= 3 GROUP BY query_id",
 }

@@ -100,6 +100,12 @@ class Snapshots:
         versions = self.versions(name)
         return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]}") if versions else None
 
+    def prune(self, name: str, keep: int = 2) -> None:
+        """Delete all but the newest ``keep`` versions, which readers may still be at."""
+        for version in self.versions(name)[:-keep]:
+            fs, path = self._fs(f"{self.root}/{name}/v{version}")
+            fs.delete(path, True)
+
     def upsert(self, name: str, changed: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
         stored = self.read(name)
         return self.write(name, last_of(changed, keys, order) if stored is None else upsert(stored, changed, keys, order))

@@ -60,6 +60,7 @@ def apply_changes(store: Snapshots, name: str, key: str = "path", order: str | N
         stored = store.read(name)
         left = changed if stored is None else stored.join(batch.select(key), key, "left_anti").unionByName(changed.select(*stored.columns))
         store.write(name, left)
+        store.prune(name)
         batch.unpersist()
 
     return write

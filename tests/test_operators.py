@@ -253,6 +253,8 @@ def test_stored_index(spark, tmp_path):
     assert ask("testfn") == [4] and ask("changed") == [1]
     index.delete(docs((4, "")))
     assert ask("testfn") == [] and index.store.read("fts-lengths").count() == 3
+    index.prune()
+    assert len(index.store.versions("fts-postings")) == 1 and ask("changed") == [1]
 
 
 def test_no_cartesian_product_in_searches(spark):
