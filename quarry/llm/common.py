@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +37,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if (open_ := _open.get()) is not None:
+        open_.append(out)
     return out
 
 
+#: The tables that the scope around ``materialize`` has to delete.
+_open: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """A scope: what ``materialize`` writes inside is deleted at its end, but for the tables given to the function that it yields, which a lazy result still reads."""
+    outer, kept = _open.get(), []
+    token = _open.set(own := [])
+    try:
+        yield lambda *dfs: kept.extend(df._written for df in dfs)
+    finally:
+        _open.reset(token)
+        forget(*(df for df in own if df._written not in kept))
+        if outer is not None:
+            outer += [df for df in own if df._written in kept]
+
+
 def forget(*written: DataFrame) -> None:
     """Delete what ``materialize`` wrote for tables that nothing reads any more."""
     for df in written:

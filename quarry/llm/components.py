@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, scratch
 
 
 def _stars(both: DataFrame, keep) -> DataFrame:
@@ -21,6 +21,13 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     of rounds grows with the logarithm of the longest path. A hot centre is an aggregate's group and one side of a
     join, both of which Spark can split.
     """
+    with scratch() as keep:
+        out = _settled(edges, limit)
+        keep(out)
+    return out
+
+
+def _settled(edges: DataFrame, limit: int) -> DataFrame:
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(limit):
@@ -30,9 +37,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        before, now = now, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        forget(before, large)
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == seen:
-            return now.select("u", F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
+            return materialize(now.select("u", F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()), "roots")
         seen = sums
     raise RuntimeError("the components did not settle")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import WS, crc_of, materialize, table
+from .common import WS, crc_of, materialize, scratch, table
 
 KEYS_PER_BUCKET = 20_000
 
@@ -71,6 +71,11 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame, digest=sha256) -> Data
     smallest doc_id stays; null ids come last; of repeated rows with that id, exactly one stays. Empty tables on
     either side are fine. Other columns are not looked at.
     """
+    with scratch() as keep:
+        return _deduped(snapshot, incoming, digest, keep)
+
+
+def _deduped(snapshot: DataFrame, incoming: DataFrame, digest, keep) -> DataFrame:
     every = None
     for df, new in ((snapshot, False), (incoming, True)):
         part = df.select(F.col("doc_id"), normalised(F.col("text")).alias("text"), F.lit(new).alias("incoming"))
@@ -101,13 +106,15 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame, digest=sha256) -> Data
     texts = materialize(every.select("doc_id", "digest", "text").join(company, "digest"), "company")
     model = texts.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).groupBy("digest").agg(F.min("text").alias("model"))
     model = materialize(model, "models")  # the join with it reads two written tables, so that Spark can split a hot digest
-    odd = materialize(texts.join(model, "digest").where("text <> model").select("digest"), "odd").distinct()
+    odd = materialize(texts.join(model, "digest").where("text <> model").select("digest"), "odd")
     out = rows.join(groups.join(odd, "digest", "left_anti"), "digest").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "digest", "incoming",
     )
+    keep(rows, groups, odd)
     if not odd.isEmpty():  # a digest that stands for several texts: its rows are grouped by their bytes
         clash = every.join(odd, "digest", "left_semi").withColumn("rid", F.monotonically_increasing_id())
         clash = materialize(clash, "clash")
+        keep(clash)
         own = clash.groupBy("digest", "text").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("n"))
         out = out.unionByName(clash.join(own, ["digest", "text"]).select(
             "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "digest", "incoming",

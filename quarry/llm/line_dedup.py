@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, materialize, table
+from .common import WS, materialize, scratch, table
 
 MIN_WORDS = 50
 
@@ -117,7 +117,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one document: they lose and keep the same lines. An empty table gives no rows. Columns of ``docs`` travel inside
     ``row``, so none can clash.
     """
-    gone = materialize(repeated_lines(docs.select("doc_id", "text"), min_words), "gone")
+    with scratch() as keep:
+        gone = materialize(repeated_lines(docs.select("doc_id", "text"), min_words), "gone")
+        keep(gone)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("doc"))
     d = d.join(gone.hint("merge"), "doc", "left")  # the same plan at every size
     d = d.withColumn("all", F.split(F.coalesce("row.text", F.lit("")), "\n"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import forget, materialize, settle
+from .common import materialize, scratch, settle
 from .components import components
 
 SHINGLE = 5
@@ -112,10 +112,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     ids = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     need = ids.join(nodes.select("fp", "least.file", "least.place"), "fp")
-    texts = materialize(docs.select("file", "place", "row.text").join(need.hint("merge"), ["file", "place"]).select("fp", "text"), "texts")
-    a, b = (texts.select(F.col("fp").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
-    out = materialize(pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
-    forget(texts)
+    with scratch() as keep:
+        texts = materialize(docs.select("file", "place", "row.text").join(need.hint("merge"), ["file", "place"]).select("fp", "text"), "texts")
+        a, b = (texts.select(F.col("fp").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
+        out = materialize(pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
+        keep(out)
     settle(docs)
     return out
 
@@ -159,12 +160,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     component has no other. An empty table gives no rows. Columns of ``docs`` travel inside ``row``, so none can clash.
     """
     located = _located(docs)
+    with scratch() as keep:
+        kept = _kept(located)
+        keep(kept)
+    settle(docs)
+    return located.join(kept.hint("merge"), ["file", "place"], "left_semi").select("row.*")  # the same plan at every size
+
+
+def _kept(located: DataFrame) -> DataFrame:
+    """file and place of the rows that stay."""
     rows = _sketched(located)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place")).alias("least")
     nodes = materialize(rows.groupBy("fp").agg(least, F.first("n").alias("n"), *[F.first(c).alias(c) for c in NAMES]), "nodes")
     roots = components(links(nodes, located)).withColumnRenamed("u", "fp")
     kept = nodes.select("fp", "least").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select("least.file", "least.place")
-    kept = materialize(kept, "kept")
-    forget(rows, nodes)
-    settle(docs)
-    return located.join(kept.hint("merge"), ["file", "place"], "left_semi").select("row.*")  # the same plan at every size
+    return materialize(kept, "kept")

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, table
 from .components import components
 
 SHINGLE = 4
@@ -108,11 +108,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, d
     component has no other. Repeated rows come out repeated; an empty table gives no rows. Other columns are not read.
     """
     rows = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("u", "fp")
-    nodes = materialize(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
+    with scratch() as keep:
+        nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("u", "fp")
+        nodes = materialize(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+        named = materialize(nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "named")
+        keep(named)
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark, sf_dir):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, held_out, materialize, table
+from .common import held_out, materialize, scratch, table
 
 #: Bound of the labelled documents of each class that the weights are fitted on, by a hash of the id.
 TRAIN_ROWS = 10_000
@@ -190,7 +190,6 @@ def _fitted(train: DataFrame) -> tuple[list, dict, dict]:
     best = F.max(F.struct("w", F.length("f"), "f", "texts")).alias("best")
     taken = own.join(good, "f").groupBy("word").agg(best, F.first("a").alias("a"), F.first("b").alias("b"))
     rows = strong(taken.groupBy("best.f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.first("best.texts").alias("texts"))).collect()
-    forget(by, good)
     return rows, t1, t0
 
 
@@ -268,6 +267,11 @@ def fit(labelled: DataFrame) -> Model:
     constants to just the weights that are used, on texts that they have not seen. With no document of one class there
     are no weights, and every text gets the same low score.
     """
+    with scratch():
+        return _fit(labelled)
+
+
+def _fit(labelled: DataFrame) -> Model:
     share = F.col("share") if "share" in labelled.columns else F.lit(1.0)
     known = labelled.where("toxic IS NOT NULL").select("text", F.col("toxic").cast("long").alias("toxic"), share.cast("double").alias("share"))
     known = known.withColumn("words", _words(F.col("text"))).withColumn("family", F.coalesce(_family(F.col("words")), F.lit(0).cast("long")))
@@ -282,7 +286,6 @@ def fit(labelled: DataFrame) -> Model:
         apart = all((t, own) in n for t in (0, 1) for own in (True, False))
         rows, t1, t0 = _fitted(train.where("fold > 0") if apart else train)
         out = _calibrated(_model(rows, t1, t0, base), train.where("fold = 0") if apart else train) if rows else no_model
-    forget(train)
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, forget, materialize, table
+from .common import ascii_lower, materialize, scratch, table
 from .quality_rules import let
 
 #: (verdict, host, path prefix)
@@ -138,9 +138,8 @@ def filter_urls(urls: DataFrame, labelled: DataFrame | None = None, rules=RULES)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=7)
     parts = max(1, sum(min(n, TRAIN_ROWS) for n in counts.values()) // 2000)
-    train = materialize(vectors.transform(with_rates(lexical(training(known, counts).repartition(parts, "url")), known, base)).select("features", "label", "weight"), "trees")
-    model = gbt.fit(train)
-    forget(train)
+    with scratch():
+        model = gbt.fit(materialize(vectors.transform(with_rates(lexical(training(known, counts).repartition(parts, "url")), known, base)).select("features", "label", "weight"), "trees"))
     open_ = with_rates(lexical(suffixes(df.where("hit IS NULL"))), known, base)
     scored = model.transform(vectors.transform(open_)).select(
         *own[:4], F.lit(None).cast("string").alias("rule"), F.when(F.col("prediction") > 0.5, "block").otherwise("allow").alias("verdict"),
