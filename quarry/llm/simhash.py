@@ -78,13 +78,13 @@ def paired(keyed: DataFrame, node: str, of: str, distance: int, also=None) -> Da
     """
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     x = a(of).bitwiseXOR(b(of))
-    on = (a("key") == b("key")) & (a(node) < b(node)) & (F.bit_count(x) <= distance) & (F.shiftright(a("key"), 24) == _first_key(x))
+    on = (a("key") == b("key")) & (a(node) < b(node)) & (F.bit_count(x) <= distance) & (F.shiftright(a("key"), 24) == first_key(x))
     on = on & also(a, b) if also else on
     return keyed.alias("a").join(keyed.alias("b").hint("merge"), on).select(a(node).alias("u"), b(node).alias("v"))
 
 
-def _first_key(x: Column) -> Column:
-    """Of the keys that two fingerprints with difference ``x`` share, the number of the first: its segment's lowest bit plus the bit left out."""
+def first_key(x: Column) -> Column:
+    """Of the keys that two fingerprints with difference ``x`` share, the number of the first: its segment's lowest bit plus the bit left out; null if they share none."""
     out = F.lit(None)
     for low, bits in reversed(SEGMENTS):
         part = F.shiftright(x, low).bitwiseAND(F.lit((1 << bits) - 1))
