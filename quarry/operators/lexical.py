@@ -46,7 +46,8 @@ def postings(docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("id", F.size(terms_of(F.col("text"))).alias("n"))
+    """id and n, the number of terms, which needs no list of them."""
+    return docs.select("id", F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")).alias("n"))
 
 
 class Index:
@@ -55,8 +56,9 @@ class Index:
     def __init__(self, store: Snapshots, name: str = "fts"):
         self.store, self.name = store, name
 
-    def write(self, docs: DataFrame) -> Index:
-        self.store.write(f"{self.name}-postings", postings(docs).repartition("term").sortWithinPartitions("term"))
+    def write(self, docs: DataFrame, queries: DataFrame | None = None) -> Index:
+        """With ``queries`` an index that serves these alone: it has only the terms that they ask for."""
+        self.store.write(f"{self.name}-postings", postings(docs, queries).repartition("term").sortWithinPartitions("term"))
         self.store.write(f"{self.name}-lengths", lengths(docs))
         return self
 
@@ -101,15 +103,16 @@ def search(queries: DataFrame, index: DataFrame, length: DataFrame, top_k: int |
         # Equal beginnings of the lengths that occur (a few small numbers) are joined, with the distinct terms first.
         sizes = sorted(r["n"] for r in asked.select(F.length("asked").alias("n")).distinct().collect())
         starts = index.select("term").distinct().withColumn("asked", F.explode(F.array(*[F.substring("term", 1, n) for n in sizes])) if sizes else F.lit(None).cast("string"))
-        starts = starts.join(asked, "asked").select("query_id", "asked", "term").distinct()
-        hits = starts.join(index, "term").groupBy("query_id", "asked", "id").agg(F.sum("tf").alias("tf"))
+        starts = starts.distinct().join(asked.select("asked").distinct(), "asked", "left_semi")
+        own = starts.join(index, "term").groupBy("asked", "id").agg(F.sum("tf").alias("tf"))
     else:
-        hits = asked.join(index, F.col("asked") == F.col("term")).select("query_id", "asked", "id", "tf")
-    df = hits.groupBy("query_id", "asked").agg(F.count(F.lit(1)).alias("df"))
-    hits = hits.join(df, ["query_id", "asked"]).join(length, "id").crossJoin(F.broadcast(stats))  # one row
+        own = index.withColumnRenamed("term", "asked").join(asked.select("asked").distinct(), "asked", "left_semi")
+    # What a term gives a document does not depend on the query, so it is computed once, before queries multiply the rows.
+    df = own.groupBy("asked").agg(F.count(F.lit(1)).alias("df"))
+    own = own.join(df, "asked").join(length, "id").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = asked.join(own.select("asked", "id", part.alias("part")), "asked").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     if top_k is None:
         return scored
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -57,22 +57,27 @@ def _ask(spark, sf_dir, fold=lambda c: c):
     return questions(spark, sf_dir).select("query_id", lexical.terms_of(fold(F.col("query"))).alias("terms"))
 
 
+def stored_index(spark) -> lexical.Index:
+    """A new index in the shared folder: texts are cut into terms once, and searches read small tables."""
+    return lexical.Index(Snapshots(spark, f"{shared_dir(spark)}/quarry-index-{uuid.uuid4().hex}"))
+
+
 def bm25_topk(spark, sf_dir):
     docs = _indexed(spark, sf_dir)
     one = literal(spark, [(0, ["the", "and", "with", "est", "und"])], "query_id long, terms array<string>")
-    return lexical.search(one, lexical.postings(docs, one), lexical.lengths(docs), 20).select("id", "score", "rank")
+    return stored_index(spark).write(docs, one).search(one, 20).select("id", "score", "rank")
 
 
 def bm25_multi_query(spark, sf_dir):
     docs = _indexed(spark, sf_dir)
     asked = _ask(spark, sf_dir)
-    return lexical.search(asked, lexical.postings(docs, asked), lexical.lengths(docs), 20).select("query_id", "id", "score", "rank")
+    return stored_index(spark).write(docs, asked).search(asked, 20).select("query_id", "id", "score", "rank")
 
 
 def fts_stored(spark, sf_dir):
     """A stored index: three quarters of the documents indexed, then the rest and changed ones added, and some deleted."""
     docs = _indexed(spark, sf_dir)
-    index = lexical.Index(Snapshots(spark, f"{shared_dir(spark)}/quarry-index-{uuid.uuid4().hex}"))
+    index = stored_index(spark)
     index.write(docs.where("id % 4 > 0").withColumn("text", F.when(F.col("id") % 3 == 0, F.lit("an old text")).otherwise(F.col("text"))))
     index.upsert(docs.where("id % 4 = 0 OR id % 3 = 0")).delete(docs.where("id % 10 = 7").select("id")).prune()
     return index.search(_ask(spark, sf_dir), 20).select("query_id", "id", "score", "rank")
@@ -81,7 +86,7 @@ def fts_stored(spark, sf_dir):
 def fts_prefix(spark, sf_dir):
     docs = _indexed(spark, sf_dir)
     one = literal(spark, [(1, ["tho"]), (2, ["zu"]), (3, ["zzzz"])], "query_id long, terms array<string>")
-    return lexical.search(one, lexical.postings(docs), lexical.lengths(docs), 20, prefix=True).select("query_id", "id", "score", "rank")
+    return stored_index(spark).write(docs).search(one, 20, prefix=True).select("query_id", "id", "score", "rank")
 
 
 def fts_porter(spark, sf_dir):
