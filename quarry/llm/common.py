@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: White space of all word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -34,7 +35,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     if (open_ := _open.get()) is not None:
@@ -42,6 +44,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes the shuffles of a query as soon as it is over: what it wrote is in the shared folder."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 #: The tables that the scope around ``materialize`` has to delete.
 _open: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)
 
@@ -67,11 +80,6 @@ def forget(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def settle(df: DataFrame) -> None:
-    """Let Spark delete the shuffles of rounds that are over: it does so once the driver has collected their plans."""
-    df.sparkSession._jvm.System.gc()
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -1,11 +1,10 @@
-"""Near duplicates by similarity: SimHash candidates, decided by the Jaccard similarity of sets of five-word shingles.
-
-Two texts of similarity 0.8 differ in 15 % of the bits of their fingerprints: in 64 bits that is far more than any cut
-into segments can promise to find. So a text gets several independent fingerprints, each is indexed as in ``simhash``
-(every segment once for each of its bits left out), and texts that agree in any segment but for one bit are candidates.
-Their fingerprints together, and at last their shingle sets, decide. Only a pair that differs by two bits and more in
-each of the 24 segments is missed (2 % of pairs of similarity 0.8 exactly, 0.04 % at 0.85, none in a million at 0.9), or
-one that differs in unusually many bits of all (0.5 % at 0.8).
+"""Near duplicates by the Jaccard similarity of sets of five-word shingles: every pair of 0.8 and more is found.
+
+SimHash fingerprints of the sets, linked as in ``simhash``, propose groups, and each member is compared with its
+group's first: so large families of near copies become one component early. What fingerprints miss, a prefix filter
+finds: with shingles in one order for all sets, rare ones first, two sets of similarity t must share one of the first
+n - ceil(t n) + 1 shingles of each. Sets of different components that share one are compared by size and by a bitmap
+of parities, both of which only bound the similarity from above, and at last by the sets themselves.
 """
 
 from __future__ import annotations
@@ -20,22 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import materialize, scratch, settle
+from .common import materialize, scratch
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-FINGERPRINTS = 8
-_RND = np.random.default_rng(42)
-_XOR = _RND.integers(0, 2**64, FINGERPRINTS, dtype=np.uint64)
-_ODD = _RND.integers(0, 2**64, FINGERPRINTS, dtype=np.uint64) | np.uint64(1)
-NAMES = [f"f{j}" for j in range(FINGERPRINTS)]
-
-
-def limit(bits: int, similarity: float = SIMILARITY) -> int:
-    """The most bits of ``bits`` in which texts of this similarity differ, but for one pair in two hundred."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 2.6 * math.sqrt(bits * p * (1 - p)))
+#: One text in so many tells which shingles are frequent, and the most of these that all tasks get (four megabytes). Both only bear on the order.
+SAMPLE, FREQUENT = 16, 1 << 18
+#: Words of 64 parities.
+WORDS = 8
+NAMES = [f"s{j}" for j in range(WORDS)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -43,17 +37,21 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, SHINGLE))
 
 
-def fingerprints(h: np.ndarray) -> list[int]:
-    """The fingerprints of a set, as signed longs; zero for the empty set."""
-    ones = np.zeros((FINGERPRINTS, 64), dtype=np.int64)
-    for at in range(0, len(h), 65536):
-        part = h[at : at + 65536]
-        for j in range(FINGERPRINTS):
-            x = (part ^ _XOR[j]) * _ODD[j]
-            x = (x ^ (x >> np.uint64(29))) * _ODD[j - 1]
-            x ^= x >> np.uint64(32)
-            ones[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").ravel().tolist()
+def parities(h: np.ndarray) -> np.ndarray:
+    """For each of WORDS * 64 classes of hashes whether the set has an odd number of them: sets that differ in d hashes differ in at most d parities."""
+    at = ((h * _ODD) >> np.uint64(64 - (64 * WORDS - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles by which a set meets every set that is similar enough: the first ones by frequency (of ``common``, sorted; others come first), then by hash."""
+    if not len(h):
+        return h
+    often = np.zeros(len(h), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        often = np.where(common[at] == h, counts[at], 0)
+    return h[np.lexsort((h, often))[: len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1]]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -73,29 +71,59 @@ def _located(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(row), "rows").select("row", *at)
 
 
+def _ids(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.fromiter((xxhash.xxh64_intdigest(h.tobytes()) for h in sets), dtype=np.uint64, count=len(sets)).view(np.int64))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, dtype=np.uint64)]).astype(np.uint64).view(np.int64)))
+
+
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that several distinct texts of the sample share, and how many do; at most FREQUENT, the most frequent."""
+
+    def run(batches):
+        for batch in filter(len, batches):
+            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([_ids(sets), _lists(sets)], ["fp", "h"])
+
+    some = docs.select("row.text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    each = some.mapInArrow(run, "fp long, h array<long>").groupBy("fp").agg(F.first("h").alias("h"))
+    found = each.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """file, place, doc_id, fp (the set's hash), n (its size) and the fingerprints of every row."""
+    """file, place, doc_id, fp (the set's hash), n (its size), f (its SimHash), the parities and the prefix of every row."""
     kind = docs.schema["row"].dataType["doc_id"].dataType.simpleString()
+    common, counts = frequent(docs)
 
     def run(batches):
-        for batch in batches:
+        for batch in filter(len, batches):
             sets = [shingles(t.as_py()) for t in batch.column("text")]
-            fps = np.fromiter((xxhash.xxh64_intdigest(h.tobytes()) for h in sets), dtype=np.uint64, count=len(sets)).view(np.int64)
-            own = np.array([fingerprints(h) for h in sets], dtype=np.int64).reshape(-1, FINGERPRINTS)
-            cols = [pa.array(fps), pa.array([len(h) for h in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(own.T))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "place", "doc_id")), *cols], ["file", "place", "doc_id", "fp", "n", *NAMES])
+            odd = np.array([parities(h) for h in sets]).reshape(-1, WORDS)
+            f = np.fromiter((simhash.majority(h) for h in sets), dtype=np.uint64, count=len(sets)).view(np.int64)
+            cols = [_ids(sets), pa.array([len(h) for h in sets], pa.int64()), pa.array(f), *map(pa.array, np.ascontiguousarray(odd.T)), _lists([prefix(h, common, counts) for h in sets])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "place", "doc_id")), *cols], ["file", "place", "doc_id", "fp", "n", "f", *NAMES, "prefix"])
 
-    schema = f"file long, place long, doc_id {kind}, fp long, n long, " + ", ".join(f"{c} long" for c in NAMES)
+    schema = f"file long, place long, doc_id {kind}, fp long, n long, f long, " + ", ".join(f"{c} long" for c in NAMES) + ", prefix array<long>"
     return materialize(docs.select("file", "place", "row.doc_id", "row.text").mapInArrow(run, schema), "sketched")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The ``pairs`` (u, v) whose sizes, and fingerprints all together, allow the similarity."""
-    a = nodes.select(F.col("fp").alias("u"), F.col("n").alias("nu"), *[F.col(c).alias(f"u{c}") for c in NAMES])
-    b = nodes.select(F.col("fp").alias("v"), F.col("n").alias("nv"), *[F.col(c).alias(f"v{c}") for c in NAMES])
-    bits = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in NAMES[1:]), F.bit_count(F.col(f"u{NAMES[0]}").bitwiseXOR(F.col(f"v{NAMES[0]}"))))
-    close = F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv") - 1e-9
-    return pairs.join(a, "u").join(b, "v").where(close & (bits <= limit(64 * FINGERPRINTS))).select("u", "v")
+def _possible(a, b) -> Column:
+    """Whether two sets (functions from a column's name to that side's column) may be similar enough, by their sizes and parities."""
+    apart = F.bit_count(a(NAMES[0]).bitwiseXOR(b(NAMES[0])))
+    for c in NAMES[1:]:
+        apart = apart + F.bit_count(a(c).bitwiseXOR(b(c)))
+    sizes = F.least(a("n"), b("n")) >= SIMILARITY * F.greatest(a("n"), b("n")) - 1e-9
+    return sizes & (apart <= (a("n") + b("n")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9)
+
+
+def _sides() -> tuple:
+    return (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -118,49 +146,63 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("fp").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
         out = materialize(pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
         keep(out)
-    settle(docs)
     return out
 
 
-def _stars(nodes: DataFrame) -> DataFrame:
-    """(u, v): each node of a bucket of equal segments with the bucket's least node."""
-    out = None
-    for j, c in enumerate(NAMES):
-        keys = F.array(*[F.shiftright(c, low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(j << 32 | low << 24)) for low, bits in simhash.SEGMENTS])
-        part = nodes.select("fp", F.col(c).alias("f"), F.explode(keys).alias("key"))
-        out = part if out is None else out.unionByName(part)
-    hubs = out.groupBy("key").agg(F.min(F.struct("fp", "f")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    near = F.bit_count(F.col("f").bitwiseXOR(F.col("hub.f"))) <= limit(64)
-    return out.join(hubs.hint("merge"), "key").where((F.col("fp") != F.col("hub.fp")) & near).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct()
-
-
-def _fresh(a, b, j: int) -> Column:
-    """Two nodes (functions from a column's name to that side's column) are still apart, their fingerprints allow the similarity, and none before the j-th has made them candidates."""
-    x = [a(c).bitwiseXOR(b(c)) for c in NAMES]
-    bits = sum((F.bit_count(y) for y in x[1:]), F.bit_count(x[0]))
-    out = (a("root") != b("root")) & (bits <= limit(64 * FINGERPRINTS))
-    for y in x[:j]:
-        out = out & simhash.first_key(y).isNull()
-    return out
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """(u, v): possible pairs of each node with the first of its group by SimHash. Equal fingerprints are one group without a link."""
+    groups = components(simhash.links(nodes.select(F.col("f").alias("fp")).distinct())).select(F.col("u").alias("f"), "root")
+    own = nodes.select("fp", "f").join(groups, "f", "left").select("fp", F.coalesce("root", "f").alias("g"))
+    own = materialize(own, "groups")
+    first = materialize(own.groupBy("g").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "hubs")
+    pairs = own.join(first.hint("merge"), "g").where("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v"))
+    a, b = _sides()
+    slim = nodes.select("fp", "n", *NAMES)
+    return pairs.join(slim.alias("a"), F.col("u") == a("fp")).join(slim.alias("b"), F.col("v") == b("fp")).where(_possible(a, b)).select("u", "v")
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """key, fp, size and parities for each shingle of a prefix that another prefix has too. Most shingles are one set's own and go here."""
+    keyed = nodes.select("fp", F.explode("prefix").alias("key"))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    own = materialize(keyed.join(several.hint("merge"), "key").select("key", "fp"), "shared")
+    return materialize(own.join(nodes.select("fp", "n", *NAMES), "fp"), "placed")
+
+
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """``shared`` with ``root``, the component by the links ``found``, where a key has several of them."""
+    roots = components(found).withColumnRenamed("u", "fp")
+    rooted = materialize(shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    keys = materialize(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "keys")
+    return materialize(rooted.join(keys.hint("merge"), "key"), "mixed")
+
+
+def _stars(mixed: DataFrame) -> DataFrame:
+    """(u, v): possible pairs of each node with the least node of its keys."""
+    hubs = materialize(mixed.groupBy("key").agg(F.min(F.struct("fp", "n", *NAMES, "root")).alias("hub")).select("key", "hub.*"), "hubs")
+    a, b = _sides()
+    on = (a("key") == b("key")) & (a("root") != b("root")) & _possible(a, b)
+    return mixed.alias("a").join(hubs.alias("b").hint("merge"), on).select(b("fp").alias("u"), a("fp").alias("v")).distinct()
+
+
+def _pairs(mixed: DataFrame) -> DataFrame:
+    """(u, v): all possible pairs of nodes of different components that share a key, u < v. They are compared inside the join."""
+    a, b = _sides()
+    on = (a("key") == b("key")) & (a("fp") < b("fp")) & (a("root") != b("root")) & _possible(a, b)
+    return mixed.alias("a").join(mixed.alias("b").hint("merge"), on).select(a("fp").alias("u"), b("fp").alias("v")).distinct()
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v): similar pairs of ``nodes`` (fp, n, fingerprints, least), enough of them to connect all that are connected.
+    """(u, v): similar pairs of ``nodes`` (see ``_sketched``, with least), enough of them to connect all that are connected.
 
-    First every node of a bucket is compared with the bucket's least; then, one fingerprint after the other, only nodes
-    that are still in different components. So a large group of near copies is not paired with itself.
+    Each step only looks at what the links so far leave apart: groups by SimHash, then each prefix shingle's nodes with
+    the first of them, then all pairs. So a large family is one component before any two of its members are paired.
     """
-    stars = materialize(_near(materialize(_stars(nodes), "stars"), nodes), "near")
-    first = _verified(stars, nodes, docs)
-    rooted = nodes.join(components(first).withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialize(rooted.select("fp", "root", *NAMES), "rooted")
-    rest = None
-    for j, c in enumerate(NAMES):
-        found = materialize(simhash.paired(simhash.signatures(rooted, c), "fp", c, 64, lambda a, b: _fresh(a, b, j)), "pairs")
-        settle(docs)
-        rest = found if rest is None else rest.unionByName(found)
-    rest = materialize(_near(rest.join(stars, ["u", "v"], "left_anti"), nodes), "rest")
-    return first.unionByName(_verified(rest, nodes, docs))
+    found = _verified(materialize(_grouped(nodes), "near"), nodes, docs)
+    shared = _shared(nodes)
+    for tag, step in (("stars", _stars), ("pairs", _pairs)):
+        found = found.unionByName(_verified(materialize(step(_mixed(shared, found)), tag), nodes, docs))
+    return found
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -173,7 +215,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     with scratch() as keep:
         kept = _kept(located)
         keep(kept)
-    settle(docs)
     return located.join(kept.hint("merge"), ["file", "place"], "left_semi").select("row.*")  # the same plan at every size
 
 
@@ -181,7 +222,7 @@ def _kept(located: DataFrame) -> DataFrame:
     """file and place of the rows that stay."""
     rows = _sketched(located)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place")).alias("least")
-    nodes = materialize(rows.groupBy("fp").agg(least, F.first("n").alias("n"), *[F.first(c).alias(c) for c in NAMES]), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(least, *[F.first(c).alias(c) for c in ("n", "f", *NAMES, "prefix")]), "nodes")
     roots = components(links(nodes, located)).withColumnRenamed("u", "fp")
     kept = nodes.select("fp", "least").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select("least.file", "least.place")
     return materialize(kept, "kept")

@@ -35,9 +35,11 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned 64-bit SimHash of a whole text; zero without words."""
-    h = shingle_hashes(text, shingle, seed)
-    if not len(h):
-        return 0
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -64,3 +64,35 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert corpus_pipeline.near(None, frame(spark, []), None).count() == 0
+
+
+def test_no_link_is_lost_close_to_the_limit(spark):
+    """400 pairs of similarity 0.80 to 0.82, which fingerprints would miss, and 100 pairs just below."""
+    rnd, rows, want = random.Random(11), [], []
+    for g in range(500):
+        n = rnd.randrange(60, 400)
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        copy, near = list(words), False
+        # Words appended at the end change one shingle each: similarity is n / (n + extra) over shingles.
+        extra = int((n - 4) * 0.25) - rnd.randrange(3) if g < 400 else int((n - 4) * 0.25) + 1
+        copy += [f"x{rnd.randrange(10**6)}" for _ in range(extra)]
+        near = (n - 4) >= 0.8 * (n - 4 + extra)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        want += [2 * g] if near else [2 * g, 2 * g + 1]
+    assert sum(1 for d in want if d % 2) == 100
+    assert kept(frame(spark, rows)) == want
+
+
+def test_a_family_and_a_shared_passage(spark):
+    rnd = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(rnd.randrange(4)):
+            own[rnd.randrange(150)] = f"e{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    for i in range(300, 600):  # different texts with one passage: none may go
+        rows.append((i, " ".join([f"u{rnd.randrange(10**7)}" for _ in range(rnd.randrange(40, 120))] + passage)))
+    assert kept(frame(spark, rows)) == brute(rows)
