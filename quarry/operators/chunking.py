@@ -172,17 +172,24 @@ def chunk_documents(docs: DataFrame, symbols: DataFrame | None = None, sections:
     """Chunks of ``docs`` (document_id, type, content) by their type: document_id, pos, part, kind, title, content, start_line, end_line.
 
     Code is cut by ``symbols`` (document_id, symbols), documentation, config and data by ``sections`` (document_id,
-    type, pos, title, level, content, start_line, end_line), anything else (a null type too) by line blocks. A document
-    whose symbols or sections are missing yields what its chunker makes of none.
+    type, pos, title, level, content, start_line, end_line), anything else (a null type too) by line blocks. So are
+    documents without a section, and code that yields no chunk of its own: no document is left out for want of a table.
     """
     kind = F.coalesce("type", F.lit("unknown"))
-    out = line_blocks(docs.where(~kind.isin("code", "documentation", "config", "data")), cfg)
+    by_section = kind.isin("documentation", "config", "data")
+    plain = docs.where(~by_section & (kind != "code"))
+    if symbols is None:
+        plain = plain.unionByName(docs.where(kind == "code"))
+    bare = docs.where(by_section)
+    if sections is not None:
+        bare = bare.join(sections.select("document_id").distinct(), "document_id", "left_anti").select(*docs.columns)
+    out = line_blocks(plain.unionByName(bare), cfg)
     out = out.select("document_id", F.col("idx").alias("pos"), F.lit(0).alias("part"), F.lit("fallback").alias("kind"), "title", "content", "start_line", "end_line")
     if symbols is not None:
         code = docs.where(kind == "code").join(symbols, "document_id", "left").select("document_id", "content", "symbols")
         out = out.unionByName(code_chunks(code, cfg))
     if sections is not None:
-        own = sections.join(docs.where(kind.isin("documentation", "config", "data")).select("document_id").distinct(), "document_id", "left_semi")
+        own = sections.join(docs.where(by_section).select("document_id").distinct(), "document_id", "left_semi")
         lines = own.select("document_id", "pos", "start_line", "end_line")
         out = out.unionByName(section_chunks(own.drop("start_line", "end_line"), cfg).join(lines, ["document_id", "pos"]).select(*out.columns))
     return out

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import RETRIEVAL
+
 from ..functions.text import make_id
 
 # Weights of the edge kinds.
@@ -69,6 +71,35 @@ def neighbours(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int,
     return found.orderBy("depth", "id").limit(max_nodes) if max_nodes else found
 
 
+def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] | None = None, max_nodes: int = RETRIEVAL.graph_nodes) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, depth) and edges of a walk from ``seeds`` (id) that stops once it has admitted ``max_nodes`` nodes.
+
+    Ids come by level, and in their order within a level. Each is walked from, and its edges are recorded, whether or
+    not their other ends will be admitted; ids without a node are walked from but not counted. After the last admitted
+    node nothing is walked. The driver sees one row for each level.
+    """
+    own = edges.where(F.col("kind").isin(kinds)) if kinds else edges
+    both = own.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).unionByName(own.select(F.col("target_id").alias("u"), F.col("source_id").alias("v")))
+    level, seen = seeds.select("id").distinct(), seeds.select("id").where("false")
+    admitted, walked, left = None, seeds.select("id").where("false"), max_nodes
+    for d in range(depth + 1):
+        real = level.join(nodes.select("id").distinct(), "id", "left_semi")
+        last = real.orderBy("id").limit(left).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).first()
+        full = last["n"] >= left
+        part = real.where(F.col("id") <= last["id"]) if full else real
+        part = part.withColumn("depth", F.lit(d))
+        admitted = part if admitted is None else admitted.unionByName(part)
+        if d < depth:
+            walked = walked.unionByName(level.where(F.col("id") <= last["id"]) if full else level)
+        left -= last["n"]
+        if full or d == depth:
+            break
+        seen = seen.unionByName(level)
+        level = level.join(both, F.col("id") == F.col("u")).select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti")
+    found = edges_at(own, walked, "source_id").unionByName(edges_at(own, walked, "target_id")).dropDuplicates(["id"])
+    return admitted, found
+
+
 def edges_around(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str] | None = None) -> DataFrame:
     """The edges that a walk of ``depth`` undirected steps from ``seeds`` (id) passes: those at any node that is fewer steps away, each once."""
     own = edges.where(F.col("kind").isin(kinds)) if kinds else edges

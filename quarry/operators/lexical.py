@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scan import Snapshots
+from ..sources.scan import last_of
+from ..sources.store import Commit, Store, touched
 
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -47,69 +48,121 @@ def postings(docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
 
 def lengths(docs: DataFrame) -> DataFrame:
     """id and n, the number of terms, which needs no list of them."""
-    return docs.select("id", F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")).alias("n"))
+    return docs.select("id", F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("n"))
 
 
 class Index:
-    """Postings and lengths as versioned tables of a store; a changed document replaces its postings, a deleted one loses them."""
+    """A stored full-text index of immutable segments.
 
-    def __init__(self, store: Snapshots, name: str = "fts"):
-        self.store, self.name = store, name
+    A change appends a segment for its documents (postings in buckets by a hash of the term, a dictionary of terms in
+    their order, lengths) and tombstones for what they replace: what is written follows the change, not the index. A
+    posting counts if no younger tombstone has its id. ``merge`` makes one segment of all. ``folded`` drops diacritics,
+    ``stemmed`` keeps a stem with each term, so that ``search`` can ask by stems.
+    """
+
+    def __init__(self, store: Store, name: str = "fts", folded: bool = False, stemmed: bool = False):
+        self.store, self.name, self.folded, self.stemmed = store, name, folded, stemmed
 
     def write(self, docs: DataFrame, queries: DataFrame | None = None) -> Index:
-        """With ``queries`` an index that serves these alone: it has only the terms that they ask for."""
-        self.store.write(f"{self.name}-postings", postings(docs, queries).repartition("term").sortWithinPartitions("term"))
-        self.store.write(f"{self.name}-lengths", lengths(docs))
-        return self
+        """The index of ``docs`` (id, text) alone. With ``queries`` it serves these alone: it has only the terms that they ask for."""
+        return self._commit(lambda c: (self._clear(c), self._add(c, docs, queries)))
 
-    def upsert(self, docs: DataFrame) -> Index:
-        """Documents with no term left are in the lengths alone."""
-        self.delete(docs.select("id"))
-        for part, rows in (("postings", postings(docs)), ("lengths", lengths(docs))):
-            stored = self.store.read(f"{self.name}-{part}")
-            self.store.write(f"{self.name}-{part}", rows if stored is None else stored.unionByName(rows))
-        return self
+    def upsert(self, docs: DataFrame, order: str | None = None, stream: str | None = None, batch_id: int | None = None) -> Index:
+        """Documents take the place of those with their ids; of several with one id the last by ``order`` counts (without it, the greatest text)."""
+        return self._commit(lambda c: (self._bury(c, docs.select("id")), self._add(c, last_of(docs, ["id"], order))), stream, batch_id)
 
     def delete(self, ids: DataFrame) -> Index:
-        for part in ("postings", "lengths"):
-            self.store.delete(f"{self.name}-{part}", ids.select("id").distinct(), ["id"])
-        return self
+        return self._commit(lambda c: self._bury(c, ids.select("id")))
 
-    def prune(self, keep: int = 1) -> Index:
-        """Delete old versions."""
-        for part in ("postings", "lengths"):
-            self.store.prune(f"{self.name}-{part}", keep)
-        return self
+    def merge(self) -> Index:
+        """One segment of all that counts, without tombstones."""
 
-    def search(self, queries: DataFrame, top_k: int | None = None, prefix: bool = False) -> DataFrame:
-        """See ``search``. Of the postings only row groups that may hold an asked term are read, as they lie in the order of terms."""
-        return search(queries, self.store.read(f"{self.name}-postings"), self.store.read(f"{self.name}-lengths"), top_k, prefix)
+        def change(c: Commit) -> None:
+            postings, length = (self._live(c.read(f"{self.name}-{part}"), c.manifest).drop("segment") for part in ("postings", "lengths"))
+            postings, length = c._staged(postings), c._staged(length)
+            self._clear(c)
+            self._append(c, postings, length)
 
+        return self._commit(change)
 
-def stem_terms(index: DataFrame) -> DataFrame:
-    """``index`` (term, id, tf) with stems for terms: each distinct term is stemmed once."""
-    stems = index.select("term").distinct().withColumn("stem", stem("term"))
-    return index.join(stems, "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"))
+    def segments(self) -> int:
+        own = self.store.manifest()["tables"].get(f"{self.name}-lengths")
+        return len(own["parts"].get("0", [])) if own else 0
 
+    def _commit(self, change, stream: str | None = None, batch_id: int | None = None) -> Index:
+        self.store.commit(change, stream, batch_id)
+        return self
 
-def search(queries: DataFrame, index: DataFrame, length: DataFrame, top_k: int | None = None, prefix: bool = False) -> DataFrame:
+    def _clear(self, c: Commit) -> None:
+        for part in ("postings", "terms", "lengths", "gone"):
+            c.clear(f"{self.name}-{part}")
+
+    def _bury(self, c: Commit, ids: DataFrame) -> None:
+        c.append(f"{self.name}-gone", ids.distinct().withColumn("segment", F.lit(c.version)))
+
+    def _add(self, c: Commit, docs: DataFrame, queries: DataFrame | None = None) -> None:
+        docs = docs.select("id", (fold(F.col("text")) if self.folded else F.col("text")).alias("text"))
+        self._append(c, c._staged(postings(docs, queries)), lengths(docs))
+
+    def _append(self, c: Commit, rows: DataFrame, length: DataFrame) -> None:
+        here = F.lit(c.version).alias("segment")
+        terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms = terms.withColumn("stem", stem("term") if self.stemmed else F.lit(None).cast("string"))
+        c.append(f"{self.name}-postings", rows.select("term", "id", "tf", here), by=["term"], sort=["term"])
+        c.append(f"{self.name}-terms", terms.select("term", "stem", "df", here).repartitionByRange("term"), sort=["term"])
+        c.append(f"{self.name}-lengths", length.select("id", "n", here))
+
+    def _live(self, rows: DataFrame, manifest: dict) -> DataFrame:
+        """``rows`` (id, segment, ...) of documents that no younger commit has replaced or deleted."""
+        gone = manifest["tables"].get(f"{self.name}-gone")
+        if not gone or not gone["parts"]:
+            return rows
+        upto = self.store.read(f"{self.name}-gone", manifest=manifest).groupBy("id").agg(F.max("segment").alias("_upto"))
+        return rows.join(upto, "id", "left").where(F.col("_upto").isNull() | (F.col("segment") >= F.col("_upto"))).drop("_upto")
+
+    def dictionary(self) -> DataFrame:
+        """term, stem and df of every segment; terms whose documents are gone stay until ``merge``."""
+        return self.store.read(f"{self.name}-terms")
+
+    def search(self, queries: DataFrame, top_k: int | None = None, by: str = "word") -> DataFrame:
+        """See ``score``. ``by``: "word", "prefix" (terms that begin with an asked one) or "stem" (terms of the asked terms' stems).
+
+        Asked terms are first looked up in the dictionary; then only the buckets of postings that hold one are read.
+        """
+        manifest = self.store.manifest()
+        asked = asked_of(queries)
+        if self.folded:
+            asked = asked.select("query_id", fold(F.col("asked")).alias("asked")).distinct()
+        if by == "stem":
+            asked = asked.select("query_id", stem("asked").alias("asked")).distinct()
+        words = asked.select("asked").distinct()
+        known = self.store.read(f"{self.name}-terms", manifest=manifest)
+        if by == "word":
+            pairs = words.withColumn("term", F.col("asked"))
+        elif by == "stem":
+            pairs = known.select(F.col("stem").alias("asked"), "term").join(words, "asked", "left_semi").distinct()
+        else:
+            # Equal beginnings of the lengths that occur, a few small numbers, are joined.
+            sizes = sorted(r["n"] for r in words.select(F.length("asked").alias("n")).distinct().collect())
+            starts = known.select("term").distinct().withColumn("asked", F.explode(F.array(*[F.substring("term", 1, n) for n in sizes])) if sizes else F.lit(None).cast("string"))
+            pairs = starts.distinct().join(words, "asked", "left_semi").select("asked", "term")
+        pairs = pairs.where("asked <> ''")
+        own = manifest["tables"][f"{self.name}-postings"]
+        found = self.store.read(f"{self.name}-postings", touched(pairs, ["term"], own["buckets"]), manifest).join(pairs, "term")
+        found = self._live(found, manifest).groupBy("asked", "id").agg(F.sum("tf").alias("tf"))
+        return score(asked, found, self._live(self.store.read(f"{self.name}-lengths", manifest=manifest), manifest).select("id", "n"), top_k)
+
+
+def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | None = None) -> DataFrame:
     """query_id, id and ``score`` (BM25, higher is better) of the best ``top_k`` per query; ties go to the smaller id.
 
-    ``queries`` has query_id and ``terms`` (array). A document matches if any term does.
+    ``asked`` has query_id and asked, ``found`` the uses of what is asked (asked, id, tf). A document matches if any
+    term does.
     """
     stats = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    asked = asked_of(queries)
-    if prefix:
-        # Equal beginnings of the lengths that occur (a few small numbers) are joined, with the distinct terms first.
-        sizes = sorted(r["n"] for r in asked.select(F.length("asked").alias("n")).distinct().collect())
-        starts = index.select("term").distinct().withColumn("asked", F.explode(F.array(*[F.substring("term", 1, n) for n in sizes])) if sizes else F.lit(None).cast("string"))
-        starts = starts.distinct().join(asked.select("asked").distinct(), "asked", "left_semi")
-        own = starts.join(index, "term").groupBy("asked", "id").agg(F.sum("tf").alias("tf"))
-    else:
-        own = index.withColumnRenamed("term", "asked").join(asked.select("asked").distinct(), "asked", "left_semi")
     # What a term gives a document does not depend on the query, so it is computed once, before queries multiply the rows.
-    df = own.groupBy("asked").agg(F.count(F.lit(1)).alias("df"))
-    own = own.join(df, "asked").join(length, "id").crossJoin(F.broadcast(stats))  # one row
+    df = found.groupBy("asked").agg(F.count(F.lit(1)).alias("df"))
+    own = found.join(df, "asked").join(length, "id").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     scored = asked.join(own.select("asked", "id", part.alias("part")), "asked").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))

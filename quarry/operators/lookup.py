@@ -61,6 +61,25 @@ def batches(rows: DataFrame, size: int, by: str, order: str) -> DataFrame:
     return rows.withColumn("batch", F.floor(place / size).cast("int"))
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 in the order of ``order`` over the whole table.
+
+    Rows are sorted by ranges, each range counts its own, and a range begins where those before it end: one row for each
+    range goes through a single task, the rows themselves never do.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
+    ends = local.groupBy("_part").agg(F.max("_at").alias("_last"))
+    begin = F.coalesce(F.sum(F.col("_last") + 1).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ends.select("_part", begin.alias("_begin"))
+    return local.join(starts, "_part").withColumn("place", F.col("_begin") + F.col("_at")).drop("_part", "_at", "_last", "_begin")
+
+
+def stream_batches(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
+    """``rows`` with ``batch``: runs of ``size`` rows in the order of ``order`` over the whole table; only the last may be smaller."""
+    return numbered(rows, order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
+
+
 def embedding_input(title: Column, content: Column) -> Column:
     return F.concat(title, F.lit("\n"), content)
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..config import CACHE, RETRIEVAL
@@ -71,7 +72,29 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | Non
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
     """The mean vector of each group, by position."""
-    parts = vectors.select(F.col(by).alias("id"), F.posexplode("embedding").alias("at", "x")).groupBy("id", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    kind = vectors.schema[by].dataType.simpleString()
+
+    def sums(batches):
+        # What leaves a task is one row for each of its groups and positions, however many vectors it has; a full table of sums is passed on early.
+        held: dict = {}
+        for batch in batches:
+            for key, v in zip(batch.column("id").to_pylist(), batch.column("embedding")):
+                if v.is_valid:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    own = held.setdefault((key, len(x)), [0, np.zeros(len(x))])
+                    own[0] += 1
+                    own[1] += x
+            if len(held) > 10_000:
+                yield out(held)
+                held = {}
+        yield out(held)
+
+    def out(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], ids), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([x for _, x in held.values()], pa.list_(pa.float64()))], ["id", "n", "x"])
+
+    ids = to_arrow_type(vectors.schema[by].dataType)
+    each = vectors.select(F.col(by).alias("id"), "embedding").mapInArrow(sums, f"id {kind}, n long, x array<double>")
+    parts = each.select("id", "n", F.posexplode("x").alias("at", "x")).groupBy("id", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
     return parts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("embedding"))
 
 
@@ -105,6 +128,16 @@ def cache_put(cache: DataFrame, entries: DataFrame, max_entries: int = CACHE.max
     return both.orderBy(F.desc("created_at"), F.desc("id")).limit(max_entries)
 
 
+def cache_invalidate(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """``cache`` without the entries of these keys (query_hash)."""
+    return cache.join(keys.select("query_hash").distinct(), "query_hash", "left_anti").select(*cache.columns)
+
+
+def cache_clear(cache: DataFrame) -> DataFrame:
+    """No entry at all; the columns stay."""
+    return cache.where("false")
+
+
 def cache_key(query: Column) -> Column:
     return short_hash(query)
 

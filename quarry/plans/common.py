@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import Store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
     return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-intermediate").rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions than that, for work that is bound by the CPU."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
+@contextmanager
+def store_of(spark: SparkSession) -> Iterator[tuple[Store, Callable[[DataFrame], DataFrame]]]:
+    """A new store in the shared folder, and a function that writes a result beside it and reads it back. At the end the store is deleted; of the result only what was given to the function is left."""
+    root = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    store = Store(spark, f"{root}/store")
+
+    def kept(df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{root}/result")
+        return spark.read.schema(df.schema).parquet(f"{root}/result")
+
+    try:
+        yield store, kept
+    finally:
+        store.remove("")
+
+
 def values(rows: list[tuple], names: str) -> str:
     """A literal table for DuckDB."""
     quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"

@@ -73,11 +73,11 @@ def _typed(spark, sf_dir):
 
 
 def chunk_dispatch(spark, sf_dir):
-    """Chunks by the type of their document: one section each here, or line blocks."""
-    d = _typed(spark, sf_dir)
+    """Chunks by the type of their document: sections, or line blocks; for code without symbols, and documentation without a section, line blocks too."""
+    d = _typed(spark, sf_dir).withColumn("type", F.when(F.col("document_id") % 6 == 1, "code").when(F.col("document_id") % 6 == 3, F.lit(None)).when(F.col("document_id") % 6 == 4, "config").otherwise(F.col("type")))
     sections = parsers.markdown_sections(d.where("type = 'documentation'").select(F.col("document_id").alias("id"), "content"))
     sections = sections.select(F.col("id").alias("document_id"), F.lit("documentation").alias("type"), "pos", "title", "level", "content", "start_line", "end_line")
-    return chunking.chunk_documents(d, sections=sections).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")).where("document_id % 2 = 1")
+    return chunking.chunk_documents(d, sections=sections).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"), F.sum(F.length("content")).alias("chars"))
 
 
 def parse_dispatch(spark, sf_dir):
@@ -124,7 +124,19 @@ ORACLE = {
     "fixed_batches": f"WITH {CHUNK} SELECT document_id, CAST(idx // 4 AS INT) AS batch, count(*) AS n, min(idx) AS first FROM ck GROUP BY ALL",
     "embedding_input": f"WITH {CHUNK} SELECT chunk_id, md5(title || chr(10) || content) AS md5 FROM ck",
     "rerank_input": f"WITH {CHUNK} SELECT chunk_id, title || chr(10) || substr(content, 1, 500) AS text FROM ck",
-    "chunk_dispatch": f"WITH {WALK} SELECT document_id, count(*) AS n, 'fallback' AS kind FROM o WHERE document_id % 2 = 1 GROUP BY document_id",
+    "chunk_dispatch": rf"""WITH {WALK.replace('FROM documents)', 'FROM ty WHERE doc_id % 6 NOT IN (0, 2))').replace('RECURSIVE d', "RECURSIVE ty AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# Title ' || doc_id || chr(10) || text ELSE text END AS text FROM documents), d")},
+ln AS (SELECT doc_id AS id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM ty WHERE doc_id % 6 IN (0, 2))),
+fe AS (SELECT id, i, l[i] AS line, starts_with(l[i], '```') OR starts_with(l[i], '~~~') AS f FROM ln), si AS (SELECT *, sum(CAST(f AS INT)) OVER (PARTITION BY id ORDER BY i) % 2 = 1 AS ins FROM fe),
+he AS (SELECT *, sum(CASE WHEN NOT f AND NOT ins AND regexp_matches(line, '^#{{1,6}}\s+.+$') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM si),
+se AS (SELECT id, pos, string_agg(line, chr(10) ORDER BY i) AS content, length(regexp_extract(arg_min(line, i), '^(#{{1,6}})', 1)) AS level FROM he WHERE pos >= 0 GROUP BY id, pos),
+sx AS (SELECT *, ceil(length(content) / 4) AS tokens FROM se WHERE ceil(length(content) / 4) >= 20), lg AS (SELECT id, pos, string_split_regex(content, '\n\n+') AS p FROM sx WHERE tokens > 512),
+w2 AS (SELECT id, pos, p, 1 AS i, CAST(ceil(length(p[1]) / 4) AS BIGINT) AS t, p[1] AS x, CAST(NULL AS VARCHAR) AS done FROM lg UNION ALL
+  SELECT id, pos, p, i + 1, CASE WHEN c THEN n ELSE t + n END, CASE WHEN c OR length(x) = 0 THEN p[i + 1] ELSE x || chr(10) || chr(10) || p[i + 1] END, CASE WHEN c THEN x END FROM
+  (SELECT *, t + n > 512 AND length(x) > 0 AS c FROM (SELECT *, CAST(ceil(length(p[i + 1]) / 4) AS BIGINT) AS n FROM w2 WHERE i < len(p)))),
+pa AS (SELECT id, done AS x, false AS last FROM w2 WHERE done IS NOT NULL UNION ALL SELECT id, x, true FROM w2 WHERE i = len(p)),
+al AS (SELECT doc_id AS id, 'fallback' AS kind, length(c) AS chars FROM k UNION ALL SELECT id, CASE WHEN level = 1 THEN 'section' ELSE 'paragraph' END, length(content) FROM sx WHERE tokens <= 512
+  UNION ALL SELECT id, 'paragraph', length(regexp_replace(x, '^\s+|\s+$', '', 'g')) FROM pa WHERE NOT last OR length(trim(x)) > 0 AND ceil(length(x) / 4) >= 20)
+SELECT id AS document_id, count(*) AS n, max(kind) AS kind, CAST(sum(chars) AS BIGINT) AS chars FROM al GROUP BY id""",
     "parse_dispatch": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'documentation' ELSE 'data' END AS type, CAST(2 AS BIGINT) AS sections FROM documents WHERE doc_id % 7 > 0 AND doc_id % 3 < 2",
     "filtered_search": f"WITH {_knn(20, pool='v.label IN (2, 4, 6) AND v.id % 3 = 0')} SELECT * FROM r WHERE score >= 0.3",
     "rerank_scored": f"WITH c AS (SELECT item_id AS query_id, id, round(-CAST(levenshtein(substr(b.text, 1, 20), t.text) AS DOUBLE), 6) AS rerank_score FROM benchmark b JOIN {values([(i, t) for i, t in enumerate(('the way', 'el camino', 'a path', 'Wege'))], 'id, text')} ON true WHERE item_id % 50 = 0) SELECT query_id, CAST(id AS BIGINT) AS id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS INT) AS rank, rerank_score FROM c QUALIFY rank <= 2",

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import chunking, lexical
-from ..sources.scan import Snapshots
 from .basics import ASKED, questions
-from .common import literal, shared_dir, table
+from .common import literal, spread, store_of, table
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")))
 
 
 def _indexed(spark, sf_dir):
@@ -53,49 +50,61 @@ def term_postings(spark, sf_dir):
     return lexical.postings(_indexed(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-def _ask(spark, sf_dir, fold=lambda c: c):
-    return questions(spark, sf_dir).select("query_id", lexical.terms_of(fold(F.col("query"))).alias("terms"))
+def _ask(spark, sf_dir):
+    return questions(spark, sf_dir).select("query_id", lexical.terms_of(F.col("query")).alias("terms"))
+
 
+def searched(spark, docs, asked, k, by="word", whole=False, **kind):
+    """``docs`` indexed in a store of their own, searched, and the result kept: the index is deleted once it has been read.
 
-def stored_index(spark) -> lexical.Index:
-    """A new index in the shared folder: texts are cut into terms once, and searches read small tables."""
-    return lexical.Index(Snapshots(spark, f"{shared_dir(spark)}/quarry-index-{uuid.uuid4().hex}"))
+    The index has only the terms that are asked for, unless ``whole``.
+    """
+    with store_of(spark) as (store, kept):
+        return kept(lexical.Index(store, **kind).write(spread(docs), None if whole else asked).search(asked, k, by))
 
 
 def bm25_topk(spark, sf_dir):
-    docs = _indexed(spark, sf_dir)
     one = literal(spark, [(0, ["the", "and", "with", "est", "und"])], "query_id long, terms array<string>")
-    return stored_index(spark).write(docs, one).search(one, 20).select("id", "score", "rank")
+    return searched(spark, _indexed(spark, sf_dir), one, 20).select("id", "score", "rank")
 
 
 def bm25_multi_query(spark, sf_dir):
-    docs = _indexed(spark, sf_dir)
-    asked = _ask(spark, sf_dir)
-    return stored_index(spark).write(docs, asked).search(asked, 20).select("query_id", "id", "score", "rank")
+    return searched(spark, _indexed(spark, sf_dir), _ask(spark, sf_dir), 20).select("query_id", "id", "score", "rank")
 
 
 def fts_stored(spark, sf_dir):
-    """A stored index: three quarters of the documents indexed, then the rest and changed ones added, and some deleted."""
-    docs = _indexed(spark, sf_dir)
-    index = stored_index(spark)
-    index.write(docs.where("id % 4 > 0").withColumn("text", F.when(F.col("id") % 3 == 0, F.lit("an old text")).otherwise(F.col("text"))))
-    index.upsert(docs.where("id % 4 = 0 OR id % 3 = 0")).delete(docs.where("id % 10 = 7").select("id")).prune()
-    return index.search(_ask(spark, sf_dir), 20).select("query_id", "id", "score", "rank")
+    """A stored index: three quarters of the documents, then the rest and changed ones (some of them twice in one batch), one batch delivered again, some deleted, all merged, and a last change after it."""
+    docs = spread(_indexed(spark, sf_dir))
+    old = docs.withColumn("text", F.when(F.col("id") % 3 == 0, F.lit("an old text the the")).otherwise(F.col("text")))
+    with store_of(spark) as (store, kept):
+        index = lexical.Index(store)
+        index.write(old.where("id % 4 > 0"))
+        twice = docs.where("id % 4 = 0 OR id % 3 = 0").withColumn("at", F.lit(2)).unionByName(old.where("id % 3 = 0").withColumn("at", F.lit(1)))
+        for _ in range(2):
+            index.upsert(twice, "at", "changes", 0)
+        index.delete(docs.where("id % 10 = 7").select("id")).merge()
+        index.upsert(docs.where("id % 100 = 0"))
+        store.vacuum()
+        return kept(index.search(_ask(spark, sf_dir), 20)).select("query_id", "id", "score", "rank")
 
 
 def fts_prefix(spark, sf_dir):
-    docs = _indexed(spark, sf_dir)
     one = literal(spark, [(1, ["tho"]), (2, ["zu"]), (3, ["zzzz"])], "query_id long, terms array<string>")
-    return stored_index(spark).write(docs).search(one, 20, prefix=True).select("query_id", "id", "score", "rank")
+    return searched(spark, _indexed(spark, sf_dir), one, 20, "prefix", whole=True).select("query_id", "id", "score", "rank")
 
 
 def fts_porter(spark, sf_dir):
-    docs = _indexed(spark, sf_dir).withColumn("text", lexical.fold(F.col("text")))
-    asked = _ask(spark, sf_dir, lexical.fold).select("query_id", F.explode("terms").alias("term")).withColumn("stem", lexical.stem("term")).groupBy("query_id").agg(F.collect_set("stem").alias("terms"))
-    return lexical.search(asked, lexical.stem_terms(lexical.postings(docs)), lexical.lengths(docs), 20)
+    """By stems, over letters without diacritics."""
+    return searched(spark, _indexed(spark, sf_dir), _ask(spark, sf_dir), 20, "stem", whole=True, folded=True, stemmed=True).select("query_id", "id", "score", "rank")
+
+
+def fts_dictionary(spark, sf_dir):
+    """The terms that an index keeps, with the number of their documents."""
+    with store_of(spark) as (store, kept):
+        return kept(lexical.Index(store).write(spread(_indexed(spark, sf_dir))).dictionary().select("term", "df"))
 
 
-QUERIES = {f.__name__: f for f in (line_block_chunks, chunk_ids, token_batches, fallback_segments, section_chunks, term_postings, bm25_topk, bm25_multi_query, fts_stored, fts_prefix, fts_porter)}
+QUERIES = {f.__name__: f for f in (line_block_chunks, chunk_ids, token_batches, fallback_segments, section_chunks, term_postings, bm25_topk, bm25_multi_query, fts_stored, fts_prefix, fts_porter, fts_dictionary)}
 
 # A walk over the lines of each document: s is where the open block begins, t its tokens, f the reported first line.
 WALK = """RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -144,5 +153,6 @@ UNION ALL SELECT document_id, pos, part, 'paragraph', title || ' (part ' || (par
     "bm25_topk": f"WITH {INDEX}, ask AS (SELECT 0 AS query_id, unnest(['the', 'and', 'with', 'est', 'und']) AS asked), {HIT}, {SCORE} SELECT id, score, rank FROM top",
     "bm25_multi_query": f"WITH {INDEX}, {ASKED}, ask AS (SELECT DISTINCT query_id, unnest({TERMS.format('query')}) AS asked FROM q), {HIT}, {SCORE} SELECT query_id, id, score, rank FROM top",
     "fts_stored": f"WITH {INDEX.replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 7)')}, {ASKED}, ask AS (SELECT DISTINCT query_id, unnest({TERMS.format('query')}) AS asked FROM q), {HIT}, {SCORE} SELECT query_id, id, score, rank FROM top",
+    "fts_dictionary": f"WITH {INDEX} SELECT term, count(*) AS df FROM post GROUP BY term",
     "fts_prefix": f"WITH {INDEX}, ask AS (SELECT CAST(i AS BIGINT) AS query_id, a AS asked FROM (VALUES (1, 'tho'), (2, 'zu'), (3, 'zzzz')) AS t(i, a)), hit AS (SELECT query_id, asked, id, CAST(sum(tf) AS BIGINT) AS tf FROM ask JOIN post ON starts_with(term, asked) GROUP BY ALL), {SCORE} SELECT query_id, id, score, rank FROM top",
 }

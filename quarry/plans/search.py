@@ -8,7 +8,7 @@ from ..config import CACHE, RETRIEVAL
 from ..functions.text import estimate_tokens
 from ..operators import fusion, lexical, vectors
 from .common import literal, table
-from .retrieval import INDEX, SCORE, TERMS, stored_index
+from .retrieval import INDEX, SCORE, TERMS, searched
 
 
 def _vectors(spark, sf_dir):
@@ -62,7 +62,7 @@ def _lexical(spark, sf_dir, k):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     words = literal(spark, QUERY_TERMS, "n long, terms array<string>")
     asked = _asked(spark, sf_dir).withColumn("n", F.floor(F.col("query_id") / 50) % len(QUERY_TERMS)).join(words, "n").select("query_id", "terms")
-    return stored_index(spark).write(docs, words.withColumnRenamed("n", "query_id")).search(asked, k)
+    return searched(spark, docs, asked, k)
 
 
 def _graph_hits(spark, sf_dir, found, text):

@@ -9,6 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..sources.scan import Snapshots, last_of
+from ..sources.store import Commit, Store
 
 
 def debounce(events: DataFrame, gap_ms: int) -> DataFrame:
@@ -64,3 +65,25 @@ def apply_changes(store: Snapshots, name: str, key: str = "path", order: str | N
         batch.unpersist()
 
     return write
+
+
+def apply_to(store: Store, stream: str, name: str, keys: list[str], order: str, also=None):
+    """A ``foreachBatch`` function over a ``Store``: changed rows replace those with their keys, rows of kind ``unlink`` take them away.
+
+    Of several rows with one key in a batch the last by ``order`` counts, be it a change or not. Only the buckets that
+    the batch touches are written, and the batch's number is published with them, so a batch that comes again changes
+    nothing. ``also`` (of the commit, changed rows and keys that went) may change other tables in the same commit.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        def change(c: Commit) -> None:
+            last = c._staged(last_of(batch, keys, order))
+            changed, gone = last.where("kind <> 'unlink'"), last.where("kind = 'unlink'").select(*keys)
+            c.upsert(name, changed, keys, order)
+            c.delete(name, gone)
+            if also:
+                also(c, changed, gone)
+
+        store.commit(change, stream, batch_id)
+
+    return write

@@ -1,10 +1,12 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import files
-from quarry.operators import chunking, compress, enrich, fusion, graph, lexical, parsers, vectors
+from quarry.operators import chunking, compress, enrich, fusion, graph, lexical, models, parsers, vectors
 from quarry.sources import scan
+from quarry.sources.store import Store
 from quarry.streaming import debounce as feed
 
 
@@ -91,7 +93,7 @@ def test_porter():
 def test_search_ties_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "")], "id long, text string")
     q = spark.createDataFrame([(1, ["a"]), (2, ["zz"]), (3, [])], "query_id long, terms array<string>")
-    got = lexical.search(q, lexical.postings(docs), lexical.lengths(docs), 1).collect()
+    got = lexical.score(lexical.asked_of(q), lexical.postings(docs).withColumnRenamed("term", "asked"), lexical.lengths(docs), 1).collect()
     assert [(r["query_id"], r["id"]) for r in got] == [(1, 1)]
 
 
@@ -101,7 +103,7 @@ def test_terms_after_the_first_10_000_characters_are_found(spark):
     assert {(r["term"], r["id"], r["tf"]) for r in index.collect()} == {("aa", 1, 4000), ("latecomer", 1, 1), ("aa", 2, 1), ("bb", 2, 1)}
     assert {(r["id"], r["n"]) for r in length.collect()} == {(1, 4001), (2, 2)}
     q = spark.createDataFrame([(1, ["latecomer"])], "query_id long, terms array<string>")
-    assert [r["id"] for r in lexical.search(q, index, length, 5).collect()] == [1]
+    assert [r["id"] for r in lexical.score(lexical.asked_of(q), index.withColumnRenamed("term", "asked"), length, 5).collect()] == [1]
 
 
 def test_vectors(spark):
@@ -244,23 +246,39 @@ def test_hierarchy_with_many_modules(spark):
 
 
 def test_stored_index(spark, tmp_path):
-    index = lexical.Index(scan.Snapshots(spark, str(tmp_path)))
-    ask = lambda *terms, prefix=False: [r["id"] for r in index.search(spark.createDataFrame([(1, list(terms))], "query_id long, terms array<string>"), 5, prefix).orderBy("rank").collect()]
+    index = lexical.Index(Store(spark, str(tmp_path)), stemmed=True)
+    ask = lambda *terms, by="word": [r["id"] for r in index.search(spark.createDataFrame([(1, list(terms))], "query_id long, terms array<string>"), 5, by).orderBy("rank").collect()]
     docs = lambda *rows: spark.createDataFrame(rows, "id long, text string")
     index.write(docs((1, "function testFn returns the answer to everything"), (2, "nothing here"), (3, None)))
-    assert ask("testfn") == [1] and ask("xyznonexistent") == [] and ask("ans", "not", prefix=True) == [2, 1]
+    assert ask("testfn") == [1] and ask("xyznonexistent") == [] and ask("ans", "not", by="prefix") == [2, 1] and ask("return", by="stem") == [1]
     index.upsert(docs((1, "changed"), (4, "testFn again")))
-    assert ask("testfn") == [4] and ask("changed") == [1]
+    assert ask("testfn") == [4] and ask("changed") == [1] and ask("answer") == []
     index.delete(docs((4, "")))
-    assert ask("testfn") == [] and index.store.read("fts-lengths").count() == 3
-    index.prune()
-    assert len(index.store.versions("fts-postings")) == 1 and ask("changed") == [1]
-
-
-def test_no_cartesian_product_in_searches(spark):
+    assert ask("testfn") == [] and index.segments() == 2
+    index.merge()
+    assert index.segments() == 1 and ask("changed") == [1] and ask("testfn") == [] and index.store.read("fts-lengths").count() == 3
+    index.upsert(docs((4, "testFn back")))
+    assert ask("testfn") == [4]
+
+
+def test_repeated_ids_in_an_index(spark, tmp_path):
+    """Of several rows with one id the last counts, in the first write of an index and later; a batch that comes again changes nothing."""
+    index = lexical.Index(Store(spark, str(tmp_path)))
+    rows = spark.createDataFrame([(1, "the cat sat", 1), (2, "dog ran far away", 1), (1, "the cat sat", 2)], "id long, text string, at int")
+    q = spark.createDataFrame([(1, ["cat"]), (2, ["mouse"])], "query_id long, terms array<string>")
+    index.upsert(rows, "at", "s", 0)
+    once = index.search(q.where("query_id = 1")).collect()
+    assert [(r["id"], r["score"]) for r in once] == [(1, 1e-06)]  # idf at its floor; 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 3.5)) = 1.06 of it
+    index.upsert(spark.createDataFrame([(1, "a mouse", 3), (1, "a cat", 4)], rows.schema), "at", "s", 1)
+    before = index.store.manifest()
+    index.upsert(spark.createDataFrame([(1, "a mouse", 5)], rows.schema), "at", "s", 1)
+    assert index.store.manifest() == before and [(r["query_id"], r["id"]) for r in index.search(q).collect()] == [(1, 1)]
+
+
+def test_no_cartesian_product_in_searches(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b"), (2, "ab")], "id long, text string")
     q = spark.createDataFrame([(1, ["a"])], "query_id long, terms array<string>")
-    plan = lexical.search(q, lexical.postings(docs), lexical.lengths(docs), 5, prefix=True)._jdf.queryExecution().executedPlan().toString()
+    plan = lexical.Index(Store(spark, str(tmp_path))).write(docs).search(q, 5, "prefix")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") <= 1  # the one row of totals
 
 
@@ -284,6 +302,12 @@ def test_parse_and_chunk_by_type(spark):
     docs = files_.select(F.col("id").alias("document_id"), F.when(F.col("id") == 2, "documentation").alias("type"), "content")
     sections = parsers.parse(files_).where("id = 2").withColumnRenamed("id", "document_id")
     assert {(r["document_id"], r["kind"]) for r in chunking.chunk_documents(docs, sections=sections).collect()} == {(1, "fallback"), (2, "section"), (5, "fallback")}
+    # Whatever its type says, a document without symbols or sections is cut by lines, with tables given or not.
+    long = "some words of text\n" * 20
+    every = spark.createDataFrame([(1, "code", long), (2, "documentation", long), (3, "data", long), (4, None, long), (5, "config", long)], "document_id long, type string, content string")
+    nothing = spark.createDataFrame([], "document_id long, symbols array<struct<name:string,kind:string,start_line:int,end_line:int>>")
+    for kw in ({}, {"symbols": nothing}, {"sections": sections.limit(0)}, {"symbols": nothing, "sections": sections.limit(0)}):
+        assert {(r["document_id"], r["kind"]) for r in chunking.chunk_documents(every, **kw).collect()} == {(i, "fallback") for i in range(1, 6)}
 
 
 def test_last_row_of_a_key_wins(spark):
@@ -297,3 +321,98 @@ def test_changes_of_one_key_in_a_batch(spark, tmp_path):
     apply = feed.apply_changes(store, "t", "key", "at")
     apply(spark.createDataFrame([(1, "change", "a", 1), (1, "unlink", None, 2), (2, "unlink", None, 1), (2, "change", "b", 2)], "key long, kind string, v string, at int"), 0)
     assert [(r["key"], r["v"]) for r in store.read("t").collect()] == [(2, "b")]
+
+
+def test_store_writes_touched_buckets_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame(r, "k long, j string, v string")
+    assert store.read("t") is None and store.manifest()["version"] == 0
+    store.commit(lambda c: (c.upsert("t", rows(*[(i, None if i % 2 else "x", "a") for i in range(200)]), ["k", "j"], buckets=16), c.append("log", rows((0, "", "first")))))
+    first = store.manifest()["tables"]["t"]["parts"]
+    store.commit(lambda c: (c.upsert("t", rows((3, None, "b"), (3, None, "c")), ["k", "j"], "v"), c.append("log", rows((1, "", "second")))))
+    second = store.manifest()["tables"]["t"]["parts"]
+    assert sum(first[b] != second[b] for b in first) == 1 and store.read("t").count() == 200
+    assert [r["v"] for r in store.read("t").where("k = 3").collect()] == ["c"] and store.read("log").count() == 2
+    assert [r["v"] for r in store.lookup("t", rows((3, None, ""), (4, None, ""), (999, None, ""))).collect()] == ["c"]
+    store.commit(lambda c: c.delete("t", rows((3, None, ""), (4, None, ""))))
+    assert store.read("t").count() == 199
+
+    def broken(c):
+        c.upsert("t", rows((1000, "y", "never")), ["k", "j"])
+        raise RuntimeError("in the middle")
+
+    with pytest.raises(RuntimeError):
+        store.commit(broken)
+    assert store.read("t").count() == 199
+    store.vacuum()
+    assert store.read("t").count() == 199 and len(store.names("manifests")) == 1
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    one = spark.createDataFrame([(1, "a")], "k long, v string")
+
+    def slow(c):
+        Store(spark, str(tmp_path)).commit(lambda other: other.append("log", one))
+        c.append("log", one)
+
+    with pytest.raises(Exception, match="exist"):
+        store.commit(slow)
+    assert store.read("log").count() == 1
+
+
+def test_batches_are_applied_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    also = lambda c, changed, gone: c.append("seen", changed.select("key"))
+    apply = feed.apply_to(store, "s", "t", ["key"], "at", also)
+    rows = lambda *r: spark.createDataFrame(r, "key long, kind string, v string, at int")
+    apply(rows((1, "change", "a", 1), (1, "unlink", None, 2), (2, "unlink", None, 1), (2, "change", "b", 2)), 0)
+    before = store.manifest()
+    apply(rows((7, "change", "again", 1)), 0)
+    assert store.manifest() == before
+    apply(rows((2, "unlink", None, 3), (3, "change", "c", 3)), 1)
+    assert [(r["key"], r["v"]) for r in store.read("t").collect()] == [(3, "c")] and sorted(r["key"] for r in store.read("seen").collect()) == [2, 3]
+
+
+class Counted:
+    def __init__(self, fail=()):
+        self.fail, self.calls = set(fail), 0
+
+    def __call__(self, texts):
+        self.calls += 1
+        if self.calls in self.fail:
+            raise ConnectionError("planned")
+        return [[float(len(t)), float(len(texts))] for t in texts]
+
+
+def test_embedder_protocol(spark, tmp_path):
+    assert list(models.calls_of(["a" * 5] * 5, 2, 100)) == [(0, 2), (2, 4), (4, 5)] and list(models.calls_of(["a" * 90, "b" * 20, "c" * 200, "d"], 32, 100)) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    df = spark.createDataFrame([(i, "x" * i if i else None) for i in range(10)], "id long, text string").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in models.embedded(df, Counted({1, 2, 5}), rows=4, wait=0.0).collect()}
+    assert got == {i: [float(i), 4.0 if i < 8 else 2.0] for i in range(10)}
+    with pytest.raises(Exception, match="planned"):
+        models.embedded(df, Counted(range(1, 9)), retries=3, wait=0.0).collect()
+    cache = models.EmbeddingCache(Store(spark, str(tmp_path)), max_bytes=16 * 12)
+    for n in (4, 10, 10):
+        out = cache.embed(df.where(F.col("id") < n).unionByName(df.where(F.col("id") < n)), Counted(), wait=0.0)
+    assert out.count() == 20 and sorted((r["run"], r["entries"]) for r in cache.runs().collect()) == [(1, 4), (2, 6)]
+    cache.evict()
+    assert sorted((r["run"], r["entries"]) for r in cache.runs().collect()) == [(1, 4), (2, 6)]
+    cache.max_bytes = 16 * 7
+    cache.evict()
+    assert [(r["run"], r["entries"]) for r in cache.runs().collect()] == [(2, 6)]
+
+
+def down(query, texts):
+    if query == "bad":
+        raise ConnectionError("planned")
+    return [float(t.count(query)) for t in texts]
+
+
+def test_reranker_protocol(spark):
+    rows = [(q, name, i, "x" * i + name, float(10 - i)) for q, name in ((1, "x"), (2, "bad")) for i in range(6)] + [(1, "x", 9, None, 0.1)]
+    c = spark.createDataFrame(rows, "query_id long, query string, id long, text string, score double")
+    pick = lambda df: {(r["query_id"], r["rank"]): r["id"] for r in df.collect()}
+    assert pick(models.reranked(c, down, 2, rows=4, wait=0.0)) == {(1, 1): 5, (1, 2): 4, (2, 1): 0, (2, 2): 1}
+    assert pick(models.reranked(c, down, 1, available=lambda: False)) == {(1, 1): 0, (2, 1): 0}
+    assert models.reranked(c.limit(0), down, 2).count() == 0

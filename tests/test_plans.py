@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import basics, lookups, retrieval, search, structure, understanding
+from quarry.plans import basics, lookups, retrieval, search, stored, structure, understanding
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CASES = [(p, n) for p in (basics, retrieval, search, understanding, structure, lookups) for n in p.QUERIES]
+CASES = [(p, n) for p in (basics, retrieval, search, understanding, structure, lookups, stored) for n in p.QUERIES]
 
 
 @pytest.fixture(scope="module")
@@ -39,5 +39,5 @@ def test_query(spark, duck, plan, name):
 
 
 def test_every_sql_has_a_query():
-    for p in (basics, retrieval, search, understanding, structure, lookups):
+    for p in (basics, retrieval, search, understanding, structure, lookups, stored):
         assert set(p.ORACLE) <= set(p.QUERIES)
