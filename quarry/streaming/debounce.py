@@ -47,6 +47,34 @@ def debounce_stream(events: DataFrame, gap_ms: int, delay: str = "10 minutes") -
     )
 
 
+def debounce_arrivals(events: DataFrame, gap_ms: int) -> DataFrame:
+    """The same on a stream by the clock: a key's last event (by ts and event_id) comes out ``gap_ms`` after the last arrival.
+
+    Each arrival puts the key's timer back, as a watcher does; events need no order and no watermark.
+    """
+
+    def step(key, batches, state: GroupState):
+        last = tuple(state.get) if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], last[0], last[1], last[2]))
+            state.remove()
+        else:
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    own = (r.kind, r.ts.value // 1_000_000, r.event_id)
+                    if last is None or own[1:] >= last[1:]:
+                        last = own
+            state.update(last)
+            state.setTimeoutDuration(gap_ms)
+        yield pd.DataFrame(out, columns=["key", "kind", "ts_ms", "event_id"])
+
+    kind = events.schema["key"].dataType.simpleString()
+    return events.groupBy("key").applyInPandasWithState(
+        step, f"key {kind}, kind string, ts_ms long, event_id long", "kind string, ts_ms long, event_id long", "append", GroupStateTimeout.ProcessingTimeTimeout,
+    )
+
+
 def apply_changes(store: Snapshots, name: str, key: str = "path", order: str | None = None):
     """A ``foreachBatch`` function: changed rows replace those with their key, rows of kind ``unlink`` take them away.
 
