@@ -112,18 +112,21 @@ def fit(labelled: DataFrame, label: str = "quality", rank: int = RANK) -> Model
     votes = np.where(y == 1, len(y) / (2 * n1), -len(y) / (2 * n0))
     if len(set(y.tolist())) == 1:
         votes = np.where(y == 1, 1.0, -1.0)
-    return Model(mean.astype(np.float32), axes.astype(np.float32), z.astype(np.float32), votes.astype(np.float32), 0.5)
+    return Model(mean, axes, z, votes, 0.5)
 
 
 def vote(x: np.ndarray, model: Model, k: int = NEIGHBOURS) -> np.ndarray:
-    """Scores of a block of feature rows: the exact cosine products with all labelled vectors, the k nearest weighted; all that are as near as the k-th count."""
-    z = (x - model.mean) @ model.axes
+    """Scores of a block of feature rows: the exact cosine products with all labelled vectors, the k nearest weighted; all that are as near as the k-th count.
+
+    Products are taken in doubles and cosines rounded to six places, so that neither depends on the size of the block.
+    """
+    z = (x.astype(np.float64) - model.mean) @ model.axes
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-    near = z @ model.vectors.T
+    near = np.round(z @ model.vectors.T, 6) + 0.0
     k = min(k, near.shape[1])
     least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
     w = np.where(near >= least, np.exp(SHARPNESS * near) * np.abs(model.votes), 0)
-    return w[:, model.votes > 0].sum(axis=1) / np.maximum(w.sum(axis=1), 1e-9)
+    return np.round(w[:, model.votes > 0].sum(axis=1) / np.maximum(w.sum(axis=1), 1e-9), 9)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

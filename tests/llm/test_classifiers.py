@@ -2,6 +2,7 @@ import decimal
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -258,3 +259,13 @@ def test_quality_ties_and_bounds(spark):
     scores = quality_knn.scored(docs, quality_knn.fit(known)).collect()
     assert len(scores) == 3003 and all(0 <= r["score"] <= 1 for r in scores)
     assert quality_knn.scored(docs.limit(0), quality_knn.fit(known)).count() == 0
+
+
+def test_votes_do_not_depend_on_the_block(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    model = quality_knn.fit(quality_knn.of_sample(docs, quality_knn.sample(labels, "quality"), "quality"))
+    x = np.stack([quality_knn.features(r["text"]) for r in docs.collect()])
+    whole = quality_knn.vote(x, model)
+    assert (whole == np.concatenate([quality_knn.vote(x[i : i + 1], model) for i in range(len(x))])).all()
+    assert (whole == np.concatenate([quality_knn.vote(x[i : i + 7], model) for i in range(0, len(x), 7)])).all()
