@@ -63,3 +63,24 @@ def test_empty_sides(spark):
     for a, b in ((df, df.limit(0)), (df.limit(0), df)):
         assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(a, b).collect()) == [(1, 1, 2), (2, 1, 2)]
     assert exact_dedup.exact_dedup(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_two_batches_read_one_stored_index(spark, monkeypatch):
+    """The second batch builds no filter: the index is built once, and results are those of all rows at once."""
+    built = []
+    own = exact_dedup.build_filters
+    monkeypatch.setattr(exact_dedup, "build_filters", lambda groups: built.append(1) or own(groups))
+    rows = rows_for(random.Random(9))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    part = F.coalesce(F.col("doc_id"), F.lit(0)) % 4
+    out = exact_dedup.exact_dedup(df.where(part == 0), [df.where(part == 1), df.where(part > 1)]).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in out), key=repr) == brute(rows) and built == [1]
+    name = {sha256(str(i).encode()).hexdigest(): i for i in range(200)}
+    of = {i: d for d, i in name.items()}
+    digests = spark.createDataFrame([(i, i, of[i]) for i in range(50)], "rid long, doc_id long, digest string")
+    index = exact_dedup.build_index(digests)
+    for low in (0, 40):
+        batch = spark.createDataFrame([(i, i, of[i]) for i in range(low, low + 100)], digests.schema)
+        maybe = {name[r["digest"]] for r in exact_dedup.screen(index, batch).where("maybe").collect()}
+        assert set(range(low, 50)) <= maybe and len(maybe) <= 50 - low + 3
+    assert built == [1, 1]
