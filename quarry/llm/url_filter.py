@@ -100,11 +100,17 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def with_rates(urls: DataFrame, known: DataFrame, base: float) -> DataFrame:
-    """Suffix statistics: the smoothed share of blocked URLs among all labelled ones (``known``: suffixes, label) with that suffix. Spark broadcasts them only if they are small."""
+def with_rates(urls: DataFrame, known: DataFrame, base: float, own: bool = False) -> DataFrame:
+    """Suffix statistics: the smoothed share of blocked URLs among all labelled ones (``known``: suffixes, label) with that suffix.
+
+    With ``own``, ``urls`` are labelled ones themselves, and each one's own label is left out of its statistics: else a
+    suffix that occurs once would give the label away. Spark broadcasts the statistics only if they are small.
+    """
+    mine, one = (F.col("label"), 1) if own else (F.lit(0.0), 0)
     for c in SUFFIXES:
-        rates = known.groupBy(c).agg(((F.sum("label") + PRIOR * base) / (F.count(F.lit(1)) + PRIOR)).alias(f"{c}_rate"))
-        urls = urls.join(rates, c, "left").fillna(base, [f"{c}_rate"])
+        rates = known.groupBy(c).agg(F.sum("label").alias("_blocked"), F.count(F.lit(1)).alias("_all"))
+        rate = (F.col("_blocked") - mine + PRIOR * base) / (F.col("_all") - one + PRIOR)
+        urls = urls.join(rates, c, "left").withColumn(f"{c}_rate", F.coalesce(rate, F.lit(base))).drop("_blocked", "_all")
     return urls
 
 
@@ -139,7 +145,7 @@ def filter_urls(urls: DataFrame, labelled: DataFrame | None = None, rules=RULES)
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=7)
     parts = max(1, sum(min(n, TRAIN_ROWS) for n in counts.values()) // 2000)
     with scratch():
-        model = gbt.fit(materialize(vectors.transform(with_rates(lexical(training(known, counts).repartition(parts, "url")), known, base)).select("features", "label", "weight"), "trees"))
+        model = gbt.fit(materialize(vectors.transform(with_rates(lexical(training(known, counts).repartition(parts, "url")), known, base, own=True)).select("features", "label", "weight"), "trees"))
     open_ = with_rates(lexical(suffixes(df.where("hit IS NULL"))), known, base)
     scored = model.transform(vectors.transform(open_)).select(
         *own[:4], F.lit(None).cast("string").alias("rule"), F.when(F.col("prediction") > 0.5, "block").otherwise("allow").alias("verdict"),

@@ -65,6 +65,21 @@ def test_shards(spark, tmp_path):
     assert back.count() == len(docs) and back.select("shard").distinct().count() == 4
 
 
+def test_several_buckets_in_a_partition(spark, tmp_path, monkeypatch):
+    """Beyond PARTITIONS buckets a task takes several, one after the other; columns may have any name."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 10)
+    monkeypatch.setattr(sharding, "PARTITIONS", 6)
+    df = spark.createDataFrame([(i, f"t{i}", 1, 2, 3, 4) for i in range(500)], "doc_id long, text string, shard int, slot int, _part int, row int")
+    got = sharding.sharded(df, n_shards=7)
+    tasks = got.sparkSession.read.parquet(got.inputFiles()[0].rsplit("/", 1)[0])
+    assert tasks.count() == 50 and len(set(got.inputFiles())) <= 6
+    rows = got.collect()
+    assert sorted(r["row"]["doc_id"] for r in rows) == list(range(500)) and sorted(r["slot"] * 7 + r["shard"] for r in rows) == list(range(500))
+    sharding.write_shards(df, str(tmp_path / "s"), n_shards=3, rows_per_file=50)
+    back = spark.read.parquet(str(tmp_path / "s")).select("shard", "slot", "row.*", F.col("row.shard").alias("own"))
+    assert back.count() == 500 and {r["own"] for r in back.collect()} == {1}
+
+
 def test_op9_columns(spark):
     d = "/root/testdata/sf0.001"
     src = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
@@ -166,3 +181,14 @@ def test_shards_against_plain_fisher_yates_deal(spark):
     assert again == {(r["shard"], r["slot"]): r["row"] for r in got}
     other = {(r["shard"], r["slot"]): r["row"] for r in sharding.sharded(df, n_shards=7, seed=1).collect()}
     assert other != again
+
+
+def test_a_labelled_url_does_not_see_its_own_label(spark):
+    """Domains that occur once tell nothing about their only URL; of two, each sees the other's label."""
+    rows = [(f"https://h{i}.example{i}.com/a", f"h{i}.example{i}.com", "/a", float(i % 2)) for i in range(40)] + [(f"https://two.org/{i}", "two.org", f"/{i}", float(i)) for i in range(2)]
+    known = url_filter.suffixes(spark.createDataFrame(rows, "url string, host string, path string, label double"))
+    got = {r["url"]: r["domain_rate"] for r in url_filter.with_rates(known, known, 0.5, own=True).collect()}
+    assert all(abs(got[f"https://h{i}.example{i}.com/a"] - 0.5) < 1e-9 for i in range(40))
+    assert abs(got["https://two.org/0"] - 11 / 21) < 1e-9 and abs(got["https://two.org/1"] - 10 / 21) < 1e-9
+    new = {r["url"]: r["domain_rate"] for r in url_filter.with_rates(known.drop("label"), known, 0.5).collect()}
+    assert abs(new["https://h1.example1.com/a"] - 11 / 21) < 1e-9
