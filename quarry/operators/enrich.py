@@ -74,26 +74,28 @@ def file_summary(files: DataFrame, max_tokens: int = 150) -> DataFrame:
     )
 
 
-def _in_order(summaries: DataFrame, field: str, cap: int | None) -> DataFrame:
-    """The first ``cap`` distinct values (all without one) of an array column in a module, in the order of paths and places.
+def module_summary(summaries: DataFrame, max_tokens: int = 200) -> DataFrame:
+    """Roll-up of file summaries (module, path, purpose, exports, dependencies, domain, tags). Files count in the order of their paths.
 
-    Each value is reduced to its first place before anything is collected, so what is collected is the module's
-    vocabulary, not its files.
+    One pass: every value of every field is a row, and each is first reduced to its first place and its number, so what
+    is collected of a module is its vocabulary, not its files. Dependencies and exports are the first thirty, tags all;
+    the domain is the most frequent one (of equal ones that of the first path), the purpose that of the first path.
     """
-    seen = summaries.select("module", "path", F.posexplode(field).alias("i", "x")).groupBy("module", "x").agg(F.min(F.struct("path", "i")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("module").orderBy("at", "x"))
-    top = seen.withColumn("k", rank)
-    top = top.where(F.col("k") <= cap) if cap else top
-    return top.groupBy("module").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias(field))
-
-
-def module_summary(summaries: DataFrame, max_tokens: int = 200) -> DataFrame:
-    """Roll-up of file summaries (module, path, purpose, exports, dependencies, domain, tags). Files count in the order of their paths."""
-    counts = summaries.groupBy("module", "domain").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
-    domain = counts.groupBy("module").agg(F.min_by("domain", F.struct(-F.col("n"), "first")).alias("domain"))
-    out = summaries.groupBy("module").agg(F.count(F.lit(1)).alias("files"), F.min_by("purpose", "path").alias("purpose")).join(domain, "module")
-    for field, cap in (("dependencies", 30), ("exports", 30), ("tags", None)):
-        out = out.join(_in_order(summaries, field, cap), "module", "left").withColumn(field, F.coalesce(field, F.array().cast("array<string>")))
+    empty = F.array().cast("array<string>")
+    value = lambda name, i, x: F.struct(F.lit(name).alias("field"), i.alias("i"), x.alias("x"))
+    of_list = lambda name: F.transform(F.coalesce(name, empty), lambda x, i: value(name, i, x))
+    lists, single = ("dependencies", "exports", "tags"), ("domain", "purpose")
+    every = F.concat(F.array(*[value(c, F.lit(0), F.col(c)) for c in single]), *map(of_list, lists))
+    seen = summaries.select("module", "path", F.explode(every).alias("v")).groupBy("module", "v.field", "v.x").agg(F.min(F.struct("path", "v.i")).alias("at"), F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("module", "field")
+    order = [F.when(F.col("field") == "domain", -F.col("n")).otherwise(0), "at", "x"]
+    seen = seen.withColumn("k", F.row_number().over(own.orderBy(*order))).withColumn("files", F.sum("n").over(own))
+    cap = F.when(F.col("field").isin(*single), 1).when(F.col("field") != "tags", 30)
+    at = lambda name, c: F.when(F.col("field") == name, c)
+    listed = lambda name: F.transform(F.sort_array(F.collect_list(at(name, F.struct("k", "x")))), lambda p: p["x"]).alias(name)
+    out = seen.where(cap.isNull() | (F.col("k") <= cap)).groupBy("module").agg(
+        F.max(at("domain", F.col("files"))).alias("files"), *[F.max(at(c, F.col("x"))).alias(c) for c in single], *map(listed, lists),
+    )
     text = F.concat(F.lit("Module '"), "module", F.lit("': "), "files", F.lit(" files. Purpose: "), "purpose", F.lit(". Exports: "), F.array_join(F.slice("exports", 1, 5), ", "), F.lit("."))
     return out.withColumn("summary", truncate_tokens(text, max_tokens))
 

@@ -8,7 +8,7 @@ from ..functions.text import make_id
 from ..operators import chunking, graph, parsers
 from ..streaming import debounce as feed
 from . import fixtures
-from .common import literal, table, values
+from .common import literal, store_of, table, values
 from .retrieval import WALK
 
 
@@ -57,7 +57,9 @@ def _trade(spark, sf_dir):
 
 def neighbors_depth2(spark, sf_dir):
     nodes, edges = _trade(spark, sf_dir)
-    return graph.neighbours(nodes, edges, literal(spark, [("r1",), ("c1",)], "id string"), 2)
+    with store_of(spark) as (store, kept):  # the edges are made once, not in every step
+        store.commit(lambda c: c.append("edges", edges.select("source_id", "target_id", "kind")))
+        return kept(graph.neighbours(nodes, store.read("edges"), literal(spark, [("r1",), ("c1",)], "id string"), 2))
 
 
 def neighbors_capped(spark, sf_dir):

@@ -9,7 +9,7 @@ from ..config import RETRIEVAL
 from ..functions import rules
 from ..functions.text import estimate_tokens
 from ..operators import chunking, compress, enrich
-from .common import literal, table, values
+from .common import literal, spread, table, values
 from .fixtures import CODE
 from .retrieval import WALK
 
@@ -18,10 +18,10 @@ BUDGET = 8000
 
 def _chunks(spark, sf_dir):
     """Code fixtures, and each document as a chunk."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select(
         (F.col("doc_id") + 1000).alias("id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.lit("fallback").alias("kind"), F.lit("text").alias("language"),
         F.concat(F.lit("lines "), "doc_id").alias("title"), F.col("text").alias("content"),
-    )
+    ))
     return literal(spark, CODE, "id long, path string, kind string, language string, title string, content string").unionByName(docs)
 
 
