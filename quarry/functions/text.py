@@ -97,3 +97,17 @@ def sanitize_fts(c: Column) -> Column:
 
 def format_duration(ms: Column) -> Column:
     return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.1f", ms / 1000.0), F.lit("s")))
+
+
+#: Fixed value: instants as text, in UTC and to the millisecond.
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
+def iso_time(at: Column) -> Column:
+    """A timestamp as text, for a session in UTC."""
+    return F.date_format(at, ISO)
+
+
+def from_iso(text: Column) -> Column:
+    """The timestamp of such a text; null for anything else."""
+    return F.try_to_timestamp(text, F.lit(ISO))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL
-from ..operators import fusion, graph, lexical, lookup, models, vectors
+from ..functions.text import from_iso, iso_time
+from ..operators import cells, fusion, graph, lexical, lookup, models, vectors
 from ..streaming import debounce as feed
 from .common import literal, store_of, table
 from .lookups import CHUNK, _chunks
-from .search import NOW, QUERY_TERMS, _asked, _cache, _fused, _H, _merged, _vectors
+from .search import NOW, QUERY_TERMS, _asked, _cache, _fused, _H, _knn, _merged, _vectors
 from .structure import TRADE, _trade
 from .understanding import FILE, _summaries
 
@@ -55,6 +56,20 @@ def graph_sink(spark, sf_dir):
         return kept(e.join(n.select(F.col("id").alias("target_id"), F.col("kind").alias("target_kind")), "target_id", "kept").groupBy("kind", "target_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("weight")))
 
 
+def collection_status(spark, sf_dir):
+    """The number of rows of each collection of a store, or "missing"."""
+    with store_of(spark) as (store, _):
+        store.commit(lambda c: (c.upsert("vectors", _vectors(spark, sf_dir), ["id"]), c.append("pages", table(spark, sf_dir, "pages").select("page_id", "url"))))
+        found = store.status(["vectors", "pages", "summaries"])
+    return literal(spark, [(n, "missing" if k is None else str(k)) for n, k in found.items()], "name string, status string")
+
+
+def iso_stamps(spark, sf_dir):
+    """Instants as text and back, and rows as JSON."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", iso_time(F.col("ts")).alias("stamp"))
+    return e.select("event_id", "stamp", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), "stamp")).alias("json"), F.unix_millis(from_iso(F.col("stamp"))).alias("ms"))
+
+
 def metrics_append(spark, sf_dir):
     """A log of runs in two appends, each delivered twice; only the first delivery counts."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.floor("value").cast("long").alias("ms"))
@@ -101,6 +116,13 @@ class Hashing:
         return out
 
 
+def knn_cells(spark, sf_dir):
+    """All stated queries against all vectors over stored cells; the same rows as comparing everything."""
+    with store_of(spark) as (store, kept):
+        out, _ = cells.Cells(store).build(_vectors(spark, sf_dir)).search(_asked(spark, sf_dir), 20)
+        return kept(out)
+
+
 def model_embed(spark, sf_dir):
     """Benchmark texts through the embedder protocol: batches, planned failures, further attempts."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
@@ -195,7 +217,7 @@ def project_summaries(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    summaries_sink, vectors_sink, graph_sink, metrics_append, applied_changes, model_embed, embed_cached, rerank_hybrid, rerank_unavailable, hybrid_content,
+    summaries_sink, vectors_sink, graph_sink, collection_status, iso_stamps, metrics_append, applied_changes, knn_cells, model_embed, embed_cached, rerank_hybrid, rerank_unavailable, hybrid_content,
     fixed_batches_stream, cache_invalidated, cache_cleared, expand_nodes, expand_edges, edges_out, project_summaries,
 )}
 
@@ -211,8 +233,11 @@ ORACLE = {
     "summaries_sink": f"WITH {FILE} SELECT path, purpose, domain FROM fs WHERE NOT starts_with(path, 'src3/')",
     "vectors_sink": "SELECT vec_id AS id, label, round(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END * list_sum(CAST(embedding AS DOUBLE[])), 4) + 0 AS total FROM embeddings WHERE vec_id % 50 IN (0, 1) AND label <> 3",
     "graph_sink": f"WITH {TRADE}, nk AS (SELECT id, CASE id[1] WHEN 'r' THEN 'region' WHEN 'n' THEN 'nation' WHEN 'c' THEN 'customer' ELSE 'supplier' END AS target_kind FROM no) SELECT k AS kind, target_kind, count(*) AS n, round(sum(CASE WHEN k = 'contains' THEN 1::DOUBLE ELSE 1.8::DOUBLE END), 3) AS weight FROM ed LEFT JOIN nk ON id = t GROUP BY ALL",
+    "collection_status": "SELECT 'vectors' AS name, CAST(count(*) AS VARCHAR) AS status FROM embeddings UNION ALL SELECT 'pages', CAST(count(*) AS VARCHAR) FROM pages UNION ALL SELECT 'summaries', 'missing'",
+    "iso_stamps": """SELECT event_id, stamp, '{"id":' || event_id || ',"type":"' || event_type || '","stamp":"' || stamp || '"}' AS json, epoch_ms(ts) AS ms FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM events)""",
     "metrics_append": "SELECT event_type, CAST(event_id % 2 AS INT) AS batch, count(*) AS runs, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS ms FROM events GROUP BY ALL",
     "applied_changes": "SELECT user_id AS key, event_id, event_type AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'",
+    "knn_cells": f"WITH {_knn(20)} SELECT * FROM r",
     "model_embed": f"WITH {_H(16, ('text', 'benchmark'), 'item_id')}, a AS (SELECT item_id, unnest(range(16)) AS dim FROM benchmark) SELECT item_id, CAST(a.dim AS INT) AS dim, round(coalesce(x / n, 0), 6) AS x FROM a LEFT JOIN raw USING (item_id, dim) LEFT JOIN n USING (item_id)",
     "embed_cached": "SELECT 1 AS run, count(DISTINCT text) AS entries FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 2, count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) HAVING count(*) > 0 UNION ALL SELECT 0, count(*) FROM documents",
     "rerank_hybrid": f"WITH {_fused('1 - {}')}, c AS (SELECT query_id, id, b.score, list_sum(list_transform(string_split(w, ' '), lambda x: CAST(contains(text, x) AS INT))) / len(string_split(w, ' ')) AS rr FROM b JOIN {_QUERY} ON i = (query_id // 50) % {len(QUERY_TERMS)} JOIN documents ON doc_id = id WHERE rank <= 50) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rr, 6) DESC, score DESC, id) AS INT) AS rank, id, CAST(round(rr, 6) AS DOUBLE) AS rerank_score, score FROM c QUALIFY rank <= 10",

@@ -12,11 +12,11 @@ IGNORE_FILES = (".gitignore", ".ragignore")
 
 
 def scan_directory(spark: SparkSession, root: str, extra_ignored: list[str] = (), max_bytes: int = MAX_BYTES, include_binary: bool = False) -> DataFrame:
-    """A row for each file under ``root`` that neither its ignore files nor the fixed and extra patterns leave out: path, relative_path, content, hash, size, language and the rest of its fingerprint."""
+    """A row for each file under ``root`` that neither its ignore files, the extra patterns nor the fixed ones leave out (in this order, so that nothing takes back in what the fixed ones exclude): path, relative_path, content, hash, size, language and the rest of its fingerprint."""
     base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
     raw = raw.withColumn("relative_path", F.expr(f"substring(path, {len(base) + 2})"))
-    raw = raw.where(~files.ignored(F.col("relative_path"), [*ignore_lines(spark, root), *files.IGNORED, *extra_ignored]))
+    raw = raw.where(~files.ignored(F.col("relative_path"), [*ignore_lines(spark, root), *extra_ignored, *files.IGNORED]))
     return fingerprints(raw.withColumn("modified_time", F.unix_millis("modificationTime").cast("double")), include_binary)
 
 

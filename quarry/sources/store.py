@@ -84,6 +84,11 @@ class Store:
         paths = [f"{self.root}/{p}" for b, ps in sorted(own["parts"].items()) if buckets is None or int(b) in buckets for p in ps]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def status(self, names: list[str]) -> dict[str, int | None]:
+        """The number of rows of each table; None for those that are missing."""
+        manifest = self.manifest()
+        return {n: None if (t := self.read(n, manifest=manifest)) is None else t.count() for n in names}
+
     def lookup(self, name: str, wanted: DataFrame) -> DataFrame | None:
         """The rows of a keyed table whose keys are among ``wanted``; only their buckets are read."""
         manifest = self.manifest()

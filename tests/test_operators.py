@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import files
-from quarry.operators import chunking, compress, enrich, fusion, graph, lexical, models, parsers, vectors
+from quarry.operators import cells, chunking, compress, enrich, fusion, graph, lexical, models, parsers, vectors
 from quarry.sources import scan
 from quarry.sources.store import Store
 from quarry.streaming import debounce as feed
@@ -416,3 +416,22 @@ def test_reranker_protocol(spark):
     assert pick(models.reranked(c, down, 2, rows=4, wait=0.0)) == {(1, 1): 5, (1, 2): 4, (2, 1): 0, (2, 2): 1}
     assert pick(models.reranked(c, down, 1, available=lambda: False)) == {(1, 1): 0, (2, 1): 0}
     assert models.reranked(c.limit(0), down, 2).count() == 0
+
+
+def test_cells_compare_less_and_find_the_same(spark, tmp_path):
+    """Clustered vectors, ties, zero and null vectors and queries, another length: the rows of the plain search, from a part of the products."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hubs = rng.normal(size=(12, 8))
+    v = [(i, (hubs[i % 12] + 0.05 * rng.normal(size=8)).tolist()) for i in range(600)]
+    v += [(600, [0.0] * 8), (601, None), (602, [1.0]), (603, v[0][1]), (604, v[0][1])]
+    vs = spark.createDataFrame(v, "id long, embedding array<double>").repartition(3)
+    qs = spark.createDataFrame([(i, v[i][1]) for i in range(0, 600, 50)] + [(1000, [0.0] * 8)], "query_id long, vector array<double>")
+    index = cells.Cells(Store(spark, str(tmp_path))).build(vs)
+    out, pairs = index.search(qs, 7)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    assert rows(out) == rows(vectors.top_k(qs, vs, 7))
+    by = {r["query_id"]: r["n"] for r in pairs.groupBy("query_id").agg(F.sum("n").alias("n")).collect()}
+    assert by.pop(1000) == 603 and max(by.values()) < 250
+    assert cells.Cells(Store(spark, str(tmp_path / "none"))).build(vs.limit(0)).search(qs, 3)[0].count() == 0
