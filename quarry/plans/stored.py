@@ -234,7 +234,7 @@ ORACLE = {
     "vectors_sink": "SELECT vec_id AS id, label, round(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END * list_sum(CAST(embedding AS DOUBLE[])), 4) + 0 AS total FROM embeddings WHERE vec_id % 50 IN (0, 1) AND label <> 3",
     "graph_sink": f"WITH {TRADE}, nk AS (SELECT id, CASE id[1] WHEN 'r' THEN 'region' WHEN 'n' THEN 'nation' WHEN 'c' THEN 'customer' ELSE 'supplier' END AS target_kind FROM no) SELECT k AS kind, target_kind, count(*) AS n, round(sum(CASE WHEN k = 'contains' THEN 1::DOUBLE ELSE 1.8::DOUBLE END), 3) AS weight FROM ed LEFT JOIN nk ON id = t GROUP BY ALL",
     "collection_status": "SELECT 'vectors' AS name, CAST(count(*) AS VARCHAR) AS status FROM embeddings UNION ALL SELECT 'pages', CAST(count(*) AS VARCHAR) FROM pages UNION ALL SELECT 'summaries', 'missing'",
-    "iso_stamps": """SELECT event_id, stamp, '{"id":' || event_id || ',"type":"' || event_type || '","stamp":"' || stamp || '"}' AS json, epoch_ms(ts) AS ms FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM events)""",
+    "iso_stamps": """SELECT event_id, stamp, '{"id":' || event_id || ',"type":"' || event_type || '","stamp":"' || stamp || '"}' AS json, epoch_us(ts) // 1000 AS ms FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM events)""",
     "metrics_append": "SELECT event_type, CAST(event_id % 2 AS INT) AS batch, count(*) AS runs, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS ms FROM events GROUP BY ALL",
     "applied_changes": "SELECT user_id AS key, event_id, event_type AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'",
     "knn_cells": f"WITH {_knn(20)} SELECT * FROM r",
