@@ -124,6 +124,35 @@ SCORE = """dfs AS (SELECT query_id, asked, count(*) AS df FROM hit GROUP BY ALL)
 sc AS (SELECT query_id, id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM hit JOIN dfs USING (query_id, asked) JOIN len USING (id) CROSS JOIN st GROUP BY ALL),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM sc QUALIFY rank <= 20)"""
 HIT = "hit AS (SELECT query_id, asked, id, tf FROM ask JOIN post ON asked = term)"
+
+
+def _stems(words: str) -> str:
+    """CTEs that give ``stems`` (t, stem) for the terms t of table ``words``: Porter's steps as regular expressions over runs of consonants and vowels."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    some, two, one = f"^({c})?{v}{c}", f"^({c})?{v}{c}{v}{c}", f"^({c})?{v}{c}({v})?$"
+    vowel, short = f"^({c})?[aeiouy]", f"^{c}[aeiouy][^aeiouwxy]$"
+    has = lambda x, p: f"regexp_matches({x}, '{p}')"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    ends = lambda s: f"ends_with(w, '{s}')"
+    double = "length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND right(w, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'y')"
+    order = lambda table: sorted(table, key=lambda x: -len(x[0]))
+    swap = lambda table: "CASE " + " ".join(f"WHEN {ends(s)} THEN CASE WHEN {has(cut(len(s)), some)} THEN {cut(len(s))} || '{to}' ELSE w END" for s, to in order(table)) + " ELSE w END"
+    drop = order([(s, "") for s in [*lexical._STEP4, "ion"]])
+    steps = [
+        f"CASE WHEN {ends('sses')} OR {ends('ies')} THEN {cut(2)} WHEN {ends('s')} AND NOT {ends('ss')} THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {ends('eed')} THEN CASE WHEN {has(cut(3), some)} THEN {cut(1)} ELSE w END WHEN {ends('ed')} AND {has(cut(2), vowel)} THEN '+' || {cut(2)} WHEN {ends('ing')} AND {has(cut(3), vowel)} THEN '+' || {cut(3)} ELSE w END",
+        f"CASE WHEN NOT starts_with(x, '+') THEN w WHEN {ends('at')} OR {ends('bl')} OR {ends('iz')} THEN w || 'e' WHEN {double} AND right(w, 1) NOT IN ('l', 's', 'z') THEN {cut(1)} WHEN {has('w', one)} AND {has('w', short)} THEN w || 'e' ELSE w END",
+        f"CASE WHEN {ends('y')} AND {has(cut(1), vowel)} THEN {cut(1)} || 'i' ELSE w END", swap(lexical._STEP2), swap(lexical._STEP3),
+        "CASE " + " ".join(f"WHEN {ends(s)} THEN CASE WHEN {has(cut(len(s)), two)}" + (f" AND right({cut(3)}, 1) IN ('s', 't')" if s == "ion" else "") + f" THEN {cut(len(s))} ELSE w END" for s, _ in drop) + " ELSE w END",
+        f"CASE WHEN {ends('e')} AND ({has(cut(1), two)} OR {has(cut(1), one)} AND NOT {has(cut(1), short)}) THEN {cut(1)} ELSE w END", f"CASE WHEN {has('w', two)} AND {double} AND {ends('l')} THEN {cut(1)} ELSE w END",
+    ]
+    out = f"p0 AS (SELECT t, regexp_replace(t, '^y', 'Y') AS w, '' AS x FROM {words} WHERE regexp_matches(t, '^[a-z]{{3,}}$'))"
+    for i, step in enumerate(steps, 1):
+        own = f"SELECT t, {step} AS x FROM p{i - 1}"
+        out += f", p{i} AS (SELECT t, ltrim(x, '+') AS w, x FROM ({own}))"
+    return f"{out}, stems AS (SELECT t, lower(w) AS stem FROM p{len(steps)} UNION ALL SELECT t, t FROM {words} WHERE NOT regexp_matches(t, '^[a-z]{{3,}}$'))"
+
+
 _SECTIONS = "(VALUES " + ", ".join(f"({a}, '{b}', {c}, '{d}', {e}, '{f}')" for a, b, c, d, e, f in SECTIONS) + ") AS t(document_id, type, pos, title, level, content)"
 ORACLE = {
     "line_block_chunks": f"WITH {WALK} SELECT * FROM o",
@@ -154,5 +183,6 @@ UNION ALL SELECT document_id, pos, part, 'paragraph', title || ' (part ' || (par
     "bm25_multi_query": f"WITH {INDEX}, {ASKED}, ask AS (SELECT DISTINCT query_id, unnest({TERMS.format('query')}) AS asked FROM q), {HIT}, {SCORE} SELECT query_id, id, score, rank FROM top",
     "fts_stored": f"WITH {INDEX.replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 7)')}, {ASKED}, ask AS (SELECT DISTINCT query_id, unnest({TERMS.format('query')}) AS asked FROM q), {HIT}, {SCORE} SELECT query_id, id, score, rank FROM top",
     "fts_dictionary": f"WITH {INDEX} SELECT term, count(*) AS df FROM post GROUP BY term",
+    "fts_porter": f"WITH {INDEX.replace(TERMS.format('text'), TERMS.format('strip_accents(text)'))}, {ASKED}, qt AS (SELECT DISTINCT query_id, unnest({TERMS.format('strip_accents(query)')}) AS t FROM q), tw AS (SELECT term AS t FROM post UNION SELECT t FROM qt), {_stems('tw')}, ask AS (SELECT DISTINCT query_id, stem AS asked FROM qt JOIN stems USING (t)), hit AS (SELECT query_id, asked, id, CAST(sum(tf) AS BIGINT) AS tf FROM ask JOIN stems ON stem = asked JOIN post ON term = t GROUP BY ALL), {SCORE} SELECT query_id, id, score, rank FROM top",
     "fts_prefix": f"WITH {INDEX}, ask AS (SELECT CAST(i AS BIGINT) AS query_id, a AS asked FROM (VALUES (1, 'tho'), (2, 'zu'), (3, 'zzzz')) AS t(i, a)), hit AS (SELECT query_id, asked, id, CAST(sum(tf) AS BIGINT) AS tf FROM ask JOIN post ON starts_with(term, asked) GROUP BY ALL), {SCORE} SELECT query_id, id, score, rank FROM top",
 }
