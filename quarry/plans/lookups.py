@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import make_id
 from ..operators import chunking, enrich, fusion, graph, lookup, parsers, vectors
-from .common import literal, table, values
+from .common import literal, spread, table, values
+from .retrieval import ORACLE as RETRIEVED
 from .retrieval import WALK
 from .search import _asked, _knn, _vectors
-from .structure import TRADE, _trade
+from .structure import _CELL, _STRIP, TRADE, _trade
 from .understanding import FILE, _summaries
 
 
@@ -80,13 +81,22 @@ def chunk_dispatch(spark, sf_dir):
     return chunking.chunk_documents(d, sections=sections).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"), F.sum(F.length("content")).alias("chars"))
 
 
-def parse_dispatch(spark, sf_dir):
-    """Every document as a CSV, Markdown or plain file by its id: the parser that each got, and the number of its sections."""
-    d = table(spark, sf_dir, "documents")
+def _as_files(spark, sf_dir):
+    """Every document as a CSV, Markdown or plain file by its id."""
+    d = spread(table(spark, sf_dir, "documents"))
     language = F.when(F.col("doc_id") % 3 == 0, "markdown").when(F.col("doc_id") % 3 == 1, "csv").otherwise("text")
     body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# One\n"), F.replace("text", F.lit("#"), F.lit("")), F.lit("\n## Two\nend"))).otherwise(F.col("text"))
-    files = d.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), "doc_id").alias("path"), language.alias("language"), (F.col("doc_id") % 7 == 0).alias("is_binary"), body.alias("content"))
-    return parsers.parse(files).where("language <> 'text'").groupBy("id", "type").agg(F.count(F.lit(1)).alias("sections"))
+    return d.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), "doc_id").alias("path"), language.alias("language"), (F.col("doc_id") % 7 == 0).alias("is_binary"), body.alias("content"))
+
+
+def parse_dispatch(spark, sf_dir):
+    """The parser that each file got, and the number of its sections."""
+    return parsers.parse(_as_files(spark, sf_dir)).where("language <> 'text'").groupBy("id", "type").agg(F.count(F.lit(1)).alias("sections"))
+
+
+def parse_texts(spark, sf_dir):
+    """Every section of every file, plain text too, with its text."""
+    return parsers.parse(_as_files(spark, sf_dir)).select("id", "type", "pos", "title", F.md5(F.col("content").cast("binary")).alias("md5"))
 
 
 def filtered_search(spark, sf_dir):
@@ -111,9 +121,11 @@ def neighbour_edges(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    point_lookup, node_lookup, fingerprint_match, summary_reads, vector_payload, fixed_batches, embedding_input, rerank_input, chunk_dispatch, parse_dispatch,
+    point_lookup, node_lookup, fingerprint_match, summary_reads, vector_payload, fixed_batches, embedding_input, rerank_input, chunk_dispatch, parse_dispatch, parse_texts,
     filtered_search, rerank_scored, neighbour_edges,
 )}
+_FALLBACK = RETRIEVED["fallback_segments"].replace("length(c) AS chars FROM g", "length(c) AS chars, c FROM g").replace("b[2] AS end_line, chars FROM k", "b[2] AS end_line, chars, c FROM k").replace("least(length(text), 2000) FROM d", "least(length(text), 2000), substr(text, 1, 2000) FROM d")
+_SEGMENTS = _FALLBACK[: _FALLBACK.rindex("SELECT doc_id AS document_id")].rstrip() + ", sg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_line) - 1 AS pos, c FROM a)"
 _EDGE = "'edge_' || substr(sha256(s || ':' || t || ':' || k), 1, 16)"
 ORACLE = {
     "point_lookup": f"WITH {CHUNK} SELECT chunk_id AS id, relative_path, tokens, md5(content) AS md5 FROM ck WHERE idx = 0 AND document_id % 50 = 0",
@@ -138,6 +150,12 @@ al AS (SELECT doc_id AS id, 'fallback' AS kind, length(c) AS chars FROM k UNION
   UNION ALL SELECT id, 'paragraph', length(regexp_replace(x, '^\s+|\s+$', '', 'g')) FROM pa WHERE NOT last OR length(trim(x)) > 0 AND ceil(length(x) / 4) >= 20)
 SELECT id AS document_id, count(*) AS n, max(kind) AS kind, CAST(sum(chars) AS BIGINT) AS chars FROM al GROUP BY id""",
     "parse_dispatch": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'documentation' ELSE 'data' END AS type, CAST(2 AS BIGINT) AS sections FROM documents WHERE doc_id % 7 > 0 AND doc_id % 3 < 2",
+    "parse_texts": f"""{_SEGMENTS}, c AS (SELECT doc_id AS id, list_filter(string_split(text, chr(10)), lambda x: {_STRIP('x')} <> '') AS l FROM documents WHERE doc_id % 3 = 1),
+h AS (SELECT id, coalesce({_CELL('l[1]')}, []) AS h, greatest(len(l) - 1, 0) AS n, list_transform(l[2:6], lambda r: array_to_string({_CELL('r')}, ' | ')) AS r FROM c),
+al AS (SELECT doc_id AS id, 'unknown' AS type, pos, 'segment_' || pos AS title, c AS content FROM sg WHERE doc_id % 3 = 2
+UNION ALL SELECT id, 'data', 0, 'Schema', 'Headers: ' || array_to_string(h, ', ') || chr(10) || 'Row count: ' || n FROM h UNION ALL SELECT id, 'data', 1, 'Sample Data', array_to_string(list_concat([array_to_string(h, ' | ')], r), chr(10)) FROM h
+UNION ALL SELECT doc_id, 'documentation', 0, 'One', '# One' || chr(10) || replace(text, '#', '') FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'documentation', 1, 'Two', '## Two' || chr(10) || 'end' FROM documents WHERE doc_id % 3 = 0)
+SELECT id, type, CAST(pos AS INT) AS pos, title, md5(content) AS md5 FROM al WHERE id % 7 > 0""",
     "filtered_search": f"WITH {_knn(20, pool='v.label IN (2, 4, 6) AND v.id % 3 = 0')} SELECT * FROM r WHERE score >= 0.3",
     "rerank_scored": f"WITH c AS (SELECT item_id AS query_id, id, round(-CAST(levenshtein(substr(b.text, 1, 20), t.text) AS DOUBLE), 6) AS rerank_score FROM benchmark b JOIN {values([(i, t) for i, t in enumerate(('the way', 'el camino', 'a path', 'Wege'))], 'id, text')} ON true WHERE item_id % 50 = 0) SELECT query_id, CAST(id AS BIGINT) AS id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS INT) AS rank, rerank_score FROM c QUALIFY rank <= 2",
     "neighbour_edges": f"WITH {TRADE} SELECT {_EDGE} AS id, s AS source_id, t AS target_id, k AS kind FROM ed WHERE s IN ('n1', 's1') OR t IN ('n1', 's1')",

@@ -435,3 +435,14 @@ def test_cells_compare_less_and_find_the_same(spark, tmp_path):
     by = {r["query_id"]: r["n"] for r in pairs.groupBy("query_id").agg(F.sum("n").alias("n")).collect()}
     assert by.pop(1000) == 603 and max(by.values()) < 250
     assert cells.Cells(Store(spark, str(tmp_path / "none"))).build(vs.limit(0)).search(qs, 3)[0].count() == 0
+
+
+def test_a_registered_parser_goes_first(spark):
+    """A parser of one's own for a new language, and in place of one that is there."""
+    files_ = spark.createDataFrame([(1, "a.props", "props", False, "a=1\n\nb=2"), (2, "b.csv", "csv", False, "id,name\n1,x")], "id long, path string, language string, is_binary boolean, content string")
+    assert {(r["id"], r["type"]) for r in parsers.parse(files_).collect()} == {(1, "unknown"), (2, "data")}
+    parsers.register(("props", "csv"), "config", parsers.blank_line_blocks)
+    try:
+        assert [(r["id"], r["type"], r["title"]) for r in parsers.parse(files_).orderBy("id", "pos").collect()] == [(1, "config", "block_0"), (1, "config", "block_1"), (2, "config", "block_0")]
+    finally:
+        parsers.PARSERS.pop(0)
