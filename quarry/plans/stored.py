@@ -53,7 +53,7 @@ def graph_sink(spark, sf_dir):
         heavier = edges.where("kind = 'depends_on'").select("source_id", "target_id", "kind", (F.col("weight") + 1).alias("weight"))
         store.commit(lambda c: c.upsert("edges", heavier, ["source_id", "target_id", "kind"]))
         n, e = store.read("nodes"), store.read("edges")
-        return kept(e.join(n.select(F.col("id").alias("target_id"), F.col("kind").alias("target_kind")), "target_id", "kept").groupBy("kind", "target_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("weight")))
+        return kept(e.join(n.select(F.col("id").alias("target_id"), F.col("kind").alias("target_kind")), "target_id", "left").groupBy("kind", "target_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("weight")))
 
 
 def collection_status(spark, sf_dir):
@@ -155,7 +155,7 @@ def _candidates(spark, sf_dir):
     words = literal(spark, list(_words().items()), "n long, query string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     named = _merged(spark, sf_dir).withColumn("n", F.floor(F.col("query_id") / 50) % len(QUERY_TERMS)).join(words, "n")
-    return named.join(docs, "id", "kept").select("query_id", "query", "id", "text", "score")
+    return named.join(docs, "id", "left").select("query_id", "query", "id", "text", "score")
 
 
 def rerank_hybrid(spark, sf_dir):
