@@ -43,6 +43,21 @@ def parities(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
+def fine_parities(h: np.ndarray) -> bytes:
+    """Parities of at least twice as many classes as the set has hashes, so that they tell large sets apart too."""
+    bits = max(64, 1 << (2 * len(h)).bit_length())
+    at = ((h * _ODD) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many parities two sets differ, at the coarser of their classes: never more than in hashes."""
+    x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8), bitorder="little") for v in sorted((a, b), key=len))
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1)
+    return int((x ^ y).sum())
+
+
 def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles by which a set meets every set that is similar enough: the first ones by frequency (of ``common``, sorted; others come first), then by hash."""
     if not len(h):
@@ -97,7 +112,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """file, place, doc_id, fp (the set's hash), n (its size), f (its SimHash), the parities and the prefix of every row."""
+    """file, place, doc_id, fp (the set's hash), n (its size), f (its SimHash), the parities (and finer ones) and the prefix of every row."""
     kind = docs.schema["row"].dataType["doc_id"].dataType.simpleString()
     common, counts = frequent(docs)
 
@@ -106,10 +121,10 @@ def _sketched(docs: DataFrame) -> DataFrame:
             sets = [shingles(t.as_py()) for t in batch.column("text")]
             odd = np.array([parities(h) for h in sets]).reshape(-1, WORDS)
             f = np.fromiter((simhash.majority(h) for h in sets), dtype=np.uint64, count=len(sets)).view(np.int64)
-            cols = [_ids(sets), pa.array([len(h) for h in sets], pa.int64()), pa.array(f), *map(pa.array, np.ascontiguousarray(odd.T)), _lists([prefix(h, common, counts) for h in sets])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "place", "doc_id")), *cols], ["file", "place", "doc_id", "fp", "n", "f", *NAMES, "prefix"])
+            cols = [_ids(sets), pa.array([len(h) for h in sets], pa.int64()), pa.array(f), *map(pa.array, np.ascontiguousarray(odd.T)), pa.array([fine_parities(h) for h in sets], pa.binary()), _lists([prefix(h, common, counts) for h in sets])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "place", "doc_id")), *cols], ["file", "place", "doc_id", "fp", "n", "f", *NAMES, "fine", "prefix"])
 
-    schema = f"file long, place long, doc_id {kind}, fp long, n long, f long, " + ", ".join(f"{c} long" for c in NAMES) + ", prefix array<long>"
+    schema = f"file long, place long, doc_id {kind}, fp long, n long, f long, " + ", ".join(f"{c} long" for c in NAMES) + ", fine binary, prefix array<long>"
     return materialize(docs.select("file", "place", "row.doc_id", "row.text").mapInArrow(run, schema), "sketched")
 
 
@@ -139,6 +154,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(similarity(sets[u], sets[v]) >= SIMILARITY)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    def close(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("nu", "nv", "a", "b")))
+            keep = [apart(a, b) <= (nu + nv) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9 for nu, nv, a, b in rows]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    # First by parities as many as the sets are large, which nearly all other pairs fail, then by the texts of those left.
+    a, b = (nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(t)) for k, t in (("u", "a"), ("v", "b")))
+    pairs = materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "a", "b").mapInArrow(close, "u long, v long"), "close")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     need = ids.join(nodes.select("fp", "least.file", "least.place"), "fp")
     with scratch() as keep:
@@ -162,19 +186,19 @@ def _grouped(nodes: DataFrame) -> DataFrame:
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """key, fp, size and parities for each shingle of a prefix that another prefix has too. Most shingles are one set's own and go here."""
+    """key and fp for each shingle of a prefix that another prefix has too. Most shingles are one set's own and go here."""
     keyed = nodes.select("fp", F.explode("prefix").alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    own = materialize(keyed.join(several.hint("merge"), "key").select("key", "fp"), "shared")
-    return materialize(own.join(nodes.select("fp", "n", *NAMES), "fp"), "placed")
+    return materialize(keyed.join(several.hint("merge"), "key").select("key", "fp"), "shared")
 
 
-def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """``shared`` with ``root``, the component by the links ``found``, where a key has several of them."""
+def _mixed(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``shared`` with ``root``, the component by the links ``found``, size and parities, where a key has several components. Most have one and go before rows get wide."""
     roots = components(found).withColumnRenamed("u", "fp")
     rooted = materialize(shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     keys = materialize(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "keys")
-    return materialize(rooted.join(keys.hint("merge"), "key"), "mixed")
+    left = materialize(rooted.join(keys.hint("merge"), "key"), "left")
+    return materialize(left.join(nodes.select("fp", "n", *NAMES), "fp"), "mixed")
 
 
 def _stars(mixed: DataFrame) -> DataFrame:
@@ -201,7 +225,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     found = _verified(materialize(_grouped(nodes), "near"), nodes, docs)
     shared = _shared(nodes)
     for tag, step in (("stars", _stars), ("pairs", _pairs)):
-        found = found.unionByName(_verified(materialize(step(_mixed(shared, found)), tag), nodes, docs))
+        found = found.unionByName(_verified(materialize(step(_mixed(shared, nodes, found)), tag), nodes, docs))
     return found
 
 
@@ -222,7 +246,7 @@ def _kept(located: DataFrame) -> DataFrame:
     """file and place of the rows that stay."""
     rows = _sketched(located)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place")).alias("least")
-    nodes = materialize(rows.groupBy("fp").agg(least, *[F.first(c).alias(c) for c in ("n", "f", *NAMES, "prefix")]), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(least, *[F.first(c).alias(c) for c in ("n", "f", *NAMES, "fine", "prefix")]), "nodes")
     roots = components(links(nodes, located)).withColumnRenamed("u", "fp")
     kept = nodes.select("fp", "least").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select("least.file", "least.place")
     return materialize(kept, "kept")

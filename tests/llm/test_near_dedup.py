@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quarry.llm import near_dedup
 
@@ -96,3 +98,18 @@ def test_a_family_and_a_shared_passage(spark):
     for i in range(300, 600):  # different texts with one passage: none may go
         rows.append((i, " ".join([f"u{rnd.randrange(10**7)}" for _ in range(rnd.randrange(40, 120))] + passage)))
     assert kept(frame(spark, rows)) == brute(rows)
+
+
+def test_parities_never_exceed_the_difference():
+    """Both bitmaps are lower bounds of the symmetric difference, also between sets of different classes of size."""
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 40, 63, 64, 65, 500, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for share in (0.0, 0.1, 0.3, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) >= share], rng.integers(0, 2**63, int(n * share * 1.5)).astype(np.uint64)]))
+            d = len(np.setxor1d(a, b))
+            assert near_dedup.apart(near_dedup.fine_parities(a), near_dedup.fine_parities(b)) <= d
+            x, y = near_dedup.parities(a), near_dedup.parities(b)
+            assert np.unpackbits((x ^ y).view(np.uint8)).sum() <= d
+    far = [np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)) for _ in range(2)]
+    assert near_dedup.apart(*map(near_dedup.fine_parities, far)) > 10_000 / 9
