@@ -23,6 +23,7 @@ ORACLE = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_quality_rules": quality_rules.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_vector_codes": vector_codes.SQL,
     "op12_secret_scan": secret_scan.SQL,
     "op13_fill_in_middle": fill_middle.SQL,
 }

@@ -286,3 +286,25 @@ def op11_vector_codes(spark, sf_dir):
     return with_label_error(coded).select(
         F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"),
     )
+
+
+def _sql() -> str:
+    """The same by plain rounds that compare everything."""
+    d = "CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT)"
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (SELECT r, part, e[part * len(e) // {PARTS} + 1 : (part + 1) * len(e) // {PARTS}] AS x FROM v, (SELECT unnest(range({PARTS})) AS part)),
+s AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS entry, min(e) AS e FROM v GROUP BY vec_id ORDER BY entry LIMIT {ENTRIES}),
+c0 AS MATERIALIZED (SELECT part, entry, e[part * len(e) // {PARTS} + 1 : (part + 1) * len(e) // {PARTS}] AS c FROM s, (SELECT unnest(range({PARTS})) AS part))"""
+    for k in range(ROUNDS + 1):
+        out += f""",
+a{k} AS MATERIALIZED (SELECT r, part, any_value(x) AS x, arg_min(entry, struct_pack(d := d, entry := entry)) AS entry, min(d) AS d FROM (SELECT r, part, x, entry, {d} AS d FROM p JOIN c{k} USING (part)) GROUP BY r, part)"""
+        if k < ROUNDS:
+            out += f""",
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{k} LEFT JOIN (SELECT part, entry, list(f ORDER BY pos) AS m FROM (SELECT part, entry, pos, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS f FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS pos FROM a{k}) GROUP BY part, entry, pos) GROUP BY part, entry) USING (part, entry))"""
+    return out + f""",
+o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c{ROUNDS}) AS codebooks_sha256 FROM v JOIN o USING (r)"""
+
+
+SQL = _sql()
