@@ -63,9 +63,13 @@ class Index:
     def __init__(self, store: Store, name: str = "fts", folded: bool = False, stemmed: bool = False):
         self.store, self.name, self.folded, self.stemmed = store, name, folded, stemmed
 
-    def write(self, docs: DataFrame, queries: DataFrame | None = None) -> Index:
-        """The index of ``docs`` (id, text) alone. With ``queries`` it serves these alone: it has only the terms that they ask for."""
-        return self._commit(lambda c: (self._clear(c), self._add(c, docs, queries)))
+    def write(self, docs: DataFrame, queries: DataFrame | None = None, order: str | None = None, unique: bool = False) -> Index:
+        """The index of ``docs`` (id, text) alone. With ``queries`` it serves these alone: it has only the terms that they ask for.
+
+        Of several rows with one id the last counts, as in ``upsert``; ``unique`` says that there are none, and spares
+        the shuffle of the texts that finds them.
+        """
+        return self._commit(lambda c: (self._clear(c), self._add(c, docs if unique else last_of(docs, ["id"], order), queries)))
 
     def upsert(self, docs: DataFrame, order: str | None = None, stream: str | None = None, batch_id: int | None = None) -> Index:
         """Documents take the place of those with their ids; of several with one id the last by ``order`` counts (without it, the greatest text)."""
@@ -79,8 +83,7 @@ class Index:
 
         def change(c: Commit) -> None:
             postings, length = (self._live(c.read(f"{self.name}-{part}"), c.manifest).drop("segment") for part in ("postings", "lengths"))
-            postings, length = c._staged(postings), c._staged(length)
-            self._clear(c)
+            self._clear(c)  # the manifest's lists only: what was read above stays
             self._append(c, postings, length)
 
         return self._commit(change)
@@ -102,20 +105,23 @@ class Index:
 
     def _add(self, c: Commit, docs: DataFrame, queries: DataFrame | None = None) -> None:
         docs = docs.select("id", (fold(F.col("text")) if self.folded else F.col("text")).alias("text"))
-        self._append(c, c._staged(postings(docs, queries)), lengths(docs))
+        self._append(c, postings(docs, queries), lengths(docs))
 
     def _append(self, c: Commit, rows: DataFrame, length: DataFrame) -> None:
         here = F.lit(c.version).alias("segment")
-        terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        written = c.append(f"{self.name}-postings", rows.select("term", "id", "tf", here), by=["term"], sort=["term"])
+        terms = written.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         terms = terms.withColumn("stem", stem("term") if self.stemmed else F.lit(None).cast("string"))
-        c.append(f"{self.name}-postings", rows.select("term", "id", "tf", here), by=["term"], sort=["term"])
         c.append(f"{self.name}-terms", terms.select("term", "stem", "df", here).repartitionByRange("term"), sort=["term"])
         c.append(f"{self.name}-lengths", length.select("id", "n", here))
 
+    def _gone(self, manifest: dict) -> bool:
+        """Whether there are tombstones."""
+        return bool(manifest["tables"].get(f"{self.name}-gone", {}).get("parts"))
+
     def _live(self, rows: DataFrame, manifest: dict) -> DataFrame:
         """``rows`` (id, segment, ...) of documents that no younger commit has replaced or deleted."""
-        gone = manifest["tables"].get(f"{self.name}-gone")
-        if not gone or not gone["parts"]:
+        if not self._gone(manifest):
             return rows
         upto = self.store.read(f"{self.name}-gone", manifest=manifest).groupBy("id").agg(F.max("segment").alias("_upto"))
         return rows.join(upto, "id", "left").where(F.col("_upto").isNull() | (F.col("segment") >= F.col("_upto"))).drop("_upto")
@@ -149,23 +155,30 @@ class Index:
         pairs = pairs.where("asked <> ''")
         own = manifest["tables"][f"{self.name}-postings"]
         found = self.store.read(f"{self.name}-postings", touched(pairs, ["term"], own["buckets"]), manifest).join(pairs, "term")
-        found = self._live(found, manifest).groupBy("asked", "id").agg(F.sum("tf").alias("tf"))
-        return score(asked, found, self._live(self.store.read(f"{self.name}-lengths", manifest=manifest), manifest).select("id", "n"), top_k)
+        found, df = self._live(found, manifest), None
+        if by != "word":  # several terms of a document may answer to one asked
+            found = found.groupBy("asked", "id").agg(F.sum("tf").alias("tf"))
+        elif not self._gone(manifest):  # then the dictionary's numbers are exact
+            df = known.join(words, known["term"] == words["asked"]).groupBy("asked").agg(F.sum("df").alias("df"))
+        length = self._live(self.store.read(f"{self.name}-lengths", manifest=manifest), manifest).select("id", "n")
+        return score(asked, found.select("asked", "id", "tf"), length, top_k, df)
 
 
-def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | None = None) -> DataFrame:
+def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | None = None, df: DataFrame | None = None) -> DataFrame:
     """query_id, id and ``score`` (BM25, higher is better) of the best ``top_k`` per query; ties go to the smaller id.
 
-    ``asked`` has query_id and asked, ``found`` the uses of what is asked (asked, id, tf). A document matches if any
-    term does.
+    ``asked`` has query_id and asked, ``found`` the uses of what is asked (asked, id, tf), ``df`` the number of documents
+    of each (asked, df), counted here if it is not known. A document matches if any term does.
     """
     stats = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     # What a term gives a document does not depend on the query, so it is computed once, before queries multiply the rows.
-    df = found.groupBy("asked").agg(F.count(F.lit(1)).alias("df"))
+    df = found.groupBy("asked").agg(F.count(F.lit(1)).alias("df")) if df is None else df
     own = found.join(df, "asked").join(length, "id").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    scored = asked.join(own.select("asked", "id", part.alias("part")), "asked").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    # Dealt by document before queries multiply the rows: then each document's sums need no shuffle of their own.
+    own = own.select("asked", "id", part.alias("part")).repartition("id")
+    scored = asked.join(own, "asked").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     if top_k is None:
         return scored
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -60,7 +60,7 @@ def searched(spark, docs, asked, k, by="word", whole=False, **kind):
     The index has only the terms that are asked for, unless ``whole``.
     """
     with store_of(spark) as (store, kept):
-        return kept(lexical.Index(store, **kind).write(spread(docs), None if whole else asked).search(asked, k, by))
+        return kept(lexical.Index(store, **kind).write(spread(docs), None if whole else asked, unique=True).search(asked, k, by))
 
 
 def bm25_topk(spark, sf_dir):

@@ -201,11 +201,13 @@ class Commit:
             own["parts"].pop(b, None)
         own["parts"].update(new)
 
-    def append(self, name: str, rows: DataFrame, by: list[str] | None = None, buckets: int = BUCKETS, sort: list[str] = ()) -> None:
-        """Rows are added to a log. With ``by`` they lie in buckets, so that readers of some keys pass over the others."""
+    def append(self, name: str, rows: DataFrame, by: list[str] | None = None, buckets: int = BUCKETS, sort: list[str] = ()) -> DataFrame:
+        """Rows are added to a log, and given back as they were written. With ``by`` they lie in buckets, so that readers of some keys pass over the others."""
         own = self.manifest["tables"].setdefault(name, {"keys": by, "buckets": buckets, "schema": rows.schema.jsonValue(), "parts": {}})
-        for b, parts in self._write(name, rows, own["keys"], own["buckets"], list(sort)).items():
+        new = self._write(name, rows, own["keys"], own["buckets"], list(sort))
+        for b, parts in new.items():
             own["parts"].setdefault(b, []).extend(parts)
+        return self.store.read(name, manifest={"tables": {name: {**own, "parts": new}}})
 
     def clear(self, name: str) -> None:
         """A table without rows; its files stay for readers of older manifests."""

@@ -269,6 +269,7 @@ def test_repeated_ids_in_an_index(spark, tmp_path):
     index.upsert(rows, "at", "s", 0)
     once = index.search(q.where("query_id = 1")).collect()
     assert [(r["id"], r["score"]) for r in once] == [(1, 1e-06)]  # idf at its floor; 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 3.5)) = 1.06 of it
+    assert [(r["id"], r["score"]) for r in lexical.Index(index.store, "own").write(rows, order="at").search(q.where("query_id = 1")).collect()] == [(1, 1e-06)]
     index.upsert(spark.createDataFrame([(1, "a mouse", 3), (1, "a cat", 4)], rows.schema), "at", "s", 1)
     before = index.store.manifest()
     index.upsert(spark.createDataFrame([(1, "a mouse", 5)], rows.schema), "at", "s", 1)
