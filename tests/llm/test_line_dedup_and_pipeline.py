@@ -69,7 +69,8 @@ def test_empty(spark):
 def test_sql(spark, name):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     df = registry.QUERIES[name](spark, d)
     rel = c.sql(registry.ORACLE[name])
     cols = sorted(df.columns)
@@ -114,7 +115,7 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
     assert quality_rules and exact_dedup
 
 
