@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -98,20 +102,36 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return parts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("embedding"))
 
 
+@lru_cache(maxsize=1 << 17)
+def _hashed(term: str) -> tuple[int, float]:
+    """The first 32 bits of a term's SHA-256, and a sign from the next four."""
+    h = hashlib.sha256(term.encode()).digest()
+    return int.from_bytes(h[:4], "big"), -1.0 if h[4] >> 4 & 1 else 1.0
+
+
 def hash_embedding(terms: Column, dim: int = 64) -> Column:
-    """A unit vector of signed counts of hashed terms; zero without terms. The offline stand-in for an embedding model."""
-    hashed = F.transform(terms, lambda t: F.struct(
-        F.pmod(F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long"), F.lit(dim)).alias("at"),
-        F.when(F.conv(F.substring(F.sha2(t, 256), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"),
-    ))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(hashed, lambda h: h["at"] == d), F.lit(0.0), lambda acc, h: acc + h["sign"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw)
+    """A unit vector of signed counts of hashed terms; zero without terms, and for null. The offline stand-in for an embedding model.
+
+    Each distinct term of a batch is hashed once, and each term of a text is looked at once.
+    """
+
+    def embed(terms: pa.Array) -> pa.Array:
+        n = len(terms)
+        coded = terms.flatten().dictionary_encode()
+        own = [_hashed(t) for t in coded.dictionary.to_pylist()]
+        place, sign = np.array([h % dim for h, _ in own], dtype=np.int64), np.array([x for _, x in own])
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+        term = coded.indices.to_numpy(zero_copy_only=False)
+        raw = np.bincount(row * dim + place[term], sign[term], n * dim).reshape(n, dim)
+        norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array((raw / np.where(norm > 0, norm, 1.0)).ravel()))
+
+    return F.arrow_udf(embed, "array<double>")(terms)
 
 
 def embed_once(docs: DataFrame, embed) -> DataFrame:
-    """``docs`` with ``embedding``: each distinct text is embedded once (``embed``: Column to Column) and joined back by its hash."""
-    keyed = docs.withColumn("_key", F.sha2("text", 256))
+    """``docs`` with ``embedding``: each distinct text (null is one) is embedded once (``embed``: Column to Column) and joined back by its hash."""
+    keyed = docs.withColumn("_key", F.coalesce(F.sha2("text", 256), F.lit("")))
     once = keyed.groupBy("_key").agg(F.first("text").alias("text")).select("_key", embed(F.col("text")).alias("embedding"))
     return keyed.join(once, "_key", "left").drop("_key")
 
