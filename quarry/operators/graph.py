@@ -108,15 +108,26 @@ def edges_around(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str
     return edges_at(own, inner, "source_id").unionByName(edges_at(own, inner, "target_id")).dropDuplicates(["id"])
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int = 5) -> DataFrame:
-    """source_id, target_id and path (array of ids) of the shortest directed path of at most ``max_nodes`` nodes; of equal ones the first in order."""
-    out = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).distinct()
-    paths = pairs.select("source_id", "target_id", F.array("source_id").alias("path"))
-    found = paths.where("source_id = target_id")
-    for _ in range(max_nodes - 1):
-        paths = paths.where("element_at(path, -1) <> target_id").join(out, F.element_at("path", -1) == F.col("u")).where(~F.array_contains("path", F.col("v")))
-        paths = paths.select("source_id", "target_id", F.concat("path", F.array("v")).alias("path"))
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_nodes: int = 5, keep=None) -> DataFrame:
+    """source_id, target_id and path (array of ids) of the shortest directed path of at most ``max_nodes`` nodes; of equal ones the first in order.
+
+    The walk starts once from each distinct source, however many pairs it has, and goes only to nodes from which some
+    target is still within reach: it holds one path for each source and node of that kind, at most. ``keep`` writes a
+    table and reads it back; what several steps read is then made once.
+    """
+    keep, steps = keep or (lambda df: df), max_nodes - 1
+    pairs = keep(pairs.select("source_id", "target_id").distinct())
+    out = keep(edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")))
+    near = [pairs.select(F.col("target_id").alias("v")).distinct()]  # at place k: nodes at most k steps before a target
+    for _ in range(1, steps):
+        before = out.join(near[-1], "v", "left_semi").select(F.col("u").alias("v"))
+        near.append(keep(near[-1].unionByName(before).distinct()))
+    last = pairs.select("source_id").distinct().select("source_id", F.col("source_id").alias("end"), F.array("source_id").alias("path"))
+    seen = last
+    for left in reversed(range(steps)):
+        step = last.join(out, F.col("end") == F.col("u")).join(near[left], "v", "left_semi").select("source_id", F.col("v").alias("end"), F.concat("path", F.array("v")).alias("path"))
         # Of the ways to the same node only the first can be part of an answer.
-        paths = paths.groupBy("source_id", "target_id", F.element_at("path", -1).alias("end")).agg(F.min("path").alias("path")).drop("end")
-        found = found.unionByName(paths.where("element_at(path, -1) = target_id"))
-    return found.groupBy("source_id", "target_id").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path"))
+        step = step.join(seen.select("source_id", "end"), ["source_id", "end"], "left_anti").groupBy("source_id", "end").agg(F.min("path").alias("path"))
+        last = keep(step)
+        seen = seen.unionByName(last)
+    return pairs.join(seen.withColumnRenamed("end", "target_id"), ["source_id", "target_id"]).select("source_id", "target_id", "path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..functions.text import make_id
@@ -78,7 +80,15 @@ def shortest_path(spark, sf_dir):
     nation = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("source_id"), F.concat(F.lit("c"), "c_custkey").alias("target_id"))
     region = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("r"), F.concat(F.lit("n"), "n_nationkey").alias("source_id"))
     every = nation.join(region, "source_id").select(F.col("r").alias("source_id"), "target_id")
-    return graph.shortest_paths(edges, pairs.unionByName(every).distinct()).select("source_id", "target_id", F.array_join("path", ">").alias("path"))
+    with store_of(spark) as (store, kept):  # edges and steps are made once
+        number = itertools.count()
+
+        def keep(df):
+            name = f"step{next(number)}"
+            store.commit(lambda c: c.append(name, df))
+            return store.read(name)
+
+        return kept(graph.shortest_paths(edges, pairs.unionByName(every), keep=keep).select("source_id", "target_id", F.array_join("path", ">").alias("path")))
 
 
 def _of(spark, rows, language):

@@ -3,7 +3,7 @@
 import duckdb
 
 import __spark_entry__
-from quarry.operators import lexical, vectors
+from quarry.operators import graph, lexical, vectors
 from quarry.plans.stored import Hashing
 from pyspark.sql import functions as F
 
@@ -36,3 +36,22 @@ def test_embed_dedup_hashes_terms_once_and_knows_null(spark, tmp_path):
 def test_rerank_scored_counts_bytes(spark, tmp_path):
     rows = [(0, "été à la thé way"), (50, "Wége"), (51, "a path"), (100, "日 path")]
     assert same_as_sql(spark, tmp_path, "rerank_scored", benchmark=spark.createDataFrame(rows, "item_id long, text string"))
+
+
+def test_shortest_paths_walk_from_sources_not_pairs(spark):
+    """Two roots, four hubs each, leaves on one hub each: what is held follows the leaves, not pairs times leaves."""
+    n = 400
+    rows = [(f"r{k}", f"h{k}{j}") for k in range(2) for j in range(4)] + [(f"h{i % 2}{i % 4}", f"c{i}") for i in range(n)] + [("h00", f"d{i}") for i in range(n)]
+    rows += [("r0", "x"), ("a", "r0"), ("c2", "a")]
+    pairs = [(f"r{i % 2}", f"c{i}") for i in range(n)] + [("r0", "r0"), ("r0", "gone"), ("c2", "c0"), ("c2", "h00"), ("r1", "d1")]
+    held = []
+
+    def keep(df):
+        held.append(df.count())
+        return df
+
+    e = spark.createDataFrame(rows, "source_id string, target_id string")
+    got = {(r["source_id"], r["target_id"]): r["path"] for r in graph.shortest_paths(e, spark.createDataFrame(pairs, "source_id string, target_id string"), keep=keep).collect()}
+    want = {(f"r{i % 2}", f"c{i}"): [f"r{i % 2}", f"h{i % 2}{i % 4}", f"c{i}"] for i in range(n)} | {("r0", "r0"): ["r0"], ("c2", "c0"): ["c2", "a", "r0", "h00", "c0"], ("c2", "h00"): ["c2", "a", "r0", "h00"]}
+    assert got == want
+    assert sum(held) < 8 * (len(rows) + len(pairs))
