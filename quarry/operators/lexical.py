@@ -168,8 +168,13 @@ def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | No
     """query_id, id and ``score`` (BM25, higher is better) of the best ``top_k`` per query; ties go to the smaller id.
 
     ``asked`` has query_id and asked, ``found`` the uses of what is asked (asked, id, tf), ``df`` the number of documents
-    of each (asked, df), counted here if it is not known. A document matches if any term does.
+    of each (asked, df), counted here if it is not known. A document matches if any term does. Queries that ask for the
+    same terms are scored once, so the rows here follow the distinct questions, however many ask them.
     """
+    sets = asked.groupBy("query_id").agg(F.sort_array(F.collect_list("asked")).alias("set"))
+    once = sets.groupBy("set").agg(F.min("query_id").alias("first"))
+    askers = sets.join(once, "set").select("query_id", "first")
+    asked = once.select("first", F.explode("set").alias("asked"))
     stats = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     # What a term gives a document does not depend on the query, so it is computed once, before queries multiply the rows.
     df = found.groupBy("asked").agg(F.count(F.lit(1)).alias("df")) if df is None else df
@@ -178,11 +183,11 @@ def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | No
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     # Dealt by document before queries multiply the rows: then each document's sums need no shuffle of their own.
     own = own.select("asked", "id", part.alias("part")).repartition("id")
-    scored = asked.join(own, "asked").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    if top_k is None:
-        return scored
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    scored = asked.join(own, "asked").groupBy("first", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    if top_k is not None:
+        rank = F.row_number().over(Window.partitionBy("first").orderBy(F.desc("score"), "id"))
+        scored = scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return askers.join(scored, "first").select("query_id", *scored.drop("first").columns)
 
 
 _VOWELS = "aeiou"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import CACHE, RETRIEVAL
 from ..functions.text import estimate_tokens
 from ..operators import fusion, lexical, vectors
-from .common import literal, table
+from .common import literal, store_of, table
 from .retrieval import INDEX, SCORE, TERMS, searched
 
 
@@ -74,7 +74,9 @@ def _graph_hits(spark, sf_dir, found, text):
 
 
 def _merged(spark, sf_dir, fixed=False):
-    found, text = vectors.top_k(_asked(spark, sf_dir), _vectors(spark, sf_dir), RETRIEVAL.vector_top_k), _lexical(spark, sf_dir, RETRIEVAL.fts_top_k)
+    with store_of(spark) as (_, kept):  # the best vectors are read three times, and found once
+        found = kept(vectors.top_k(_asked(spark, sf_dir), _vectors(spark, sf_dir), RETRIEVAL.vector_top_k))
+    text = _lexical(spark, sf_dir, RETRIEVAL.fts_top_k)
     return fusion.merge(found.where(F.col("score") >= RETRIEVAL.min_score), text, _graph_hits(spark, sf_dir, found, text), fixed)
 
 

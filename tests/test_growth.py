@@ -5,6 +5,7 @@ import duckdb
 import __spark_entry__
 from quarry.operators import graph, lexical, vectors
 from quarry.plans.stored import Hashing
+from quarry.sources.store import Store
 from pyspark.sql import functions as F
 
 
@@ -55,3 +56,44 @@ def test_shortest_paths_walk_from_sources_not_pairs(spark):
     want = {(f"r{i % 2}", f"c{i}"): [f"r{i % 2}", f"h{i % 2}{i % 4}", f"c{i}"] for i in range(n)} | {("r0", "r0"): ["r0"], ("c2", "c0"): ["c2", "a", "r0", "h00", "c0"], ("c2", "h00"): ["c2", "a", "r0", "h00"]}
     assert got == want
     assert sum(held) < 8 * (len(rows) + len(pairs))
+
+
+def test_equal_questions_are_scored_once(spark, tmp_path):
+    """Fifty queries with two sets of terms: what is scored is two sets' documents, not fifty queries'."""
+    docs = spark.createDataFrame([(i, "the way " * (i % 3) + "here") for i in range(200)], "id long, text string")
+    asked = spark.createDataFrame([(q, ["the", "here"] if q % 2 else ["here", "way", "way"]) for q in range(50)] + [(50, []), (51, ["none"])], "query_id long, terms array<string>")
+    index = lexical.Index(Store(spark, f"file://{tmp_path}/s")).write(docs)
+    got = index.search(asked, 5)
+    by_query = {}
+    for r in got.collect():
+        by_query.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    assert sorted(by_query) == list(range(50)) and all(len(x) == 5 for x in by_query.values())
+    for q in (0, 1):
+        own = sorted(map(tuple, index.search(asked.where(F.col("query_id") == q), 5).select("rank", "id", "score").collect()))
+        assert all(sorted(by_query[k]) == own for k in range(q, 50, 2))
+    # Without a limit every query has its rows, but the sums that they come from are made once for each set.
+    every = index.search(asked)
+    rows = every.count()
+    assert rows == 50 * 200
+    assert every.drop("query_id").distinct().count() < rows and most_summed(every) == 2 * 200
+
+
+def most_summed(df):
+    """The most rows that an aggregate of a plan that has run gave for a query (or set) and id."""
+    df.collect()
+    found = []
+
+    def walk(p):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if "QueryStage" in name:
+            return walk(p.plan())
+        if name.endswith("HashAggregate") or name.endswith("SortAggregate"):
+            if "sum(part" in p.simpleString(1000) and "partial_" not in p.simpleString(1000):
+                found.append(p.metrics().get("numOutputRows").get().value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found)
