@@ -14,6 +14,8 @@ from ..sources.store import Commit, Store, touched
 
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Scores (of a distinct question and a document) that one task sums, at most or so.
+SUMS = 500_000
 
 
 def _folds() -> tuple[str, str]:
@@ -181,8 +183,11 @@ def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | No
     own = found.join(df, "asked").join(length, "id").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    # Dealt by document before queries multiply the rows: then each document's sums need no shuffle of their own.
-    own = own.select("asked", "id", part.alias("part")).repartition("id")
+    # Dealt by document before queries multiply the rows: then each document's sums need no shuffle of their own. The
+    # number of tasks follows the sums, as those of a task are in memory; Spark alone sees only the few bytes before them.
+    spark = length.sparkSession
+    most = length.count() * once.count()
+    own = own.select("asked", "id", part.alias("part")).repartition(max(spark.sparkContext.defaultParallelism, -(-most // SUMS)), "id")
     scored = asked.join(own, "asked").groupBy("first", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     if top_k is not None:
         rank = F.row_number().over(Window.partitionBy("first").orderBy(F.desc("score"), "id"))

@@ -3,7 +3,7 @@
 import duckdb
 
 import __spark_entry__
-from quarry.operators import graph, lexical, vectors
+from quarry.operators import chunking, graph, lexical, vectors
 from quarry.plans.stored import Hashing
 from quarry.sources.store import Store
 from pyspark.sql import functions as F
@@ -97,3 +97,11 @@ def most_summed(df):
 
     walk(df._jdf.queryExecution().executedPlan())
     return max(found)
+
+
+def test_sums_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "SUMS", 20, raising=False)
+    docs = spark.createDataFrame([(i, "the way here") for i in range(200)], "id long, text string")
+    asked = spark.createDataFrame([(0, ["the"]), (1, ["way"])], "query_id long, terms array<string>")
+    out = lexical.Index(Store(spark, f"file://{tmp_path}/s")).write(docs).search(asked, 5)
+    assert out.count() == 10 and "hashpartitioning(id" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
