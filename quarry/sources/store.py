@@ -175,7 +175,8 @@ class Commit:
         if not keys:
             (rows.sortWithinPartitions(*sort) if sort else rows).write.parquet(path)
             return {"0": [folder]}
-        dealt = rows.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(BUCKET)
+        # Large buckets are split into several tasks, each with a file of its own: what a task sorts does not grow with the table.
+        dealt = rows.withColumn(BUCKET, bucket_of(keys, buckets)).hint("rebalance", F.col(BUCKET))
         dealt.sortWithinPartitions(BUCKET, *sort).write.partitionBy(BUCKET).parquet(path)
         return {n.split("=")[1]: [f"{folder}/{n}"] for n in self.store.names(folder) if n.startswith(f"{BUCKET}=")}
 

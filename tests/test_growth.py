@@ -105,3 +105,19 @@ def test_sums_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     asked = spark.createDataFrame([(0, ["the"]), (1, ["way"])], "query_id long, terms array<string>")
     out = lexical.Index(Store(spark, f"file://{tmp_path}/s")).write(docs).search(asked, 5)
     assert out.count() == 10 and "hashpartitioning(id" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+
+
+def test_large_buckets_are_split(spark, tmp_path):
+    """All rows have one key: they lie in one bucket, written by several tasks."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "20k")
+    try:
+        store = Store(spark, f"file://{tmp_path}/s")
+        rows = spark.range(40_000, numPartitions=8).select(F.lit("k").alias("term"), F.xxhash64("id").alias("x"))
+        store.commit(lambda c: c.append("t", rows, by=["term"], sort=["term"]))
+        files = store.read("t").inputFiles()
+        assert len(files) > 2 and len({f.rsplit("/", 1)[0] for f in files}) == 1
+        assert store.read("t").distinct().count() == 40_000
+    finally:
+        spark.conf.set(name, old)
