@@ -57,14 +57,10 @@ def line_blocks(docs: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:
     """
     overlap = -(-cfg.overlap_tokens // 4)
     df = _with_lines(docs.select("document_id", F.coalesce("content", F.lit("")).alias("content")), "content")
-    df = df.withColumn("b", F.explode(_fold_lines(F.col("_lines"), cfg.max_tokens, overlap)))
-    df = df.select("document_id", "b", _joined(F.col("b.begin"), F.col("b.end")).alias("content"))
-    df = df.withColumn("tokens", estimate_tokens(F.col("content"))).where(F.col("tokens") >= cfg.min_tokens)
-    # The chunk's number counts the blocks that stay.
-    from pyspark.sql.window import Window
-
-    idx = (F.row_number().over(Window.partitionBy("document_id").orderBy("b.end")) - 1).alias("idx")
-    return df.select("document_id", idx, "content", "tokens", F.col("b.nominal").alias("start_line"), F.col("b.end").alias("end_line"), (F.col("b.begin") + 1).alias("block_start")).select(
+    blocks = F.transform(_fold_lines(F.col("_lines"), cfg.max_tokens, overlap), lambda b: F.struct(b["begin"].alias("begin"), b["end"].alias("end"), b["nominal"].alias("nominal"), _joined(b["begin"], b["end"]).alias("content")))
+    # The chunk's number counts the blocks that stay; they are in order here, so no text is shuffled for it.
+    df = df.select("document_id", F.posexplode(F.filter(blocks, lambda b: estimate_tokens(b["content"]) >= cfg.min_tokens)).alias("idx", "b"))
+    return df.select("document_id", "idx", "b.content", estimate_tokens(F.col("b.content")).alias("tokens"), F.col("b.nominal").alias("start_line"), F.col("b.end").alias("end_line"), (F.col("b.begin") + 1).alias("block_start")).select(
         "*", make_id("chunk", F.col("document_id"), F.col("idx")).alias("chunk_id"), F.concat(F.lit("lines "), "start_line", F.lit("-"), "end_line").alias("title"),
     )
 
@@ -109,8 +105,9 @@ def greedy_parts(paras: Column, sizes: Column, budget: int) -> Column:
     """``paras`` joined by blank lines into parts of at most ``budget`` tokens; empty text never closes a part, and none begins with it."""
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("begin"), F.lit(False).alias("full"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
 
-    def fold(acc, para):
-        n, i = F.get(sizes, acc["i"]), acc["i"]
+    def fold(acc, both):
+        # Sizes come with the paragraphs: as a column of their own inside the fold, they would be computed anew for each one.
+        para, n, i = both["para"], both["n"], acc["i"]
         close = (acc["sum"] + n > budget) & acc["full"]
         part = F.struct(acc["begin"].alias("begin"), i.alias("end"))
         return F.struct(
@@ -119,7 +116,7 @@ def greedy_parts(paras: Column, sizes: Column, budget: int) -> Column:
         )
 
     last = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["begin"].alias("begin"), acc["i"].alias("end"))))
-    return F.transform(F.aggregate(paras, zero, fold, last), lambda p: F.array_join(F.slice(paras, p["begin"] + 1, p["end"] - p["begin"]), "\n\n"))
+    return F.transform(F.aggregate(F.arrays_zip(paras.alias("para"), sizes.alias("n")), zero, fold, last), lambda p: F.array_join(F.slice(paras, p["begin"] + 1, p["end"] - p["begin"]), "\n\n"))
 
 
 def section_chunks(sections: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:

@@ -121,3 +121,19 @@ def test_large_buckets_are_split(spark, tmp_path):
         assert store.read("t").distinct().count() == 40_000
     finally:
         spark.conf.set(name, old)
+
+
+def test_paragraph_sizes_are_not_computed_inside_the_fold(spark):
+    s = spark.createDataFrame([(1, "documentation", 0, "T", 1, "\n\n".join("w" * (i % 90) for i in range(400)))], "document_id long, type string, pos int, title string, level int, content string")
+    out = chunking.section_chunks(s)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "get(" not in plan and "[namedlambdavariable" not in plan.lower().replace("get(", "[")
+    assert sum(len(r["content"].replace("\n", "")) for r in out.collect()) == sum(i % 90 for i in range(400))
+
+
+def test_chunks_are_numbered_without_a_shuffle(spark):
+    d = spark.createDataFrame([(1, "\n".join("line %d of a text that is cut" % i for i in range(900))), (2, None), (3, "short")], "document_id long, content string")
+    out = chunking.line_blocks(d)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    own = out.where("document_id = 1").orderBy("end_line").collect()
+    assert [r["idx"] for r in own] == list(range(len(own))) and len(own) > 3 and out.where("document_id > 1").count() == 0
