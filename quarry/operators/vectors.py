@@ -16,8 +16,39 @@ from pyspark.sql.window import Window
 from ..config import CACHE, RETRIEVAL
 from ..functions.text import short_hash
 
-#: Queries and vectors that one task multiplies at a time: their scores make 80 MB.
+#: Queries and vectors that are multiplied at a time: their scores make 80 MB.
 QUERY_ROWS, VECTOR_ROWS = 500, 20_000
+#: Queries of a task are this many times as many; it takes them one after the other, so that each vector is copied to fewer tasks.
+QUERY_TURNS = 8
+#: Vectors that are too few to be worth a task of their own.
+FEW_ROWS = 1000
+
+
+def unit(column: pa.Array | pa.ChunkedArray | list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, zero for those without a direction or of another length, and the lengths that they had (zero for those)."""
+    if not len(column):
+        return np.zeros((0, width)), np.zeros(0)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False)
+    out, norm = np.zeros((len(column), width)), np.zeros(len(column))
+    if width and fits.any():
+        own = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        size = np.linalg.norm(own, axis=1)
+        out[fits] = np.where(size[:, None] > 0, own / np.where(size > 0, size, 1.0)[:, None], 0.0)
+        norm[fits] = np.nan_to_num(size, nan=0.0, posinf=np.inf)
+    return out, norm
+
+
+def ranked(scores: np.ndarray, place: np.ndarray, k: int, least=None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` best scores of each row, best first; -inf is none, and so is what lies below ``least``. Ties go to the smaller ``place`` of a column."""
+    n = min(k, scores.shape[1])
+    low = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n] if n else np.zeros(len(scores))
+    row, col = np.nonzero((scores >= (low if least is None else np.maximum(low, least))[:, None]) & (scores > -np.inf))
+    order = np.lexsort((place[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    keep = np.arange(len(row)) - first[row] < n
+    return row[keep], col[keep]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,38 +65,37 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | Non
     """query_id, id, ``score`` (cosine to 6 places) and rank of the ``k`` best ``vectors`` (id, embedding) of each of ``queries`` (query_id, vector).
 
     With ``by``, a column of both, a query is compared only with vectors of an equal value (a query may have several
-    rows). Queries and vectors are dealt into blocks by their place, so that a hot value fills none; each task
+    rows). Queries and vectors of each value are dealt into blocks by their place, so that a hot value fills none; each task
     multiplies a block of one with a block of the other and passes on only the best k of each query, so what is
-    shuffled next does not grow with the number of vectors. Ties go to the smaller id. A null vector and one of
+    shuffled next is k rows for each query and block of vectors. Ties go to the smaller id. A null vector and one of
     another length than the queries' is skipped; a null or zero query scores 0 with everything.
     """
     group = [F.col(by).alias("_by")] if by else [F.lit(0).alias("_by")]
-    asked, rows = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first(), vectors.count()
-    width, n_blocks, n_parts = asked[1], max(1, -(-asked[0] // QUERY_ROWS)), max(1, -(-rows // VECTOR_ROWS))
-    place = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias
-    q = queries.select(*group, place(n_blocks)("_block"), "query_id", "vector").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)).cast("array<long>")))
-    v = vectors.where(F.size("embedding") == width).select(*group, place(n_parts)("_part"), "id", "embedding")
-    v = v.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
-
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        out = np.zeros((len(column), width))
-        for i, x in enumerate(column):
-            if x.is_valid and len(x.values) == width and (n := np.linalg.norm(own := x.values.to_numpy(zero_copy_only=False).astype(np.float64))) > 0:
-                out[i] = own / n
-        return out
+    (asked, width), cores = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first(), queries.sparkSession.sparkContext.defaultParallelism
+    q, v = queries.select(*group, "query_id", "vector"), vectors.where(F.size("embedding") == width).select(*group, "id", "embedding")
+    n_blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / (QUERY_ROWS * QUERY_TURNS)))
+    n_parts = lambda n: F.greatest(F.lit(1), F.ceil(F.greatest(n / VECTOR_ROWS, F.least(F.lit(cores), n / FEW_ROWS))))
+    placed = [df.withColumn("_at", F.monotonically_increasing_id()) for df in (q, v)]
+    if by:
+        # Each value has blocks of its own: what is copied follows its own queries and vectors, not those of all values.
+        n_q, n_v = q.groupBy(F.col("_by").alias("_own")).agg(F.count(F.lit(1)).alias("_q")), v.groupBy("_by").agg(F.count(F.lit(1)).alias("_v"))
+        dealt = n_q.join(n_v, F.col("_own").eqNullSafe(F.col("_by"))).select("_own", n_blocks(F.col("_q")).alias("_blocks"), n_parts(F.col("_v")).alias("_parts"))
+        placed = [df.join(dealt, F.col("_by").eqNullSafe(F.col("_own"))) for df in placed]
+    else:
+        placed = [df.withColumns({"_blocks": n_blocks(F.lit(asked)), "_parts": n_parts(F.lit(vectors.count()))}) for df in placed]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = placed[0].select("_by", F.pmod("_at", "_blocks").alias("_block"), every("_parts").alias("_part"), "query_id", "vector")
+    v = placed[1].select("_by", every("_blocks").alias("_block"), F.pmod("_at", "_parts").alias("_part"), "id", "embedding")
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by("id")
-        scores = np.round(unit(a.column("vector")) @ unit(b.column("embedding")).T, 6) + 0.0 if len(a) and len(b) else np.zeros((len(a), len(b)))
-        n = min(k, len(b))
-        least = np.partition(scores, len(b) - n, axis=1)[:, len(b) - n] if n else np.zeros(len(a))
-        row, col = np.nonzero(scores >= (least if min_score is None else np.maximum(least, min_score))[:, None])
-        order = np.lexsort((col, -scores[row, col], row))
-        row, col = row[order], col[order]
-        first = np.searchsorted(row, np.arange(len(a)))
-        keep = np.arange(len(row)) - first[row] < n
-        row, col = row[keep], col[keep]
-        return pa.table({"query_id": a.column("query_id").take(pa.array(row)), "id": b.column("id").take(pa.array(col)), "score": pa.array(scores[row, col])})
+        x, y = unit(a.column("vector"), width)[0], unit(b.column("embedding"), width)[0]
+        place, rows, cols, found = np.arange(len(b)), [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        for at in range(0, len(x) if len(b) else 0, QUERY_ROWS):
+            scores = np.round(x[at : at + QUERY_ROWS] @ y.T, 6) + 0.0
+            row, col = ranked(scores, place, k, min_score)
+            rows.append(row + at), cols.append(col), found.append(scores[row, col])
+        return pa.table({"query_id": a.column("query_id").take(pa.array(np.concatenate(rows))), "id": b.column("id").take(pa.array(np.concatenate(cols))), "score": pa.array(np.concatenate(found))})
 
     kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
     keys = ("_by", "_block", "_part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL
@@ -119,7 +121,14 @@ class Hashing:
 def knn_cells(spark, sf_dir):
     """All stated queries against all vectors over stored cells; the same rows as comparing everything."""
     with store_of(spark) as (store, kept):
-        out, _ = cells.Cells(store).build(_vectors(spark, sf_dir)).search(_asked(spark, sf_dir), 20)
+        number = itertools.count()
+
+        def keep(df):
+            name = f"step{next(number)}"
+            store.commit(lambda c: c.append(name, df))
+            return store.read(name)
+
+        out, _ = cells.Cells(store).build(_vectors(spark, sf_dir)).search(_asked(spark, sf_dir), 20, keep=keep)
         return kept(out)
 
 

@@ -137,3 +137,53 @@ def test_chunks_are_numbered_without_a_shuffle(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     own = out.where("document_id = 1").orderBy("end_line").collect()
     assert [r["idx"] for r in own] == list(range(len(own))) and len(own) > 3 and out.where("document_id > 1").count() == 0
+
+
+def shuffled_rows(df):
+    """The rows that the exchanges of a plan write."""
+    df.collect()
+    total = 0
+
+    def walk(p):
+        nonlocal total
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if "QueryStage" in name:
+            return walk(p.plan())
+        if name == "Exchange":
+            total += p.metrics().get("shuffleRecordsWritten").get().value()
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return total
+
+
+def test_cells_do_not_copy_vectors_for_each_cell(spark, tmp_path, monkeypatch):
+    """Vectors without clusters, so nearly all cells are compared: each vector goes to each block of queries once."""
+    import numpy as np
+
+    from quarry.operators import cells
+
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 5)
+    x = np.random.default_rng(5).normal(size=(2000, 6))
+    vs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, [0.0] * 6) for i in range(3)], "id long, embedding array<double>").repartition(3)
+    qs = vs.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = cells.Cells(Store(spark, f"file://{tmp_path}/s")).build(vs)
+    out, pairs = index.search(qs, 7)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    assert rows(out) == rows(vectors.top_k(qs, vs, 7)) and len(rows(out)) == 7 * qs.count()
+    assert pairs.count() == pairs.select("query_id", "cell").distinct().count()
+    assert shuffled_rows(out) < 20 * 2000
+
+
+def test_a_value_has_blocks_of_its_own(spark, monkeypatch):
+    """Two hundred values with three vectors and two queries each: no vector is copied for other values' queries. A null value is one too."""
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 5)
+    v = spark.createDataFrame([(i, [1.0, float(i)], None if i % 200 == 7 else i % 200) for i in range(600)], "id long, embedding array<double>, g int")
+    q = v.where("id < 400").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), "g")
+    out = vectors.top_k(q, v, 2, by="g")
+    got = out.groupBy("query_id").agg(F.sum((F.col("id") % 200 == F.col("query_id") % 200).cast("int")).alias("n")).collect()
+    assert len(got) == 400 and all(r["n"] == 2 for r in got)
+    assert shuffled_rows(out) < 4000
