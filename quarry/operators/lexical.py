@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..sources.scan import last_of
@@ -16,6 +20,10 @@ from ..sources.store import Commit, Store, touched
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Scores (of a distinct question and a document) that one task sums, at most or so.
 SUMS = 500_000
+#: The numbers of documents of so many asked terms may be broadcast.
+FEW_TERMS = 200_000
+#: Postings that are put together to blocks at a time.
+BLOCK_ROWS = 1_000_000
 
 
 def _folds() -> tuple[str, str]:
@@ -53,11 +61,80 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("n"))
 
 
+def _blocks(term: pa.Array, doc: np.ndarray, tf: np.ndarray | None, ids: pa.Array) -> list[pa.Array]:
+    """Columns term, ids and tfs: a row for each term, with its documents (places in ``ids``) in their order. Without ``tf`` each use of a term counts one."""
+    coded = term.dictionary_encode()
+    key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(ids)) + doc
+    if tf is None:
+        key, tf = np.unique(key, return_counts=True)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, tf = key[order], tf[order]
+    code, doc = np.divmod(key, max(1, len(ids)))
+    own, begin = np.unique(code, return_index=True)
+    ends = pa.array(np.append(begin, len(code)), pa.int32())
+    return [coded.dictionary.take(pa.array(own)), pa.ListArray.from_arrays(ends, ids.take(pa.array(doc))), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))]
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """term, ids and tfs: what ``postings`` gives for ``docs`` (id, text; ids once each), some documents of a term in each row, and rows without a term with the numbers of all terms of some documents.
+
+    The terms of a document are counted where it lies, so what is shuffled later is a row for each term of a batch of
+    documents, not one for each use of it. The texts are read once, for postings and for lengths.
+    """
+    kind = docs.schema["id"].dataType
+
+    def count(batches):
+        for batch in batches:
+            ids, terms = batch.column("id").cast(to_arrow_type(kind)), batch.column("terms")
+            n = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays(_blocks(terms.flatten(), np.repeat(np.arange(len(ids)), n), None, ids), ["term", "ids", "tfs"])
+                whole = pa.array([0, len(ids)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, pa.array(n))], ["term", "ids", "tfs"])
+
+    return docs.select("id", terms_of(F.col("text")).alias("terms")).mapInArrow(count, f"term string, ids array<{kind.simpleString()}>, tfs array<bigint>")
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` (term, id, tf) in blocks; a null term is one too."""
+    kind = rows.schema["id"].dataType
+
+    def gather(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= BLOCK_ROWS:
+                yield from out(held)
+                held, n = [], 0
+        yield from out(held)
+
+    def out(held):
+        t = pa.Table.from_batches(held) if held else []
+        for part in (t.filter(pc.is_valid(t.column("term"))), t.filter(pc.is_null(t.column("term")))) if len(t) else ():
+            if len(part):
+                part = part.combine_chunks()
+                term, ids = (part.column(x).combine_chunks() for x in ("term", "id"))
+                lone = not term[0].is_valid
+                term = pa.array(np.zeros(len(part)), pa.int8()).cast(pa.string()) if lone else term
+                columns = _blocks(term, np.arange(len(part)), part.column("tf").to_numpy(), ids.cast(to_arrow_type(kind)))
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()) if lone else columns[0], *columns[1:]], ["term", "ids", "tfs"])
+
+    return rows.select("term", "id", F.col("tf").cast("long").alias("tf")).mapInArrow(gather, f"term string, ids array<{kind.simpleString()}>, tfs array<bigint>")
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Blocks as rows with ``id`` and ``tf``; other columns stay."""
+    each = rows.withColumn("_each", F.explode(F.arrays_zip("ids", "tfs")))
+    return each.select(*[c for c in rows.columns if c not in ("ids", "tfs")], F.col("_each.ids").alias("id"), F.col("_each.tfs").alias("tf"))
+
+
 class Index:
     """A stored full-text index of immutable segments.
 
-    A change appends a segment for its documents (postings in buckets by a hash of the term, a dictionary of terms in
-    their order, lengths) and tombstones for what they replace: what is written follows the change, not the index. A
+    A change appends a segment for its documents (blocks of postings in buckets by a hash of the term, a dictionary of
+    terms in their order, lengths) and tombstones for what they replace: what is written follows the change, not the index. A
     posting counts if no younger tombstone has its id. ``merge`` makes one segment of all. ``folded`` drops diacritics,
     ``stemmed`` keeps a stem with each term, so that ``search`` can ask by stems.
     """
@@ -69,9 +146,10 @@ class Index:
         """The index of ``docs`` (id, text) alone. With ``queries`` it serves these alone: it has only the terms that they ask for.
 
         Of several rows with one id the last counts, as in ``upsert``; ``unique`` says that there are none, and spares
-        the shuffle of the texts that finds them.
+        the shuffle of the texts that finds them. If there are some all the same, their uses of a term are summed.
         """
-        return self._commit(lambda c: (self._clear(c), self._add(c, docs if unique else last_of(docs, ["id"], order), queries)))
+        once = not unique or docs.groupBy("id").count().where("count > 1").isEmpty()
+        return self._commit(lambda c: (self._clear(c), self._add(c, docs if unique else last_of(docs, ["id"], order), queries, once)))
 
     def upsert(self, docs: DataFrame, order: str | None = None, stream: str | None = None, batch_id: int | None = None) -> Index:
         """Documents take the place of those with their ids; of several with one id the last by ``order`` counts (without it, the greatest text)."""
@@ -84,9 +162,9 @@ class Index:
         """One segment of all that counts, without tombstones."""
 
         def change(c: Commit) -> None:
-            postings, length = (self._live(c.read(f"{self.name}-{part}"), c.manifest).drop("segment") for part in ("postings", "lengths"))
+            live = self._live(flat(c.read(f"{self.name}-postings")), c.manifest)
             self._clear(c)  # the manifest's lists only: what was read above stays
-            self._append(c, postings, length)
+            self._append(c, blocked(live))
 
         return self._commit(change)
 
@@ -105,17 +183,26 @@ class Index:
     def _bury(self, c: Commit, ids: DataFrame) -> None:
         c.append(f"{self.name}-gone", ids.distinct().withColumn("segment", F.lit(c.version)))
 
-    def _add(self, c: Commit, docs: DataFrame, queries: DataFrame | None = None) -> None:
+    def _add(self, c: Commit, docs: DataFrame, queries: DataFrame | None = None, unique: bool = True) -> None:
         docs = docs.select("id", (fold(F.col("text")) if self.folded else F.col("text")).alias("text"))
-        self._append(c, postings(docs, queries), lengths(docs))
-
-    def _append(self, c: Commit, rows: DataFrame, length: DataFrame) -> None:
+        if unique:
+            rows = blocks(docs)
+        else:
+            rows = blocked(postings(docs).unionByName(lengths(docs).select(F.lit(None).cast("string").alias("term"), "id", F.col("n").alias("tf"))))
+        if queries is not None:
+            asked = asked_of(queries).select(F.col("asked").alias("_asked")).distinct().unionByName(self.store.spark.createDataFrame([(None,)], "_asked string"))
+            rows = rows.join(asked, F.col("term").eqNullSafe(F.col("_asked")), "left_semi")
+        self._append(c, rows)
+
+    def _append(self, c: Commit, rows: DataFrame) -> None:
+        """A segment of ``rows`` as ``blocks`` gives them."""
         here = F.lit(c.version).alias("segment")
-        written = c.append(f"{self.name}-postings", rows.select("term", "id", "tf", here), by=["term"], sort=["term"])
-        terms = written.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        terms = terms.withColumn("stem", stem("term") if self.stemmed else F.lit(None).cast("string"))
+        written = c.append(f"{self.name}-postings", rows.select("term", "ids", "tfs", here), by=["term"], sort=["term"])
+        terms = written.where("term IS NOT NULL").groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
+        # Written once: dealing it by ranges reads it twice, the first time for their bounds.
+        terms = c._staged(terms.withColumn("stem", stem("term") if self.stemmed else F.lit(None).cast("string")))
         c.append(f"{self.name}-terms", terms.select("term", "stem", "df", here).repartitionByRange("term"), sort=["term"])
-        c.append(f"{self.name}-lengths", length.select("id", "n", here))
+        c.append(f"{self.name}-lengths", flat(written.where("term IS NULL")).select("id", F.col("tf").alias("n"), here))
 
     def _gone(self, manifest: dict) -> bool:
         """Whether there are tombstones."""
@@ -157,20 +244,20 @@ class Index:
         pairs = pairs.where("asked <> ''")
         own = manifest["tables"][f"{self.name}-postings"]
         found = self.store.read(f"{self.name}-postings", touched(pairs, ["term"], own["buckets"]), manifest).join(pairs, "term")
-        found, df = self._live(found, manifest), None
-        if by != "word":  # several terms of a document may answer to one asked
-            found = found.groupBy("asked", "id").agg(F.sum("tf").alias("tf"))
-        elif not self._gone(manifest):  # then the dictionary's numbers are exact
+        df = None
+        if by == "word" and not self._gone(manifest):  # then the dictionary's numbers are exact
             df = known.join(words, known["term"] == words["asked"]).groupBy("asked").agg(F.sum("df").alias("df"))
         length = self._live(self.store.read(f"{self.name}-lengths", manifest=manifest), manifest).select("id", "n")
-        return score(asked, found.select("asked", "id", "tf"), length, top_k, df)
+        # Several terms of a document may answer to one asked, if not by word.
+        return score(asked, flat(found).select("asked", "id", "tf", "segment"), length, top_k, df, by != "word", lambda x: self._live(x, manifest))
 
 
-def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | None = None, df: DataFrame | None = None) -> DataFrame:
+def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | None = None, df: DataFrame | None = None, several: bool = False, live=None) -> DataFrame:
     """query_id, id and ``score`` (BM25, higher is better) of the best ``top_k`` per query; ties go to the smaller id.
 
     ``asked`` has query_id and asked, ``found`` the uses of what is asked (asked, id, tf), ``df`` the number of documents
-    of each (asked, df), counted here if it is not known. A document matches if any term does. Queries that ask for the
+    of each (asked, df), counted here if it is not known. ``several``: an id may have several rows of one asked, which are
+    summed. ``live`` gives the rows of ``found`` that count. A document matches if any term does. Queries that ask for the
     same terms are scored once, so the rows here follow the distinct questions, however many ask them.
     """
     sets = asked.groupBy("query_id").agg(F.sort_array(F.collect_list("asked")).alias("set"))
@@ -178,16 +265,21 @@ def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | No
     askers = sets.join(once, "set").select("query_id", "first")
     asked = once.select("first", F.explode("set").alias("asked"))
     stats = length.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+    # Dealt by document before all else: then neither what stands together in a document nor its sums, once queries have
+    # multiplied the rows, need a shuffle of their own. The number of tasks follows the sums, as those of a task are in
+    # memory; Spark alone sees only the bytes before them.
+    n = max(length.sparkSession.sparkContext.defaultParallelism, -(-length.count() * once.count() // SUMS))
+    found = found.repartition(n, "id")
+    found = live(found) if live else found
+    found = found.groupBy("asked", "id").agg(F.sum("tf").alias("tf")) if several else found.select("asked", "id", "tf")
     # What a term gives a document does not depend on the query, so it is computed once, before queries multiply the rows.
-    df = found.groupBy("asked").agg(F.count(F.lit(1)).alias("df")) if df is None else df
-    own = found.join(df, "asked").join(length, "id").crossJoin(F.broadcast(stats))  # one row
+    df = found.groupBy("asked").agg(F.count("tf").alias("df")) if df is None else df  # tf is never null, but then both uses read the same shuffle
+    few = asked.select("asked").distinct().count() <= FEW_TERMS
+    own = found.join(length, "id").join(F.broadcast(df) if few else df, "asked").crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    # Dealt by document before queries multiply the rows: then each document's sums need no shuffle of their own. The
-    # number of tasks follows the sums, as those of a task are in memory; Spark alone sees only the few bytes before them.
-    spark = length.sparkSession
-    most = length.count() * once.count()
-    own = own.select("asked", "id", part.alias("part")).repartition(max(spark.sparkContext.defaultParallelism, -(-most // SUMS)), "id")
+    own = own.select("asked", "id", part.alias("part"))
+    own = own if few else own.repartition(n, "id")
     scored = asked.join(own, "asked").groupBy("first", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     if top_k is not None:
         rank = F.row_number().over(Window.partitionBy("first").orderBy(F.desc("score"), "id"))

@@ -187,3 +187,22 @@ def test_a_value_has_blocks_of_its_own(spark, monkeypatch):
     got = out.groupBy("query_id").agg(F.sum((F.col("id") % 200 == F.col("query_id") % 200).cast("int")).alias("n")).collect()
     assert len(got) == 400 and all(r["n"] == 2 for r in got)
     assert shuffled_rows(out) < 4000
+
+
+def test_an_index_shuffles_blocks_of_postings(spark, tmp_path):
+    """What is written and shuffled follows terms, not the uses of terms in documents; odd texts, and ids that are there twice though called unique."""
+    docs = spark.createDataFrame([(i, f"the way the {'x' * (i % 9)} é{i % 5} 日本") for i in range(3000)] + [(5000, None), (5001, ""), (5002, "--")], "id long, text string").repartition(4)
+    store = Store(spark, f"file://{tmp_path}/s")
+    index = lexical.Index(store).write(docs, unique=True)
+    want = {r["term"]: r["df"] for r in lexical.postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    assert {r["term"]: r["df"] for r in index.dictionary().collect()} == want and len(want) == 16
+    assert store.read("fts-postings").where("term IS NOT NULL").count() <= 4 * len(want)
+    assert sorted(map(tuple, store.read("fts-lengths").select("id", "n").collect())) == sorted(map(tuple, lexical.lengths(docs).collect()))
+    assert sorted(map(tuple, lexical.flat(store.read("fts-postings")).where("term IS NOT NULL").select("term", "id", "tf").collect())) == sorted(map(tuple, lexical.postings(docs).collect()))
+    again = docs.unionByName(docs.where("id < 10"))
+    twice = lexical.Index(store, "twice").write(again, unique=True)
+    assert {r["term"]: r["df"] for r in twice.dictionary().collect()} == want
+    assert lexical.flat(store.read("twice-postings")).where("term = 'the' AND id < 11").groupBy("tf").count().orderBy("tf").collect() == [(2, 1), (4, 10)]
+    index.delete(docs.where("id % 2 = 0").select("id")).merge()
+    assert {r["term"]: r["df"] for r in index.dictionary().collect()}["the"] == 1500 and store.read("fts-lengths").count() == 1501
+    assert store.read("fts-postings").where("term IS NOT NULL").count() <= 32 * len(want)
