@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 
 import numpy as np
@@ -287,29 +288,31 @@ def score(asked: DataFrame, found: DataFrame, length: DataFrame, top_k: int | No
     return askers.join(scored, "first").select("query_id", *scored.drop("first").columns)
 
 
-_VOWELS = "aeiou"
+_KINDS = str.maketrans({c: "v" if c in "aeiou" else "y" if c == "y" else "c" for c in string.ascii_letters})
 
 
-def _consonant(w: str, i: int) -> bool:
-    return w[i] not in _VOWELS and not (w[i] == "y" and i > 0 and _consonant(w, i - 1))
+def _kinds(w: str) -> str:
+    """c or v for each letter; y is a vowel behind a consonant."""
+    kinds = w.translate(_KINDS)
+    while (i := kinds.find("y")) >= 0:
+        kinds = kinds[:i] + ("v" if i and kinds[i - 1] == "c" else "c") + kinds[i + 1 :]
+    return kinds
 
 
 def _measure(w: str) -> int:
-    kinds = "".join("c" if _consonant(w, i) else "v" for i in range(len(w)))
-    return sum(a == "v" and b == "c" for a, b in zip(kinds, kinds[1:]))
+    return _kinds(w).count("vc")
 
 
 def _has_vowel(w: str) -> bool:
-    return any(not _consonant(w, i) for i in range(len(w)))
+    return "v" in _kinds(w)
 
 
 def _double(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1)
+    return len(w) > 1 and w[-1] == w[-2] and _kinds(w)[-1] == "c"
 
 
 def _cvc(w: str) -> bool:
-    n = len(w)
-    return n > 2 and _consonant(w, n - 1) and not _consonant(w, n - 2) and _consonant(w, n - 3) and w[-1] not in "wxy"
+    return len(w) > 2 and _kinds(w)[-3:] == "cvc" and w[-1] not in "wxy"
 
 
 # The suffix tables of Porter (1980).
@@ -318,6 +321,9 @@ _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize".split()
 
 
+_LONGEST = [sorted(t, key=lambda x: -len(x[0])) for t in (_STEP2, _STEP3)], sorted([*_STEP4, "ion"], key=len, reverse=True)
+
+
 def porter(w: str) -> str:
     """The stem of an English word; words with other letters stay as they are."""
     if len(w) <= 2 or not (w.isascii() and w.isalpha()):
@@ -343,13 +349,13 @@ def porter(w: str) -> str:
             w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end, to in sorted(table, key=lambda x: -len(x[0])):
+    for table in _LONGEST[0]:
+        for end, to in table:
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + to
                 break
-    for end in sorted([*_STEP4, "ion"], key=len, reverse=True):
+    for end in _LONGEST[1]:
         if w.endswith(end):
             base = w[: -len(end)]
             if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):

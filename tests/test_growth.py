@@ -206,3 +206,16 @@ def test_an_index_shuffles_blocks_of_postings(spark, tmp_path):
     index.delete(docs.where("id % 2 = 0").select("id")).merge()
     assert {r["term"]: r["df"] for r in index.dictionary().collect()}["the"] == 1500 and store.read("fts-lengths").count() == 1501
     assert store.read("fts-postings").where("term IS NOT NULL").count() <= 32 * len(want)
+
+
+def test_stems_are_summed_with_few_and_many_terms(spark, tmp_path, monkeypatch):
+    """Several terms of a document answer to one asked; numbers of documents are broadcast only if few terms are asked for."""
+    docs = spark.createDataFrame([(i, "run running runs " + "cat cats " * (i % 3)) for i in range(300)], "id long, text string")
+    asked = spark.createDataFrame([(0, ["runs", "cat"]), (1, ["cats"])], "query_id long, terms array<string>")
+    index = lexical.Index(Store(spark, f"file://{tmp_path}/s"), stemmed=True).write(docs, unique=True)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()))
+    got = index.search(asked, 5, "stem")
+    own = rows(got)
+    assert len(own) == 10 and got.where("query_id = 1").agg(F.count_distinct("score")).first()[0] == 1
+    monkeypatch.setattr(lexical, "FEW_TERMS", 0)
+    assert rows(index.search(asked, 5, "stem")) == own
